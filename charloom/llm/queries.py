@@ -10,8 +10,10 @@ MODULES = {
     "op4_chat_format": "chat",
     "op5_orc_token_ids": "orc_ids",
     "op6_bootstrapped_pii": "pii",
+    "op7_ngram_jaccard": "jaccard",
     "op8_zip_warc": "warc",
     "op9_zstd_secrets": "secrets",
+    "op10_debruijn_dedup": "substring",
 }
 
 
