@@ -121,7 +121,7 @@ def shared(blocks: DataFrame, groups: int) -> DataFrame:
                     out.append((0, g, packed.pack(own, size[at][ends], counts.astype(np.uint32), h[at], np.minimum(df[at], 0xFFFFFFFF).astype(np.uint32))))
         return packed.rows_table(out)
 
-    return blocks.groupBy(F.expr("case when kind = 0 then key else pmod(hash(key), 48) end")).applyInArrow(run, packed.ROWS)
+    return blocks.groupBy(F.expr("case when kind = 0 then key else pmod(hash(key), 64) end")).applyInArrow(run, packed.ROWS)
 
 
 SETS = "kind int, sig long, size long, doc_id long, short int, shingles array<long>"

@@ -15,9 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words whose windows a task gathers before it sends a block to each bucket, and that a bucket gets in all.
-CHUNK_WORDS = 1_500_000
-BUCKET_WORDS = 3_000_000
-MEMO = 400_000
+CHUNK_WORDS = 800_000
+BUCKET_WORDS = 2_000_000
+MEMO = 150_000
 NULL_ID = -(1 << 63)
 ROWS = "kind int, key int, block binary"
 M1, M2, M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -29,7 +29,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def buckets_for(docs: DataFrame, least: int = 48) -> int:
+def buckets_for(docs: DataFrame, least: int = 64) -> int:
     """Buckets for all words of docs, from the length of its texts."""
     chars = docs.agg(F.sum(F.length("text")).alias("n")).collect()[0]["n"] or 0
     return max(least, math.ceil(chars / 6 / BUCKET_WORDS))

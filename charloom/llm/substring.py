@@ -126,7 +126,7 @@ def repeated(edge_blocks: DataFrame, groups: int) -> DataFrame:
         return packed.rows_table(out)
 
     # settled blocks ride along, dealt evenly over the buckets
-    return edge_blocks.groupBy(F.expr("case when kind = 0 then key else pmod(hash(key), 48) end")).applyInArrow(run, packed.ROWS)
+    return edge_blocks.groupBy(F.expr("case when kind = 0 then key else pmod(hash(key), 64) end")).applyInArrow(run, packed.ROWS)
 
 
 def spans_of(found: list, width: int = WIDTH) -> list[tuple[int, int, int, int]]:
