@@ -5,6 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = {
+    "op1_template_decontamination": "decontaminate",
     "op2_byte_bpe": "bpe",
     "op3_quality_cascade": "quality",
     "op4_chat_format": "chat",
