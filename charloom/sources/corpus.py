@@ -129,7 +129,7 @@ def load_corpus(spark: SparkSession, path: str, max_mb: float = DEFAULT_MAX_MB)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["path", "ext", "text"])
 
     docs = files.select("path", "ext", "content").mapInArrow(run, "path string, ext string, text string")
-    plain = F.regexp_replace(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), "^[a-z0-9]+:(//[^/]*)?", "")
+    plain = F.regexp_replace("path", "^[a-z0-9]+:(//[^/]*)?", "")
     docs = docs.withColumn("relpath", F.when(F.startswith(plain, F.lit(root)), F.substr(plain, F.lit(len(root) + 1))).otherwise(plain))
     return identify(docs).orderBy(F.split("relpath", "/"))
 
