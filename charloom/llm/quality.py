@@ -104,6 +104,11 @@ def few_words(words, m) -> bool:
     return len(words) >= 50 and len(set(words)) ** 2 < len(words)
 
 
+def stutter(words, m) -> bool:
+    """Every fourth word or more is the one before again."""
+    return len(words) >= 8 and 4 * sum(a == b for a, b in zip(words, words[1:])) >= len(words)
+
+
 def bars(words, m) -> bool:
     """Every fourth word or more is a lone separator sign."""
     return 4 * sum(map(words.count, (b"|", b"-", b"*", b">", b"<", b"#"))) >= len(words)
@@ -121,7 +126,7 @@ def exclamations(words, m) -> bool:
     return 3 * (m["raw"].count(b"!") + m["raw"].count(b"?")) > len(words)
 
 
-RULES = {f.__name__: f for f in (symbol_share, shouting, dup_lines, word_length, few_words, bars, no_letters, exclamations)}
+RULES = {f.__name__: f for f in (symbol_share, shouting, dup_lines, word_length, few_words, stutter, bars, no_letters, exclamations)}
 
 
 def base_failed(m: dict) -> bool:
