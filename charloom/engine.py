@@ -195,7 +195,7 @@ class Engine:
             found = evaluate.corpus_digest(with_order, ["all"]).first()
             text = found.digest if found else text
         ask = lambda p: flatten(self.ask(p))
-        return evaluate.report(total, evaluate.fidelity(ask, card["system_prompt"], text), evaluate.identifiability(ask, card["persona_id"], card["display_name"], card["system_prompt"], text))
+        return evaluate.report(total, evaluate.fidelity(ask, evaluate.card_digest(card), text), evaluate.identifiability(ask, card["persona_id"], card["display_name"], card["system_prompt"], text))
 
     def distill_character(self, name: str, persona_id: str, output: str | None = None) -> dict:
         """Rebuilds the character's corpus and distils it."""

@@ -124,3 +124,17 @@ def report_markdown(r: dict) -> str:
     for name, key, value in (("保真度", "fidelity", "score"), ("可识别度", "identifiability", "confidence")):
         lines.append(f"- **{name}**: " + ("未评估" if r[key] is None else "失败" if r[key][value] < 0 else f"{r[key][value]:.4f}"))
     return "\n".join([*lines, f"- **时间**: {r['created_at']}", ""])
+
+
+def card_digest(card: dict) -> str:
+    """A card as a judge reads it: its prompt, then a section per layer."""
+    e = card.get("expression_dna") or {}
+    out = [f"### PersonaCard (persona_id={card['persona_id']})", "## system_prompt", card.get("system_prompt") or "(空)", "## expression_dna"]
+    out += [f"- {k}: {e.get(k) or ('(空)' if k == 'rhythm' else [])}" for k in ("vocabulary", "rhythm", "rhetorical_tics", "signature_metaphors", "opening_samples")]
+    out.append("## mental_models")
+    for m in card.get("mental_models") or []:
+        v = m.get("verification") or {}
+        out.append(f"- {m['name']}：{m['principle']}（" + ", ".join(f"{k}={bool(v.get(k))}" for k in ("cross_domain", "generative", "exclusive")) + "）")
+    for layer, a, label, b in (("decision_heuristics", "rule", "触发", "trigger"), ("anti_patterns", "pattern", "理由", "reason"), ("honest_boundaries", "limitation", "理由", "reason")):
+        out += [f"## {layer}", *(f"- {x[a]}（{label}: {x[b]}）" for x in card.get(layer) or [])]
+    return "\n".join(out)

@@ -240,3 +240,16 @@ def test_config(monkeypatch):
         Config(model="real", offline=False)
     monkeypatch.setenv("CHARLOOM_CHUNK_TOKENS", "99")
     assert Config.from_env().chunk_tokens == 99
+
+
+def test_digest_and_addresses(spark):
+    from charloom.model import embed
+    from charloom.model.http import HttpClient
+    from charloom.operators import evaluate
+
+    text = evaluate.card_digest(CARD)
+    assert "- 看云：天气与心情（cross_domain=True, generative=True, exclusive=True）" in text and "- rhythm: (空)" in text
+    assert HttpClient("local:m").address() == ("http://127.0.0.1:8000/v1/chat/completions", "m")
+    assert HttpClient("m", base_url="http://x/").address() == ("http://x/chat/completions", "m")
+    assert len(embed.hash_embedder(8)(spark.createDataFrame([("t",)], "text string")).first().embedding) == 8
+    assert embed.build_embedder() is None and embed.build_reranker() is None
