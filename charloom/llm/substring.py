@@ -176,4 +176,5 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents"))
+    # how paths divide depends on which tasks met which copies first; what is removed doesn't
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("n_paths", "longest_path")
