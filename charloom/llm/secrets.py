@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -68,16 +70,18 @@ def mixed(token: str) -> bool:
 
 def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty) -> list[tuple[int, int]]:
     """Tokens within REACH characters after a sensitive word that no base span touches and that nothing around them foretells."""
-    out: list[tuple[int, int]] = []
+    out: set[tuple[int, int]] = set()
+    starts, reach = [a for a, _, _ in base], list(accumulate((b for _, _, b in base), max))
     for s in SENSITIVE.finditer(text):
         for m in TOKEN.finditer(text, s.end(), min(len(text), s.end() + REACH + 512)):
             if m.start() > s.end() + REACH:
                 break
             span = (m.start(), m.end())
-            if span in out or not mixed(m[0]) or any(a < span[1] and span[0] < b for a, _, b in base):
+            before = bisect_left(starts, span[1])  # base spans that start before the token ends
+            if span in out or not mixed(m[0]) or before and reach[before - 1] > span[0]:
                 continue
             if novelty(text, *span) >= LEAST:
-                out.append(span)
+                out.add(span)
     return sorted(out)
 
 

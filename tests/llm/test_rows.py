@@ -276,3 +276,15 @@ def test_redact(spark, odd):
 @pytest.mark.parametrize("run", [lambda d: quality.quality_verdicts(d), lambda d: pii.find_private(d), lambda d: secrets.scan(d), lambda d: bpe.encode_documents(d, P.path("byte_bpe_50k.tiktoken"), P.PATTERN)])
 def test_empty(none, run):
     assert run(none).count() == 0
+
+
+def test_identifiers():
+    import time
+
+    text = "id: AB-1234/x, 12 user0123.nobody-4567. " + "9" * 100 + " x1 y2 -1234567-"
+    assert [text[a:b] for a, b in pii.identifiers(text)] == ["AB-1234/x", "user0123.nobody-4567", "1234567"]
+    began = time.time()
+    for bad in ("x" * 200_000 + "1", "1x" * 100_000, "a@" * 100_000, "1 " * 100_000, "1." * 100_000, "+1" * 100_000):
+        pii.base_spans(bad)
+        pii.identifiers(bad)
+    assert time.time() - began < 10
