@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import map_rows, table, texts
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-MEMO = 300_000
+MEMO = 200_000
 BUCKETS = 8192
 
 
