@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -74,12 +74,20 @@ def may_be_similar(a: Column, b: Column, jw_min: float = 0.85) -> Column:
     return (a != "") & (b != "") & (lifted >= F.lit(jw_min) - 1e-9)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, however often body uses it within lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def hash_embedding(text: Column, dim: int = 256) -> Column:
     """Deterministic unit vector: chained sha-512 digests, each byte as (b - 128) / 128."""
-    digests = [F.sha2(F.encode(text, "UTF-8"), 512)]
-    while len(digests) * 64 < dim:
-        digests.append(F.sha2(F.unhex(digests[-1]), 512))
-    digits = F.concat(*digests)
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (F.conv(F.substr(digits, i * 2 + 1, F.lit(2)), 16, 10).cast("double") - 128.0) / 128.0)
-    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, v: s + v * v))
-    return F.transform(raw, lambda v: F.when(norm > 0, v / norm).otherwise(v))
+
+    def chain(first: Column, n: int) -> Column:
+        return first if n <= 1 else let(first, lambda d: F.concat(d, chain(F.sha2(F.unhex(d), 512), n - 1)))
+
+    def unit(raw: Column) -> Column:
+        return let(F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, v: s + v * v)), lambda norm: F.transform(raw, lambda v: F.when(norm > 0, v / norm).otherwise(v)))
+
+    byte = lambda digits, i: (F.conv(F.substr(digits, i * 2 + 1, F.lit(2)), 16, 10).cast("double") - 128.0) / 128.0
+    raw = let(chain(F.sha2(F.encode(text, "UTF-8"), 512), -(-dim // 64)), lambda digits: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: byte(digits, i)))
+    return let(raw, unit)
