@@ -31,7 +31,7 @@ from .components import components
 SHINGLE = 5
 THRESHOLD = 80
 #: Sets in a block, and bytes of their shingles, up to which a chain is searched in one piece.
-BLOCK_SETS = 3000
+BLOCK_SETS = 700
 BLOCK_BYTES = 32 << 20
 
 
