@@ -23,6 +23,7 @@ from . import packed
 from .common import table, texts
 
 WIDTH = 13
+PATHS = "key int, doc_id long, first int, last int, source_id long, source_first int"
 OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string, n_paths long, longest_path long"
 
 
@@ -141,38 +142,65 @@ def spans_of(found: list, width: int = WIDTH) -> list[tuple[int, int, int, int]]
     return list(zip(pos[cut].tolist(), (pos[last] + width).tolist(), src[cut].tolist(), (pos[cut] + offset[cut]).tolist()))
 
 
+def paths(hits: DataFrame, width: int = WIDTH) -> DataFrame:
+    """Compacts the repeated edges of each document: a row per path, a span of words that is found in the source as well."""
+
+    def run(key, rows):
+        import pyarrow as pa
+
+        group, out = key[0].as_py(), []
+        for doc, found in _read_hits(rows.column("block").to_pylist()).items():
+            out += [(group, doc, *span) for span in spans_of(found, width)]
+        kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 6, kinds)], names=["key", "doc_id", "first", "last", "source_id", "source_first"])
+
+    return hits.groupBy("key").applyInArrow(run, PATHS)
+
+
+def repeated_paths(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(key, doc_id, first, last, source_id, source_first): words [first, last) of doc_id are those of source_id from
+    source_first on. A null doc_id shows as the smallest long. `key` is the document's group."""
+    rows = texts(docs)
+    return _paths(rows, packed.buckets_for(rows), width)
+
+
+def _paths(rows: DataFrame, buckets: int, width: int) -> DataFrame:
+    groups = packed.groups_for(buckets)
+    return paths(repeated(edges(rows, buckets, groups, width), groups), width)
+
+
 def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Per document: words, words removed, the digest of the kept ones, and its paths."""
+    """Per document: words, words removed, the digest of the kept ones, its paths and the longest one."""
     rows = texts(docs)
-    n = packed.buckets_for(rows)
 
     def finish(key, left, right):
         import pyarrow as pa
 
-        by = _read_hits(right.column("block").to_pylist())
+        by: dict[int, list] = {}
+        for doc, a, b in zip(right.column("doc_id").to_pylist(), right.column("first").to_pylist(), right.column("last").to_pylist()):
+            by.setdefault(doc, []).append((a, b))
         out = []
         for doc_id, text in zip(left.column("doc_id").to_pylist(), left.column("text").to_pylist()):
             words = text.encode("utf-8", "surrogatepass").split()
-            total, removed, paths, longest = len(words), 0, 0, 0
+            total, removed, own = len(words), 0, []
             if found := by.get(packed.NULL_ID if doc_id is None else doc_id):
-                spans = [s for s in spans_of(found, width) if s[1] <= total]
+                own = [s for s in found if s[1] <= total]
                 gone = np.zeros(total, bool)
-                for a, b, _, _ in spans:
+                for a, b in own:
                     gone[a:b] = True
-                    longest = max(longest, b - a)
-                removed, paths = int(gone.sum()), len(spans)
+                removed = int(gone.sum())
                 words = [w for w, g in zip(words, gone.tolist()) if not g]
-            out.append((doc_id, total, removed, hashlib.sha256(b" ".join(words)).hexdigest(), paths, longest))
+            out.append((doc_id, total, removed, hashlib.sha256(b" ".join(words)).hexdigest(), len(own), max((b - a for a, b in own), default=0)))
         names = ["doc_id", "n_words", "n_removed", "kept_sha256", "n_paths", "longest_path"]
         kinds = [pa.int64()] * 3 + [pa.string()] + [pa.int64()] * 2
         columns = list(zip(*out)) or [()] * 6
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
-    groups = packed.groups_for(n)
-    hits = repeated(edges(rows, n, groups, width), groups)
+    buckets = packed.buckets_for(rows)
+    groups, found = packed.groups_for(buckets), _paths(rows, buckets, width)
     # the group of a document, as _hits() deals it
     numbered = rows.withColumn("key", F.expr(f"cast(pmod(coalesce(doc_id, {packed.NULL_ID + 1} - 1), {groups}) as int)"))
-    return numbered.groupBy("key").cogroup(hits.groupBy("key")).applyInArrow(finish, OUT)
+    return numbered.groupBy("key").cogroup(found.groupBy("key")).applyInArrow(finish, OUT)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -100,6 +100,17 @@ def test_substring_paths():
     assert substring.spans_of([(pos, src, off)], 13) == [(3, 18, 1, 3), (9, 22, 1, 9), (10, 23, 2, 10)]
 
 
+def test_repeated_paths(spark, sf):
+    """Each path's words are the source's words, and the source has a smaller id."""
+    df = spark.read.parquet(f"{sf}/documents.parquet").repartition(3)
+    words = {i: WORD.findall(t) for i, t in documents(df)}
+    found = substring.repeated_paths(df).collect()
+    assert found
+    for r in found:
+        assert r.source_id < r.doc_id and r.last - r.first >= 13
+        assert words[r.doc_id][r.first : r.last] == words[r.source_id][r.source_first : r.source_first + r.last - r.first]
+
+
 def test_jaccard(spark, sf, odd):
     for df in inputs(spark, sf, odd):
         got = sorted(tuple(r) for r in jaccard.jaccard_components(df).collect())
