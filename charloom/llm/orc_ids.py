@@ -7,51 +7,70 @@ side by side, each a row of its own; a null doc_id comes first. An empty table g
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 import zlib
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_rows, shared_dir, save, table, texts
+from .common import save, shared_dir, table, texts
 
-MEMO = 400_000
+#: Words whose ids a task keeps in each of two generations; those in use pass from the older to the newer.
+MEMO = 200_000
 TAIL = re.compile(rb"(.*[a-z0-9])([.,;:!?]+)", re.DOTALL)
+ROWS = 400
 
 
 class WordIds:
     """Ids of whole texts by a tokenizer that drops white space and lower-cases: ASCII white space always ends its words, and
-    a run of ASCII punctuation after a letter or digit is a word of its own, so the ids of these parts are kept and joined."""
+    a run of ASCII punctuation after a letter or digit is a word of its own, so the ids of these parts are kept and joined.
+    Ids are held as the bytes of little-endian 32-bit integers."""
 
     def __init__(self, spec: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.encode_special_tokens = True
-        self.memo: dict[bytes, list[int]] = {}
+        self.now: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
 
     def _ask(self, words: list[bytes]) -> None:
         found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
         for w, e in zip(words, found):
-            self.memo[w] = e.ids
+            self.now[w] = np.array(e.ids, "<u4").tobytes()
 
-    def __call__(self, text: str) -> list[int]:
-        words = text.encode("utf-8", "surrogatepass").lower().split()
-        memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        new = {w for w in words if w not in memo}
-        if new:
-            split = {w: m for w in new if (m := TAIL.fullmatch(w))}
-            parts = {p for m in split.values() for p in m.groups()} | {w for w in new if w not in split}
-            self._ask([p for p in parts if p not in memo])
-            for w, m in split.items():
-                memo[w] = memo[m[1]] + memo[m[2]]
-        ids: list[int] = []
+    def _learn(self, words: set[bytes]) -> None:
+        now, before = self.now, self.before
+        new = []
         for w in words:
-            ids += memo[w]
-        return ids
+            known = before.get(w)
+            if known is None:
+                new.append(w)
+            else:
+                now[w] = known
+        split = {w: m for w in new if (m := TAIL.fullmatch(w))}
+        parts = {p for m in split.values() for p in m.groups()} | {w for w in new if w not in split}
+        for p in parts:
+            if p not in now and p in before:
+                now[p] = before[p]
+        self._ask([p for p in parts if p not in now])
+        for w, m in split.items():
+            now[w] = now[m[1]] + now[m[2]]
+
+    def __call__(self, text: str) -> bytes:
+        words = text.encode("utf-8", "surrogatepass").lower().split()
+        if len(self.now) > MEMO:
+            self.before, self.now = self.now, {}
+        now = self.now
+        if new := {w for w in words if w not in now}:
+            self._learn(new)
+        return b"".join([now[w] for w in words])
 
 
 def write_ids(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 1, parts: int | None = None) -> str:
@@ -59,14 +78,21 @@ def write_ids(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 1,
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = spark.sparkContext.broadcast(f.read())
+    end = end_id.to_bytes(4, "little")
 
-    def work():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = WordIds(spec.value)
-        return lambda doc_id, text: ((doc_id, [*encode(text), end_id]),)
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                ids = [encode(t) + end for t in part.column(1).to_pylist()]
+                offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["doc_id", "ids"])
 
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = texts(docs).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    encoded = map_rows(dealt, work, "doc_id long, ids array<int>", every=500)
+    encoded = dealt.mapInArrow(run, "doc_id long, ids array<int>")
     encoded.write.option("compression", "zstd").option("orc.bloom.filter.columns", "doc_id").option("orc.row.index.stride", "1000").option("orc.create.index", "true").orc(path)
     return path
 
@@ -74,13 +100,15 @@ def write_ids(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 1,
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """Per document, read back from the files: its start among all ids, the number of its ids and their crc32."""
 
-    def work():
-        import numpy as np
-
-        return lambda doc_id, ids, file: ((doc_id, len(ids), zlib.crc32(np.asarray(ids, dtype="<u4").tobytes()), file),)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            values, at = lists.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False), lists.offsets.to_numpy()
+            crcs = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at).astype(np.int64)), pa.array(crcs, pa.int64()), batch.column(2)], names=["doc_id", "n_tokens", "ids_crc32", "file"])
 
     rows = spark.read.schema("doc_id long, ids array<int>").orc(path).select("doc_id", "ids", F.input_file_name().alias("file"))
-    rows = save(map_rows(rows, work, "doc_id long, n_tokens long, ids_crc32 long, file string"), "orc-rows")
+    rows = save(rows.mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, file string"), "orc-rows")
     # one row per file, so one task orders them
     files = rows.groupBy("file").agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id")).alias("first"), F.max(F.struct(F.col("doc_id").isNotNull(), "doc_id")).alias("final"), F.sum("n_tokens").alias("size"))
     before = Window.orderBy("first", "final", "file").rowsBetween(Window.unboundedPreceding, -1)

@@ -288,3 +288,14 @@ def test_identifiers():
         pii.base_spans(bad)
         pii.identifiers(bad)
     assert time.time() - began < 10
+
+
+def test_orc_memo(monkeypatch):
+    monkeypatch.setattr(orc_ids, "MEMO", 5)
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    encode, tok = orc_ids.WordIds(open(path, encoding="utf-8").read()), Tokenizer.from_file(path)
+    for i in range(40):
+        t = " ".join(f"word{(i * k) % 11}{'.' * (k % 3)}" for k in range(9))
+        assert list(struct.unpack(f"<{len(encode(t)) // 4}I", encode(t))) == tok.encode(t, add_special_tokens=False).ids
