@@ -8,10 +8,10 @@ side by side, each a row of its own; a null doc_id comes first. An empty table g
 from __future__ import annotations
 
 import os
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +22,8 @@ from .common import save, shared_dir, table, texts
 
 #: Words whose ids a task keeps in each of two generations; those in use pass from the older to the newer.
 MEMO = 200_000
-TAIL = re.compile(rb"(.*[a-z0-9])([.,;:!?]+)", re.DOTALL)
-ROWS = 400
+TAIL, BEFORE_TAIL = b".,;:!?", frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
+ROWS, GROUP_CHARS, JOINED = 1000, 1_500_000, 300
 
 
 class WordIds:
@@ -37,40 +37,77 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.encode_special_tokens = True
+        pieces = map(self.tokenizer.id_to_token, range(self.tokenizer.get_vocab_size()))
+        self.last = np.array([(p or "").endswith("</w>") for p in pieces])
         self.now: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}
 
     def _ask(self, words: list[bytes]) -> None:
-        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        for w, e in zip(words, found):
-            self.now[w] = np.array(e.ids, "<u4").tobytes()
+        texts_ = [w.decode("utf-8", "replace") for w in words]
+        alone = []
+        plain = [i for i, t in enumerate(texts_) if t.isalpha()]
+        for at in range(0, len(plain), JOINED):
+            group = plain[at : at + JOINED]
+            # each word of letters ends in its own last piece; if the counts differ, they are asked one by one
+            ids = np.array(self.tokenizer.encode(" ".join([texts_[i] for i in group]), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(group):
+                alone += group
+                continue
+            raw, start = ids.tobytes(), 0
+            for i, end in zip(group, (4 * ends).tolist()):
+                self.now[words[i]] = raw[start:end]
+                start = end
+        alone += [i for i, t in enumerate(texts_) if not t.isalpha()]
+        for i, e in zip(alone, self.tokenizer.encode_batch_fast([texts_[i] for i in alone], add_special_tokens=False)):
+            self.now[words[i]] = np.array(e.ids, "<u4").tobytes()
 
     def _learn(self, words: set[bytes]) -> None:
+        """Puts the words into the newer generation."""
         now, before = self.now, self.before
-        new = []
+        asked, split = set(), []
         for w in words:
-            known = before.get(w)
-            if known is None:
-                new.append(w)
-            else:
+            if (known := before.get(w)) is not None:
                 now[w] = known
-        split = {w: m for w in new if (m := TAIL.fullmatch(w))}
-        parts = {p for m in split.values() for p in m.groups()} | {w for w in new if w not in split}
-        for p in parts:
-            if p not in now and p in before:
-                now[p] = before[p]
-        self._ask([p for p in parts if p not in now])
-        for w, m in split.items():
-            now[w] = now[m[1]] + now[m[2]]
-
-    def __call__(self, text: str) -> bytes:
-        words = text.encode("utf-8", "surrogatepass").lower().split()
+                continue
+            core = w.rstrip(TAIL)
+            if len(core) < len(w) and core and core[-1] in BEFORE_TAIL:
+                tail = w[len(core) :]
+                split.append((w, core, tail))
+                for part in (core, tail):
+                    if part not in now:
+                        if (known := before.get(part)) is not None:
+                            now[part] = known
+                        else:
+                            asked.add(part)
+            else:
+                asked.add(w)
+        self._ask(list(asked))
+        for w, core, tail in split:
+            now[w] = now[core] + now[tail]
+
+    def __call__(self, group: list[str]) -> list[bytes]:
+        """Ids of each text. What the group's texts don't know yet is asked for at once."""
+        words = [t.encode("utf-8", "surrogatepass").lower().split() for t in group]
         if len(self.now) > MEMO:
             self.before, self.now = self.now, {}
-        now = self.now
-        if new := {w for w in words if w not in now}:
+        if new := set(chain.from_iterable(words)).difference(self.now):
             self._learn(new)
-        return b"".join([now[w] for w in words])
+        get = self.now.__getitem__
+        return [b"".join(map(get, w)) for w in words]
+
+
+def _groups(texts_: list[str]) -> Iterator[list[str]]:
+    """Texts in groups of ROWS, or of GROUP_CHARS characters if that is less; a longer text is a group of its own."""
+    group, size = [], 0
+    for t in texts_:
+        if group and (len(group) >= ROWS or size + len(t) > GROUP_CHARS):
+            yield group
+            group, size = [], 0
+        group.append(t)
+        size += len(t)
+    if group:
+        yield group
 
 
 def write_ids(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 1, parts: int | None = None) -> str:
@@ -83,9 +120,11 @@ def write_ids(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 1,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = WordIds(spec.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
-                ids = [encode(t) + end for t in part.column(1).to_pylist()]
+            at = 0
+            for group in _groups(batch.column(1).to_pylist()):
+                part = batch.slice(at, len(group))
+                at += len(group)
+                ids = [x + end for x in encode(group)]
                 offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<i4")))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["doc_id", "ids"])

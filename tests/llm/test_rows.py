@@ -298,4 +298,6 @@ def test_orc_memo(monkeypatch):
     encode, tok = orc_ids.WordIds(open(path, encoding="utf-8").read()), Tokenizer.from_file(path)
     for i in range(40):
         t = " ".join(f"word{(i * k) % 11}{'.' * (k % 3)}" for k in range(9))
-        assert list(struct.unpack(f"<{len(encode(t)) // 4}I", encode(t))) == tok.encode(t, add_special_tokens=False).ids
+        a, b = encode([t, "other " + t])
+        assert list(struct.unpack(f"<{len(a) // 4}I", a)) == tok.encode(t, add_special_tokens=False).ids and b.endswith(a)
+    assert [len(g) for g in orc_ids._groups(["x" * 10**6] * 3 + ["y"] * 1500)] == [1, 1, 1000, 501]
