@@ -8,6 +8,7 @@ side by side, each a row of its own; a null doc_id comes first. An empty table g
 from __future__ import annotations
 
 import os
+import string
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -22,13 +23,21 @@ from .common import save, shared_dir, table, texts
 
 #: Words whose ids a task keeps in each of two generations; those in use pass from the older to the newer.
 MEMO = 200_000
-TAIL, BEFORE_TAIL = b".,;:!?", frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
+TAIL = string.punctuation.encode()
 ROWS, GROUP_CHARS, JOINED = 1000, 1_500_000, 300
 
 
+def _ends_word(core: bytes) -> bool:
+    """Whether the last character is a letter or number and stays one in small letters."""
+    if core[-1] < 128:
+        return core[-1:].isalnum()
+    last = core.decode("utf-8", "replace")[-1]
+    return last.isalnum() and len(last.lower()) == 1
+
+
 class WordIds:
     """Ids of whole texts by a tokenizer that drops white space and lower-cases: ASCII white space always ends its words, and
-    a run of ASCII punctuation after a letter or digit is a word of its own, so the ids of these parts are kept and joined.
+    a run of ASCII punctuation at the end, after a letter or number, is a word of its own, so these parts' ids are kept and joined.
     Ids are held as the bytes of little-endian 32-bit integers."""
 
     def __init__(self, spec: str):
@@ -71,7 +80,7 @@ class WordIds:
                 now[w] = known
                 continue
             core = w.rstrip(TAIL)
-            if len(core) < len(w) and core and core[-1] in BEFORE_TAIL:
+            if len(core) < len(w) and core and _ends_word(core):
                 tail = w[len(core) :]
                 split.append((w, core, tail))
                 for part in (core, tail):
