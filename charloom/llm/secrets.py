@@ -2,6 +2,8 @@
 
 Novelty: a long token near a sensitive word is compressed by zstandard after its surroundings and a dictionary of common
 identifiers; where the token adds nearly as many bytes as it has, nothing before it tells what it is, and it is reported.
+A sensitive word may be part of an identifier (AWS_SECRET_ACCESS_KEY). A token starts within REACH characters after the word
+and runs to its own end, however long.
 A null text is empty. Rows are scanned one by one, so repeated rows and ties need no rule. Texts of any length are scanned
 whole, in linear time.
 """
@@ -10,7 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_right
 from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,8 +24,9 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 LONG_HEX = re.compile(r"[0-9a-f]{24,}")
-SENSITIVE = re.compile(r"(?i)\b(?:password|passwd|secret|token|api[_ -]?key|access[_ -]?key|private[_ -]?key|credentials?|bearer|auth(?:orization)?|signature)\b", re.ASCII)
-TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+SENSITIVE = re.compile(r"(?i)(?<![a-z0-9])(?:password|passwd|secret|token|api[_ -]?key|access[_ -]?key|private[_ -]?key|credentials?|bearer|auth(?:orization)?|signature)(?![a-z0-9])", re.ASCII)
+SHORTEST = 16
+TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % SHORTEST)
 #: Dictionary of common identifiers that secrets are compared with.
 IDENTIFIERS = (
     "password passwd secret token api_key apikey access_key private_key credentials bearer authorization signature "
@@ -35,6 +38,8 @@ IDENTIFIERS = (
 REACH = 48
 AROUND = 256
 LEAST = 0.7
+#: A token is judged by its first HEAD characters too; whole once per run of its signs, so the work stays linear.
+HEAD = REACH + 512
 
 
 class Novelty:
@@ -69,20 +74,27 @@ def mixed(token: str) -> bool:
 
 
 def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty) -> list[tuple[int, int]]:
-    """Tokens within REACH characters after a sensitive word that no base span touches and that nothing around them foretells."""
-    out: set[tuple[int, int]] = set()
+    """Tokens that start within REACH characters after a sensitive word, that no base span covers and that nothing around
+    them foretells. Of tokens within each other the longest counts."""
+    out: dict[int, int] = {}  # start by end: a run of token signs has one end
     starts, reach = [a for a, _, _ in base], list(accumulate((b for _, _, b in base), max))
+    judged: set[int] = set()
+    first = last = 0  # the run looked at last
     for s in SENSITIVE.finditer(text):
-        for m in TOKEN.finditer(text, s.end(), min(len(text), s.end() + REACH + 512)):
-            if m.start() > s.end() + REACH:
-                break
-            span = (m.start(), m.end())
-            before = bisect_left(starts, span[1])  # base spans that start before the token ends
-            if span in out or not mixed(m[0]) or before and reach[before - 1] > span[0]:
+        # as far as shows the least of a token that starts at REACH; its end is looked for apart
+        for m in TOKEN.finditer(text, s.end(), s.end() + REACH + SHORTEST):
+            start = m.start()
+            whole = not first <= start < last
+            if whole:
+                first, last = start, TOKEN.match(text, start).end()
+            before = bisect_right(starts, start)  # base spans that start no later than the token
+            if last in out or start in judged or before and reach[before - 1] >= last:
                 continue
-            if novelty(text, *span) >= LEAST:
-                out.add(span)
-    return sorted(out)
+            judged.add(start)
+            head = min(last, start + HEAD)
+            if any(mixed(text[start:end]) and novelty(text, start, end) >= LEAST for end in ((head, last) if whole and head < last else (head,))):
+                out[last] = start
+    return sorted((a, b) for b, a in out.items())
 
 
 def find(text: str, novelty: Novelty) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:

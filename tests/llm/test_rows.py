@@ -267,6 +267,31 @@ def test_secrets_novelty():
     assert not secrets.novel_spans("nothing near q9Zx7Lm2Vb8Kt4Rw6Yp1 for now", [], n)
 
 
+def test_secrets_run_to_their_end(spark):
+    import random
+    import string
+    import time
+
+    n, rnd = secrets.Novelty(), random.Random(5)
+    key = lambda k: "".join(rnd.choices(string.ascii_letters + string.digits + "+/", k=k))
+    for k in (40, 600, 2_000):
+        t = f"private key {key(k)} and on"
+        assert [(a, b) for a, _, b in secrets.find(t, n)[1]] == [(12, 12 + k)]
+    held = key(900) + "/" + "0123456789abcdef" * 2 + "/" + key(900)  # a base span inside hides nothing
+    docs = [(0, f"private key {held} and on")]
+    names = ("AWS_SECRET_ACCESS_KEY=", "SECRET_KEY = ", "GITHUB_TOKEN_V2: ", "secret_access_key: ", "PRIVATE_KEY_PEM=")
+    kept = [(i, w, key(40)) for i, w in enumerate(names, 1)]
+    docs += [(i, f"export {w}{v} and on") for i, w, v in kept] + [(9, "a secretary_of_state_1234567890 undersecret q9Zx7Lm2Vb8Kt4Rw6Yp1")]
+    got = {r.doc_id: r.text for r in secrets.redact(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[0] == "private key <secret> and on" and got[9] == docs[-1][1]
+    for i, w, v in kept:
+        assert got[i].startswith("export ") and got[i].endswith("<secret> and on") and v[:8] not in got[i]
+    began = time.time()
+    for bad in ("secret_" * 20_000, "secret " * 20_000, "secret " + "a1b2" * 50_000, "token_x9" * 20_000):
+        secrets.find(bad, n)
+    assert time.time() - began < 20
+
+
 def test_redact(spark, odd):
     df = spark.createDataFrame([(1, 'a token = "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda" b', 9), (2, "clean", 5), (3, None, 0)], "doc_id long, text string, n_chars long")
     got = {r.doc_id: (r.text, r.n_chars) for r in secrets.redact(df).collect()}
