@@ -2,10 +2,10 @@
 
 Tokens (runs of letters and digits) become template tokens: a number, a name (a token with an ASCII capital first, not at the
 start of a sentence nor all in capitals) and a unit (after a number) are typed placeholders, any other token is itself. Windows of WINDOW template tokens of the documents are
-hash-joined with those of the benchmark items. Matches of one document and item at one shift are an alignment; its slots are
-consistent if each value of the item stands for one value in the document and no two for the same. A document is reported for
-an item when an alignment has a run of RUN matching template tokens (all but one of them, for shorter items) and consistent slots,
-so a question with other numbers and names is found as well as a copy.
+hash-joined with those of the benchmark items. Matches of one document and item at one shift are an alignment; the slots of
+a run in it are consistent if each value of the item stands for one value in the document and no two for the same. A document is
+reported for an item when a run has RUN matching template tokens (all but one of them, for shorter items) and consistent slots,
+whatever the alignment's other runs hold, so a question with other numbers and names is found as well as a copy.
 
 Null and empty texts have no tokens. Repeated rows: each distinct text of a doc_id counts once. Items shorter than a window
 are left out, since their templates can't be told from chance; so are windows of fewer than LITERALS tokens besides
@@ -95,23 +95,18 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     words = F.slice("tokens", F.col("at") + 1, WINDOW)
     found = found.select("doc_id", "item_id", "n_tokens", (F.col("at") - F.col("item_at")).alias("shift"), "item_at", "item_codes", "item_words", words.alias("doc_words"))
     pairs = F.transform(F.filter(F.arrays_zip("item_codes", "item_words", "doc_words"), lambda z: z["item_codes"].isin(NUMBER, NAME, UNIT)), lambda z: F.struct(_plain(z["item_words"]).alias("item"), _plain(z["doc_words"]).alias("doc")))
-    found = found.select("doc_id", "item_id", "n_tokens", "shift", "item_at", pairs.alias("slots"))
+    found = found.select("doc_id", "item_id", "n_tokens", "shift", F.struct("item_at", pairs.alias("slots")).alias("w"))
     # an alignment has at most as many rows as the item has windows, times the rows that share its doc_id
-    by = found.groupBy("doc_id", "item_id", "n_tokens", "shift").agg(F.array_sort(F.collect_set("item_at")).alias("at"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
-    run = F.aggregate(
-        "at",
-        F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"), F.lit(0).alias("covered")),
-        lambda s, p: F.struct(
-            p.alias("last"),
-            F.when(p - s["last"] <= WINDOW, s["run"] + p - s["last"]).otherwise(F.lit(WINDOW)).alias("run"),
-            F.greatest(s["best"], F.when(p - s["last"] <= WINDOW, s["run"] + p - s["last"]).otherwise(F.lit(WINDOW))).alias("best"),
-            (s["covered"] + F.least(F.lit(WINDOW), p - s["last"])).alias("covered"),
-        ),
-    )
-    by = by.withColumn("r", run).withColumn("distinct_item", F.size(F.array_distinct("slots.item"))).withColumn("distinct_doc", F.size(F.array_distinct("slots.doc")))
-    by = by.where((F.col("r.best") >= F.least(F.lit(RUN), F.col("n_tokens") - 1)) & (F.col("distinct_item") == F.size("slots")) & (F.col("distinct_doc") == F.size("slots")))
-    same = ~F.exists("slots", lambda z: z["item"] != z["doc"])
-    return by.groupBy("doc_id", "item_id").agg(F.max("r.best").cast("long").alias("longest_run"), F.max("r.covered").cast("long").alias("covered"), F.max("n_tokens").cast("long").alias("item_tokens"), F.max(same).alias("same_slots"))
+    by = found.groupBy("doc_id", "item_id", "n_tokens", "shift").agg(F.array_sort(F.collect_set("w")).alias("ws"))
+    # a run goes on while the next window touches or overlaps the last one
+    by = by.withColumn("begins", F.expr(f"transform(filter(ws, (w, i) -> i = 0 or w.item_at - ws[i - 1].item_at > {WINDOW}), w -> w.item_at)"))
+    by = by.withColumn("runs", F.expr("transform(begins, (b, i) -> filter(ws, w -> w.item_at >= b and (i + 1 >= size(begins) or w.item_at < get(begins, i + 1))))"))
+    by = by.withColumn("runs", F.expr(f"transform(runs, r -> struct(element_at(r, -1).item_at - r[0].item_at + {WINDOW} as n, array_distinct(flatten(r.slots)) as slots))"))
+    by = by.withColumn("covered", F.expr("aggregate(runs, 0, (n, r) -> n + r.n)"))
+    one_to_one = "size(array_distinct(r.slots.item)) = size(r.slots) and size(array_distinct(r.slots.doc)) = size(r.slots)"
+    by = by.withColumn("good", F.expr(f"filter(runs, r -> r.n >= least({RUN}, n_tokens - 1) and {one_to_one})")).where(F.size("good") > 0)
+    same = ~F.exists(F.flatten("ws.slots"), lambda z: z["item"] != z["doc"])
+    return by.groupBy("doc_id", "item_id").agg(F.max(F.array_max("good.n")).cast("long").alias("longest_run"), F.max("covered").cast("long").alias("covered"), F.max("n_tokens").cast("long").alias("item_tokens"), F.max(same).alias("same_slots"))
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:

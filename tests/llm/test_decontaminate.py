@@ -27,6 +27,19 @@ def test_templates(spark):
     assert d.clean(docs, bench).columns == docs.columns
 
 
+def test_slots_count_within_their_run(spark):
+    """What differs behind a changed passage doesn't undo a verbatim run before it."""
+    first = "A train leaves the town at noon and travels 7 km to the east before Anna boards it with her bags and boxes."
+    last = "Then the driver walks slowly back for 7 minutes along the old road towards the quiet station."
+    item = first + " Nobody had seen such weather. " + last
+    doc = first + " It rained and rained over. " + last.replace("7", "9")
+    got, docs, bench = found(spark, [doc, item], (item,))
+    assert set(got) == {(0, 0), (1, 0)}
+    assert got[0, 0].longest_run >= 20 and not got[0, 0].same_slots and got[1, 0].same_slots
+    assert got[1, 0].longest_run == got[1, 0].covered == got[1, 0].item_tokens
+    assert d.clean(docs, bench).count() == 0
+
+
 def test_empty_and_short(spark):
     assert not found(spark, ["few words"], ("few words",))[0]
     got, docs, bench = found(spark, [ITEM])
