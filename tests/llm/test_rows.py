@@ -196,6 +196,17 @@ def test_pii_bootstraps(spark):
     assert got[21].spans == "" and all(got[i].n_email == 1 and got[i].n_more == 0 for i in range(12))
 
 
+def test_pii_learns_phrases(spark):
+    """Phrases without a label become patterns, e-mail phrases mark words without digits, and plain prose becomes none."""
+    docs = [(i, f"you can reach me on user{i}@site{i}.example.com, any time") for i in range(12)]
+    docs += [(20, "you can reach me on jane.nobody any time"), (21, "you can reach me on user0123.nobody-4567 any time")]
+    docs += [(30 + i, f"well, call me at +1 (487) 555-72{i:02} today") for i in range(12)] + [(43, "well, call me at 555-7299 today"), (44, "well, call me at midnight today")]
+    docs += [(50 + i, f"some of the box{i}@site{i}.example.com words") for i in range(8)]
+    docs += [(60 + i, f"some of the {w} words") for i, w in enumerate("apples pears plums cherries grapes lemons 12345678".split())]
+    got = {r.doc_id: r for r in pii.find_private(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert {i: r.spans for i, r in got.items() if r.n_more} == {20: "email:20:31", 21: "email:20:40", 43: "phone:17:25"}
+
+
 # --- op8
 
 def test_warc(spark, sf, tmp_path):
