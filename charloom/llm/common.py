@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -19,12 +20,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir as the cluster names it; a local one only where it is unset."""
+    """This application's folder within the one all executors share, which is spark.checkpoint.dir as the cluster names it. A
+    local one takes its place only where it is unset and the driver runs all tasks itself, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='shared')}"
         spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    return f"{found.rstrip('/')}/charloom-{spark.sparkContext.applicationId}"
+
+
+_libc = None
+
+
+def lean() -> None:
+    """Has this Python worker give memory back as soon as it is free: Arrow allocates by malloc, and blocks from 1 MB on are
+    maps of their own, so what one task held isn't there when the next one runs. Workers are reused, hence once per process."""
+    global _libc
+    if _libc is None:
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            _libc = ctypes.CDLL(None)
+            _libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+            _libc.mallopt(-8, 1)  # M_ARENA_MAX
+        except (OSError, AttributeError):  # another C library
+            _libc = False
+
+
+def trim() -> None:
+    """Returns what malloc has kept; called as a task ends."""
+    if _libc:
+        _libc.malloc_trim(0)
 
 
 def save(df: DataFrame, label: str) -> DataFrame:
@@ -56,6 +83,7 @@ def map_rows(df: DataFrame, work: Callable[[], Callable[..., Iterable[tuple]]],
     fields = _arrow_schema(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         each = work()
         out: list[tuple] = []
         for batch in batches:
@@ -70,6 +98,8 @@ def map_rows(df: DataFrame, work: Callable[[], Callable[..., Iterable[tuple]]],
             out.extend(each.finish())
         if out:
             yield _batch(out, fields)
+        del each, out
+        trim()
 
     return df.mapInArrow(run, schema)
 

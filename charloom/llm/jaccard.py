@@ -7,32 +7,42 @@ are linked when their intersection is at least `threshold` per cent of their uni
 2. Per set, the shared shingles are ordered from rare to frequent. A set links only if it shares one of its first
    n - ceil(threshold * n) + 1 shingles, so sets whose first shingles are all their own are done. The lists of these first
    shingles are the short ones; they tell which sets need to meet.
-3. Sets that such lists chain together are searched together, a large chain in pairs of blocks, each with its own inverted
-   index: the short lists are merged and counted, sets that reach T - L occurrences are probed in the L long ones by
-   binary search (DivideSkip), and those that reach the required overlap are linked. Sets that a block has already tied
-   together aren't compared again, and only the ties are kept, so a block's output is linear in its sets.
+3. Sets that such lists chain together are searched together (`search`): per set, its short inverted lists are merged through
+   a heap that skips what can't reach T - L occurrences, the L long ones are probed by binary search (DivideSkip), and sets
+   that reach the required overlap are tied.
+4. A chain too large for one task is cut into blocks by size class and hash. Each block is searched by itself and against the
+   first block of its class, which is linear in the chain. Only sets that this leaves outside the chain's largest component are
+   then asked, in blocks, against all sets of the neighbouring classes: pairs within the largest component need no look.
+   A chain whose sets are like each other without being linked still costs its sets outside times its sets.
 
 Empty or null texts have the empty set and are linked with nothing. Every row gets a result, repeated rows included; a null
-doc_id is no one's component. Ties need no rule, since a component is named by its smallest doc_id.
+doc_id is no one's component. Ties need no rule, since a component is named by its smallest doc_id. An empty table gives no
+rows. Only the two columns are read, whatever others are called.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
+from bisect import bisect_left
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import packed
-from .common import _arrow_schema, save, table, texts
+from .common import _arrow_schema, drop, lean, save, table, texts, trim
 from .components import components
 
 SHINGLE = 5
 THRESHOLD = 80
 #: Sets in a block, and bytes of their shingles, up to which a chain is searched in one piece.
 BLOCK_SETS = 700
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
+#: Sets that a block's others are compared with directly before the search.
+LEADERS = 4
+#: Rows of block counts up to which they are broadcast.
+BROADCAST_ROWS = 100_000
 
 
 def tokens(text: str) -> list[bytes]:
@@ -66,7 +76,8 @@ def postings(docs: DataFrame, buckets: int, width: int) -> DataFrame:
 
     def take(ids, lengths, words):
         owner, h, size, sig = shingle_sets(lengths, words, width)
-        rows = [(2, int(packed.mix(ids[:1].view(np.uint64))[0] % np.uint64(1 << 30)), packed.pack(ids, size, sig))]
+        mark = packed.mix(packed.mix(ids.view(np.uint64)).sum(keepdims=True))
+        rows = [(2, int(mark[0] % np.uint64(1 << 30)), packed.pack(ids, size, sig))]
         first = np.zeros(len(ids), bool)
         first[np.unique(sig, return_index=True)[1]] = True
         keep = np.flatnonzero(first[owner])
@@ -82,10 +93,12 @@ def postings(docs: DataFrame, buckets: int, width: int) -> DataFrame:
     return docs.mapInArrow(run, packed.ROWS)
 
 
-def shared(blocks: DataFrame, groups: int) -> DataFrame:
-    """Postings of shingles that two sets or more have, by group of sets, with the number of sets. Kind 2 passes through."""
+def shared(blocks: DataFrame, groups: int, buckets: int) -> DataFrame:
+    """Postings of shingles that two sets or more have, by group of sets, with the number of sets. Kind 2 passes through, dealt
+    over all buckets, so a bucket's share of it doesn't grow with the input."""
 
     def run(key, rows):
+        lean()
         out, h, sig, size = [], [], [], []
         for k, g, block in zip(rows.column("kind").to_pylist(), rows.column("key").to_pylist(), rows.column("block").to_pylist()):
             if k == 2:
@@ -119,9 +132,12 @@ def shared(blocks: DataFrame, groups: int) -> DataFrame:
                     own, counts = packed.counted(sig[at])
                     ends = np.cumsum(counts) - 1
                     out.append((0, g, packed.pack(own, size[at][ends], counts.astype(np.uint32), h[at], np.minimum(df[at], 0xFFFFFFFF).astype(np.uint32))))
-        return packed.rows_table(out)
+        made = packed.rows_table(out)
+        del h, sig, size, out
+        trim()
+        return made
 
-    return blocks.groupBy(F.expr("case when kind = 0 then key else pmod(hash(key), 64) end")).applyInArrow(run, packed.ROWS)
+    return blocks.groupBy(F.expr(f"case when kind = 0 then key else pmod(hash(key), {buckets}) end")).applyInArrow(run, packed.ROWS)
 
 
 SETS = "kind int, sig long, size long, doc_id long, short int, shingles array<long>"
@@ -135,6 +151,7 @@ def candidates(shared_blocks: DataFrame, threshold: int) -> DataFrame:
     def run(key, rows):
         import pyarrow as pa
 
+        lean()
         sig, size, h, df, out = [], [], [], [], []
         for k, block in zip(rows.column("kind").to_pylist(), rows.column("block").to_pylist()):
             raw = packed.unpack(block)
@@ -160,6 +177,8 @@ def candidates(shared_blocks: DataFrame, threshold: int) -> DataFrame:
                     at = np.repeat(starts[part], counts[part]) + packed.within(counts[part])
                     lists = pa.ListArray.from_arrays(pa.array(packed.starts_of(counts[part]).astype(np.int32)), pa.array(h[at].view(np.int64)))
                     out.append(pa.Table.from_arrays([pa.array(np.zeros(len(part), np.int32)), pa.array(own[part]), pa.array(n[part]), pa.nulls(len(part), pa.int64()), pa.array(short[part].astype(np.int32)), lists], names=fields.names).cast(fields))
+        del sig, size, h, df
+        trim()
         return pa.concat_tables(out) if out else fields.empty_table()
 
     return shared_blocks.groupBy("key").applyInArrow(run, SETS)
@@ -189,95 +208,194 @@ def required(a, b, threshold: int):
     return -(-threshold * (a + b) // (100 + threshold))
 
 
-def divide_skip(sizes: np.ndarray, sets: list[np.ndarray], side: np.ndarray, threshold: int) -> list[tuple[int, int]]:
-    """Ties among the sets: all pairs if `side` is all 0, else pairs of sides 0 and 1. Sets are arrays of distinct shingles."""
+def merge_skip(lists: list[list[int]], need: int) -> list[tuple[int, int]]:
+    """(member, lists that hold it) of the members of `need` lists or more. The lists ascend; a heap has the next member of
+    each. Members that fewer lists are left for are skipped by binary search."""
+    n, at, out = len(lists), [0] * len(lists), []
+    heap = [x[0] * n + i for i, x in enumerate(lists)]
+    heapq.heapify(heap)
+    pop, push = heapq.heappop, heapq.heappush
+    while len(heap) >= need:
+        member = heap[0] // n
+        taken = []
+        while heap and heap[0] // n == member:
+            taken.append(pop(heap) % n)
+        if len(taken) >= need:
+            out.append((member, len(taken)))
+            to = member + 1
+        else:
+            while heap and len(taken) < need - 1:
+                taken.append(pop(heap) % n)
+            if not heap:
+                break
+            to = heap[0] // n
+        for i in taken:
+            x = lists[i]
+            k = at[i] = bisect_left(x, to, at[i])
+            if k < len(x):
+                push(heap, x[k] * n + i)
+    return out
+
+
+class Lists:
+    """Inverted lists of the sets numbered `which`, as their ranks in ascending order."""
+
+    def __init__(self, sets: list[np.ndarray], which: np.ndarray, rank: np.ndarray):
+        lengths = np.array([len(sets[i]) for i in which], np.int64)
+        flat = np.concatenate([sets[i] for i in which]) if len(which) else np.empty(0, np.int64)
+        owner = np.repeat(rank[which].astype(np.int32), lengths)
+        order = np.lexsort((owner, flat))
+        self.keys, self.members = flat[order], owner[order]
+
+    def of(self, shingles: np.ndarray) -> list[np.ndarray]:
+        lo, hi = np.searchsorted(self.keys, shingles), np.searchsorted(self.keys, shingles, "right")
+        return [self.members[a:b] for a, b in zip(lo.tolist(), hi.tolist()) if a < b]
+
+
+def search(sizes: np.ndarray, sets: list[np.ndarray], root: np.ndarray, ask: np.ndarray, held: np.ndarray, threshold: int) -> list[tuple[int, int]]:
+    """Ties between sets to ask for and sets held (`ask` is within `held` or apart from it), besides those that equal roots
+    tell. Sets are arrays of distinct shared shingles, sizes those of the whole sets."""
     n = len(sets)
-    lengths = np.array([len(s) for s in sets])
-    flat, owner = np.concatenate(sets), np.repeat(np.arange(n), lengths)
-    order = np.lexsort((owner, flat))
-    keys, members = flat[order], owner[order]
-    cross = bool(side.any())
+    lengths = np.array([len(x) for x in sets])
     ties, out = Ties(n), []
-    # larger sets first: a set is compared with those that came before, which are at least as large
-    rank = np.empty(n, np.int64)
-    rank[np.lexsort((np.arange(n), -sizes))] = np.arange(n)
-    for q in np.argsort(rank):
-        t = -(-threshold * int(sizes[q]) // 100)
-        if lengths[q] < t:
-            continue
-        lo, hi = np.searchsorted(keys, sets[q]), np.searchsorted(keys, sets[q], "right")
-        by_length = np.argsort(hi - lo, kind="stable")
-        longest = int(hi[by_length[-1]] - lo[by_length[-1]])
-        # DivideSkip's number of long lists: T / (mu * log M + 1)
-        n_long = min(t - 1, int(t / (0.01 * math.log2(longest + 1) + 1)), len(by_length) - 1)
-        split = len(by_length) - n_long
-        short = np.concatenate([members[lo[i] : hi[i]] for i in by_length[:split]])
-        counts = np.bincount(short, minlength=n)
-        found = np.flatnonzero(counts >= max(1, t - n_long))
-        found = found[rank[found] < rank[q]]
-        found = found[(lengths[found] >= t) & (100 * sizes[q] >= threshold * sizes[found])]
-        if cross:
-            found = found[side[found] != side[q]]
-        if not len(found):
-            continue
-        home = ties.root(q)
-        found = found[[ties.root(int(c)) != home for c in found]]
-        if not len(found):
+    for i, j in zip(range(n), np.unique(root, return_index=True)[1][np.unique(root, return_inverse=True)[1]].tolist()):
+        ties.tie(i, j)
+
+    def tie(i: int, j: int) -> None:
+        if ties.tie(i, j):
+            out.append((i, j))
+
+    # sets that link with a leader need no search among each other
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(n), lengths)
+    led: set[int] = set()
+    for i in np.argsort(sizes, kind="stable")[np.linspace(0, n - 1, min(n, 64)).astype(int)].tolist():
+        if len(led) >= LEADERS or ties.root(i) in led:
             continue
-        need, total = required(sizes[found], sizes[q], threshold), counts[found].copy()
-        left = n_long
-        for i in by_length[split:]:  # long lists, by binary search
-            part = members[lo[i] : hi[i]]
-            at = np.minimum(np.searchsorted(part, found), len(part) - 1)
-            total += part[at] == found
-            left -= 1
-            alive = total + left >= need
-            if not alive.all():
-                found, need, total = found[alive], need[alive], total[alive]
-                if not len(found):
-                    break
-        for c in found[total >= need].tolist():
-            if ties.tie(int(q), c):
-                out.append((int(q), c))
+        common = np.bincount(owner[np.isin(flat, sets[i])], minlength=n)
+        for j in np.flatnonzero(common >= required(sizes, sizes[i], threshold)).tolist():
+            tie(i, j)
+        led = {ties.root(k) for k in led} | {ties.root(i)}
+    del flat, owner
+    # a larger set comes first: it is asked for with those that are as large at least
+    by_rank = np.lexsort((np.arange(n), -sizes))
+    rank = np.empty(n, np.int64)
+    rank[by_rank] = np.arange(n)
+    home = np.array([ties.root(i) for i in range(n)])
+    most = home == np.bincount(home).argmax()
+    for asked, lists in ((ask & ~most, np.flatnonzero(held)), (ask & most, np.flatnonzero(held & ~most & ~ask))):
+        if asked.any() and len(lists):
+            index = Lists(sets, lists, rank)
+            for q in by_rank[asked[by_rank]].tolist():
+                _ask(q, index, sizes, lengths, sets[q], by_rank, rank, asked, ties, tie, threshold)
     return out
 
 
-def links(sets: DataFrame, threshold: int) -> DataFrame:
-    """(a, b) signatures: ties that connect what the links connect."""
-    # sets that share a short list, around the smallest of the list
-    lists = sets.select("sig", F.explode(F.slice("shingles", 1, "short")).alias("h"))
-    heads = lists.groupBy("h").agg(F.min("sig").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    meets = lists.join(heads.select("h", "head"), "h").where("sig != head").select(F.col("sig").alias("a"), F.col("head").alias("b")).distinct()
-    chains = save(components(meets).select(F.col("node").alias("sig"), F.col("root").alias("chain")), "chains")
-    held = sets.select("sig", "size", "shingles").join(chains, "sig")
-    room = held.groupBy("chain").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("shingles") * F.lit(8)).alias("bytes"))
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_SETS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
-    dealt = held.join(room.select("chain", blocks.alias("n_blocks")), "chain").withColumn("own", F.pmod(F.xxhash64("sig"), F.col("n_blocks")).cast("int"))
-    # a block meets itself and each other block
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select("chain", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "sig", "size", "shingles")
+def _ask(q: int, index: Lists, sizes, lengths, shingles, by_rank, rank, asked, ties: Ties, tie, threshold: int) -> None:
+    """DivideSkip for one set: ties it to the sets of the index that reach the required overlap."""
+    t = -(-threshold * int(sizes[q]) // 100)
+    lists = index.of(shingles)
+    if len(lists) < t:
+        return
+    lists.sort(key=len)
+    # DivideSkip's number of long lists: T / (mu * log M + 1)
+    n_long = min(t - 1, int(t / (0.01 * math.log2(len(lists[-1]) + 1) + 1)), len(lists) - 1)
+    found = merge_skip([x.tolist() for x in lists[: len(lists) - n_long]], t - n_long)
+    home, alive, counts = ties.root(q), [], []
+    for r, c in found:
+        i = int(by_rank[r])
+        # of two sets that are both asked for, the later one meets the earlier
+        if i != q and not (asked[i] and r > rank[q]) and lengths[i] >= t and 100 * sizes[q] >= threshold * sizes[i] and 100 * sizes[i] >= threshold * sizes[q] and ties.root(i) != home:
+            alive.append(r)
+            counts.append(c)
+    if not alive:
+        return
+    ranks, total = np.array(alive, np.int32), np.array(counts)
+    need, left = required(sizes[by_rank[ranks]], sizes[q], threshold), n_long
+    for part in lists[len(lists) - n_long :]:  # long lists, by binary search
+        total += part[np.minimum(np.searchsorted(part, ranks), len(part) - 1)] == ranks
+        left -= 1
+        keep = total + left >= need
+        if not keep.all():
+            ranks, need, total = ranks[keep], need[keep], total[keep]
+            if not len(ranks):
+                return
+    for r in ranks[total >= need].tolist():
+        tie(q, int(by_rank[r]))
+
+
+PARTS = ["chain", "p", "q", "r", "s"]
+
+
+def _searched(dealt: DataFrame, threshold: int) -> DataFrame:
+    """(a, b): ties within each group of PARTS. side 0: asked for and held; 1: held only; 2: asked for only."""
 
     def run(key, rows):
         import pyarrow as pa
 
+        lean()
         sig = rows.column("sig").to_numpy()
         order = np.argsort(sig)
-        sizes, side = rows.column("size").to_numpy()[order], rows.column("side").to_numpy()[order]
-        lists = rows.column("shingles").combine_chunks()
-        if isinstance(lists, pa.ChunkedArray):
-            lists = pa.concat_arrays(lists.chunks)
+        sizes, side, root = (rows.column(c).to_numpy()[order] for c in ("size", "side", "root"))
+        lists = pa.chunked_array(rows.column("shingles").chunks).combine_chunks()
         values, at = lists.values.to_numpy(), lists.offsets.to_numpy()
-        found = divide_skip(sizes, [values[at[i] : at[i + 1]] for i in order], side, threshold)
+        found = search(sizes, [values[at[i] : at[i + 1]] for i in order], root, side != 1, side != 2, threshold) if len(sig) > 1 else []
         a, b = zip(*found) if found else ((), ())
-        return pa.table({"a": pa.array(sig[order][list(a)], pa.int64()), "b": pa.array(sig[order][list(b)], pa.int64())})
+        made = pa.table({"a": pa.array(sig[order][list(a)], pa.int64()), "b": pa.array(sig[order][list(b)], pa.int64())})
+        trim()
+        return made
+
+    return dealt.select(*PARTS, "side", "sig", "size", "root", "shingles").groupBy(*PARTS).applyInArrow(run, "a long, b long")
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """A saved table, broadcast if its rows are few enough."""
+    held = save(df, "jaccard-room")
+    return F.broadcast(held) if held.count() <= BROADCAST_ROWS else held
 
-    return dealt.groupBy("chain", "i", "j").applyInArrow(run, "a long, b long")
+
+def links(sets: DataFrame, threshold: int) -> DataFrame:
+    """(a, b) signatures: ties that connect what the links connect."""
+    # sets that share a short list, around the smallest of the list
+    lists = sets.select("sig", F.explode(F.slice("shingles", 1, "short")).alias("h"))
+    heads = lists.groupBy("h").agg(F.min("sig").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    meets = lists.join(heads.select("h", "head"), "h").where("sig != head").select(F.col("sig").alias("a"), F.col("head").alias("b")).distinct()
+    chains = components(meets).select(F.col("node").alias("sig"), F.col("root").alias("chain"))
+    # linked sets are of the same size class or of neighbouring ones
+    step = math.log(100 / threshold) * 1.01
+    held = save(sets.select("sig", "size", "shingles").join(chains, "sig").withColumn("cls", F.floor(F.log("size") / F.lit(step)).cast("int")), "jaccard-chains")
+    many = (F.col("n") > BLOCK_SETS) | (F.col("bytes") > BLOCK_BYTES)
+    by_class = held.groupBy("chain", "cls").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("shingles") * F.lit(8)).alias("bytes"))
+    large = by_class.groupBy("chain").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).where(many).select("chain")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_SETS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks")
+    room = _small(by_class.join(large, "chain", "left_semi").select("chain", "cls", blocks))
+    dealt = held.join(room, ["chain", "cls"], "left").withColumn("own", F.pmod(F.xxhash64("sig"), F.coalesce("blocks", F.lit(1))).cast("int"))
+    # block 0 of a class comes to each other block and is compared there, but not with itself again
+    at = F.when(F.col("blocks").isNull() | (F.col("own") > 0), F.array("own")).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
+    first = dealt.select("*", F.explode(at).alias("q")).withColumns({"p": F.when(F.col("blocks").isNull(), F.lit(None).cast("int")).otherwise(F.col("cls")), "r": F.lit(0), "s": F.lit(0), "root": F.col("sig"), "side": (F.col("q") != F.col("own")).cast("int")})
+    ties = save(_searched(first, threshold), "jaccard-ties")
+    if room.isEmpty():
+        return ties
+    # of large chains, what is outside the largest component asks all neighbouring classes
+    roots = components(ties).select(F.col("node").alias("sig"), "root")
+    whole = save(dealt.where("blocks is not null").join(roots, "sig", "left").withColumn("root", F.coalesce("root", "sig")), "jaccard-large")
+    most = _small(whole.groupBy("chain", "root").count().groupBy("chain").agg(F.max_by("root", F.struct("count", "root")).alias("most")))
+    rest = whole.join(most, "chain").where("root != most").drop("most", "blocks")
+    asked = _small(rest.groupBy("chain", "cls").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("shingles") * F.lit(8)).alias("bytes")).select("chain", F.col("cls").alias("p"), blocks.alias("asked")))
+    if asked.isEmpty():
+        return ties
+    near = F.explode(F.array(F.col("cls") - 1, F.col("cls"), F.col("cls") + 1))
+    of_rest = rest.withColumn("p", F.col("cls")).join(asked, ["chain", "p"]).withColumn("q", F.pmod(F.xxhash64("sig", F.lit(1)), "asked").cast("int"))
+    of_rest = of_rest.withColumn("r", near).join(room.select("chain", F.col("cls").alias("r"), "blocks"), ["chain", "r"]).withColumn("s", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(2))
+    of_all = whole.drop("blocks").withColumn("p", near).join(asked, ["chain", "p"]).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("asked") - 1))).withColumns({"r": F.col("cls"), "s": F.col("own"), "side": F.lit(1)})
+    columns = [*PARTS, "side", "sig", "size", "root", "shingles"]
+    return ties.unionByName(save(_searched(of_rest.select(columns).unionByName(of_all.select(columns)), threshold), "jaccard-ties"))
 
 
 def jaccard_components(docs: DataFrame, width: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id."""
     rows = texts(docs)
     n = packed.buckets_for(rows)
-    found = save(candidates(shared(postings(rows, n, width), packed.groups_for(n)), threshold), "jaccard-sets")
+    found = save(candidates(shared(postings(rows, n, width), packed.groups_for(n), n), threshold), "jaccard-sets")
     roots = components(links(found.where("kind = 0").select("sig", "size", "short", "shingles"), threshold))
     members = found.where("kind = 2").select("doc_id", F.col("size").alias("n_shingles"), "sig")
     # by set first, then by component, so a hot set or component is one row a task

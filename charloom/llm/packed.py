@@ -14,10 +14,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean, trim
+
 #: Words whose windows a task gathers before it sends a block to each bucket, and that a bucket gets in all.
-CHUNK_WORDS = 800_000
-BUCKET_WORDS = 2_000_000
-MEMO = 150_000
+CHUNK_WORDS = 500_000
+BUCKET_WORDS = 1_000_000
+MEMO = 100_000
 NULL_ID = -(1 << 63)
 ROWS = "kind int, key int, block binary"
 M1, M2, M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -155,6 +157,7 @@ def counted(owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def chunked(batches, tokens, take):
     """Gathers (doc_id, words) of the batches' rows until CHUNK_WORDS words are there, then yields what take() makes of them:
     take(ids, lengths, word hashes). tokens(text) gives the words."""
+    lean()
     hashes = WordHashes()
     ids, lengths, words, held = [], [], [], 0
     for batch in batches:
@@ -171,6 +174,8 @@ def chunked(batches, tokens, take):
                     ids, lengths, words, held = [], [], [], 0
     if ids:
         yield from take(np.array(ids, np.int64), np.array(lengths, np.int64), np.concatenate(words).view(np.uint64))
+    del hashes, ids, lengths, words
+    trim()
 
 
 def rows_batch(rows: list[tuple[int, int, bytes]]):
