@@ -4,9 +4,11 @@ A package is a ZIP file of two stored members: archive/data.warc.gz (each record
 indexes/index.cdx (a line per record: id, offset, length). The reader parses the end-of-directory record, ZIP64 ones included,
 finds the stored members in the central directory and range-reads records in place; nothing is unpacked to disk.
 
-A null html is an empty payload. Repeated page_ids stay records of their own: each row gets a record. Of equal rows with a
-large payload one is the response. Packages live in the shared folder under names no other attempt uses, and only those that
-a finished task names are read, so a lost executor leaves unread files at worst.
+A null html is an empty payload. Repeated page_ids stay records of their own: each row gets a record, and rows of one page_id
+with different payloads are told apart by digest. Of equal rows with a large payload one is the response. A null page_id is
+smaller than any other; large payloads that null ids alone have are all responses. An empty table gives no package. Other
+columns are ignored. Packages live in the shared folder under names no other attempt uses, and only those that a finished task
+names are read, so a lost executor leaves unread files at worst.
 """
 
 from __future__ import annotations
@@ -17,14 +19,17 @@ import struct
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, save, shared_dir, table
+from .common import lean, map_rows, save, shared_dir, table, trim
 
 #: Payloads shorter than this are never revisits.
 LEAST = 1000
+#: Bytes of a package, from which a task goes on in another one.
+PACKAGE_BYTES = 1 << 30
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 #: Bytes of the file's end in which the end-of-directory record lies: its 22 bytes and the longest comment.
 TAIL = 22 + 65535 + 20
@@ -147,53 +152,88 @@ def clean_url(url: str) -> str:
     return "".join(c for c in url if c.isprintable() and c != " ")
 
 
-def write_packages(pages: DataFrame, folder: str) -> DataFrame:
-    """(package, records): one ZIP per task. Of equal payloads of LEAST bytes or more, the largest page_id has the response."""
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"))
-    # without payloads: what each digest refers to
-    keys = rows.select("page_id", F.sha1("payload").alias("digest"), F.length("payload").alias("n")).where(F.col("n") >= LEAST)
-    groups = keys.groupBy("digest", "n").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
-    revisits = keys.join(groups, ["digest", "n"]).where("page_id < refers_to").select("page_id", "refers_to").distinct()
-    whole = rows.repartition("page_id").join(revisits, "page_id", "left").select("page_id", "url", "payload", "refers_to")
+def record_id(page_id, digest: str, extra: str = "") -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}/{digest}/{extra}')}>"
+
+
+def revisits_of(rows: DataFrame) -> DataFrame:
+    """(page_id, digest, refers_to, once) of the payloads of LEAST bytes or more that others equal; rows: page_id, digest, n.
+    Where `once` is true, several equal rows have the largest page_id, and all but one of them revisit it."""
+    # by row first, so a hot payload is one row per page_id and task
+    keys = rows.where(F.col("n") >= LEAST).groupBy("digest", "n", "page_id").agg(F.count(F.lit(1)).alias("copies"))
+    top = keys.groupBy("digest", "n").agg(F.max("page_id").alias("refers_to"), F.sum("copies").alias("all")).where("all > 1 and refers_to is not null")
+    once = F.coalesce(F.col("page_id") == F.col("refers_to"), F.lit(False))
+    return keys.join(top, ["digest", "n"]).where(~once | (F.col("copies") > 1)).select("page_id", "digest", "refers_to", once.alias("once"))
+
+
+def write_packages(pages: DataFrame, folder: str, date: str | None = None, package_bytes: int = PACKAGE_BYTES) -> DataFrame:
+    """(package, records): a task's ZIP files, each closed once it has package_bytes. Of equal payloads of LEAST bytes or more,
+    the largest page_id has the response. date: WARC-Date of all records, as 2001-01-31T00:00:00Z; now, if none is given."""
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload")).withColumn("digest", F.sha1("payload"))
+    revisits = revisits_of(rows.select("page_id", "digest", F.length("payload").alias("n")))
+    both = [F.coalesce("page_id", F.lit(0)), "digest", F.col("page_id").isNull()]  # a null id joins too
+    keyed = rows.withColumn("k", F.xxhash64(*both)).repartition("k")
+    revisits = revisits.withColumn("k", F.xxhash64(*both)).select("k", F.col("page_id").alias("r_id"), F.col("digest").alias("r_digest"), "refers_to", "once")
+    same = (F.col("k") == F.col("rk")) & F.col("page_id").eqNullSafe(F.col("r_id")) & (F.col("digest") == F.col("r_digest"))
+    whole = keyed.join(revisits.withColumnRenamed("k", "rk"), same, "left").select("page_id", "url", "payload", "digest", "refers_to", F.coalesce("once", F.lit(False)).alias("once"))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        lean()
         store, path = _store(folder)
-        name, out, package, lines = f"{uuid.uuid4().hex}.wacz", None, None, []
-        seen: dict[bytes, int] = {}
+        name = out = package = None
+        lines: list[str] = []
+        answered: set[tuple] = set()  # (page_id, digest) that several rows share, and that one of this task has
+
+        def close():
+            package.end()
+            package.begin(INDEX)
+            for i in range(0, len(lines), 10_000):
+                package.write(("\n".join(lines[i : i + 10_000]) + "\n").encode())
+            package.end()
+            package.close()
+            out.close()
+            return pa.RecordBatch.from_pydict({"package": [f"{folder}/{name}"], "records": pa.array([len(lines)], pa.int64())})
+
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
-                for page_id, url, payload, refers_to in zip(*(c.to_pylist() for c in batch.slice(at, 128).columns)):
+                for page_id, url, payload, digest, refers_to, once in zip(*(c.to_pylist() for c in batch.slice(at, 128).columns)):
                     if package is None:
                         store.create_dir(path, recursive=True)
+                        name = f"{uuid.uuid4().hex}.wacz"
                         out = store.open_output_stream(f"{path}/{name}")
-                        package = PackageWriter(out)
+                        package, lines = PackageWriter(out), []
                         package.begin(ARCHIVE)
-                    digest = hashlib.sha1(payload).hexdigest()
-                    fields = [("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, str(page_id))}>"), ("WARC-Target-URI", clean_url(url)), ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Page-ID", "" if page_id is None else str(page_id)), ("X-Payload-Bytes", str(len(payload)))]
+                    if once and (page_id, digest) not in answered:
+                        answered.add((page_id, digest))
+                        refers_to = None
+                    fields = [("WARC-Date", date), ("WARC-Target-URI", clean_url(url)), ("WARC-Payload-Digest", f"sha1:{digest}"), ("Content-Type", "text/html"), ("X-Page-ID", "" if page_id is None else str(page_id)), ("X-Payload-Bytes", str(len(payload)))]
                     if refers_to is None:
-                        data = record([("WARC-Type", "response"), *fields], payload)
+                        own = record_id(page_id, digest, "" if len(payload) >= LEAST and page_id is not None else f"{name}/{len(lines)}")
+                        data = record([("WARC-Type", "response"), ("WARC-Record-ID", own), *fields], payload)
                     else:
-                        data = record([("WARC-Type", "revisit"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("X-Refers-To", str(refers_to)), *fields], b"")
+                        own = record_id(page_id, digest, f"{name}/{len(lines)}")
+                        data = record([("WARC-Type", "revisit"), ("WARC-Record-ID", own), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(refers_to, digest)), ("X-Refers-To", str(refers_to)), *fields], b"")
                     packed = _gzip(data)
                     lines.append(f"{'' if page_id is None else page_id} {package.write(packed)} {len(packed)}")
+                    if package.at >= package_bytes:
+                        yield close()
+                        package = None
         if package is not None:
-            package.end()
-            package.begin(INDEX)
-            for i in range(0, len(lines), 10_000):
-                package.write(("\n".join(lines[i : i + 10_000]) + "\n").encode())
-            package.end()
-            package.close()
-            out.close()
-            yield pa.RecordBatch.from_pydict({"package": [f"{folder}/{name}"], "records": pa.array([len(lines)], pa.int64())})
+            yield close()
+        trim()
 
     return whole.mapInArrow(run, "package string, records long")
 
 
-def read_packages(packages: DataFrame, block: int = 4 << 20) -> DataFrame:
-    """A row per record: ids, type, and size and digest of the payload. Ranges of up to `block` bytes are read at a time, and
-    a package's records are dealt to several tasks."""
+RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, refers_to_id string"
+
+
+def read_records(packages: DataFrame, block: int = 4 << 20) -> DataFrame:
+    """A row per record, with what it says of its payload; a response's payload is held against that. Ranges of up to `block`
+    bytes are read at a time, and a package's records are dealt to several tasks."""
     spark = packages.sparkSession
 
     def ranges():
@@ -227,16 +267,31 @@ def read_packages(packages: DataFrame, block: int = 4 << 20) -> DataFrame:
                 d = zlib.decompressobj(31)
                 fields, payload = parse(d.decompress(raw) + d.flush())
                 raw = d.unused_data
-                digest = fields["warc-payload-digest"].removeprefix("sha1:")
-                if fields["warc-type"] == "response" and hashlib.sha1(payload).hexdigest() != digest:
-                    raise ValueError("a payload differs from its digest")
-                yield int(fields["x-page-id"]) if fields["x-page-id"] else None, fields.get("warc-target-uri"), int(fields["x-payload-bytes"]), digest, fields["warc-type"], int(fields["x-refers-to"]) if "x-refers-to" in fields else None
+                digest, n = fields["warc-payload-digest"].removeprefix("sha1:"), int(fields["x-payload-bytes"])
+                if fields["warc-type"] == "response" and (len(payload), hashlib.sha1(payload).hexdigest()) != (n, digest):
+                    raise ValueError("a payload differs from its size or digest")
+                page, refers = fields["x-page-id"], fields.get("x-refers-to")
+                yield int(page) if page else None, fields.get("warc-target-uri"), n, digest, fields["warc-type"], None if refers is None else int(refers), fields["warc-record-id"], fields.get("warc-refers-to")
 
         return each
 
     parts = map_rows(packages, ranges, "package string, at long, length long")
     dealt = parts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "package", "at")
-    return map_rows(dealt, records, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return map_rows(dealt, records, RECORDS)
+
+
+def read_packages(packages: DataFrame) -> DataFrame:
+    """The records of the packages. Revisits are resolved: size and digest are those of the response that a revisit refers to
+    by its record id, and a revisit without one fails."""
+    found = save(read_records(packages), "warc-records")
+    whole = found.where("record_type = 'response'").select(F.col("record_id").alias("refers_to_id"), F.col("payload_bytes").alias("n"), F.col("payload_digest").alias("d"))
+    # a hot response has one row for all that refer to it: only the ids asked for are joined, and one row comes back for each
+    asked = found.where("refers_to_id is not null").groupBy("refers_to_id").agg(F.max("payload_bytes").alias("said"), F.max("payload_digest").alias("said_d"), F.min("payload_bytes").alias("least"), F.min("payload_digest").alias("least_d"))
+    held = asked.join(whole, "refers_to_id", "left")
+    bad = held.where(F.col("n").isNull() | (F.col("n") != F.col("said")) | (F.col("d") != F.col("said_d")) | (F.col("n") != F.col("least")) | (F.col("d") != F.col("least_d")))
+    if not bad.isEmpty():
+        raise ValueError("a revisit's response isn't there or differs from what the revisit says")
+    return found.drop("record_id", "refers_to_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
