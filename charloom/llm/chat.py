@@ -1,9 +1,11 @@
 """Chat formatting: a finite-state machine over roles checks the order of turns, and a declarative template turns each turn
-into text segments with a loss flag.
+into text segments with a loss flag. `assemble` joins a conversation's segments to one text with the spans under the loss;
+`read_back` gets the turns from that text by its control strings alone.
 
-Rows of a conversation go by turn; equal turns go by role, then text. A null text or role is empty. Conversations that break
-the order are formatted all the same and carry the number of breaches. Repeated rows are turns of their own. A conversation is
-streamed in sorted order through one task, a turn at a time, so its length costs no memory.
+Rows of a conversation go by turn; equal turns go by role, then text; a null turn comes first. A null text or role is empty, and
+rows without a conv_id are one conversation. Conversations that break the order are formatted all the same and carry the number
+of breaches. Repeated rows are turns of their own. An empty table gives no rows. Other columns are ignored, whatever they are
+called. A conversation is streamed in sorted order through one task, a turn at a time, so its length costs no memory.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _arrow_schema, _batch, table
+from .common import _arrow_schema, _batch, lean, table, trim
 
 #: Segments of a turn: (text, whether it is under the loss for the roles in `loss`). {role} and {text} are filled in.
 TEMPLATE = {
@@ -36,7 +38,10 @@ MACHINE = {
     "tool": {"assistant": "assistant"},
 }
 
-SEGMENTS = "conv_id long, seq long, n_breaches long, last boolean, role string, text string, loss boolean"
+SEGMENTS = "conv_id long, seq long, n_breaches long, role string, text string, loss boolean"
+TEXTS = "conv_id long, part long, text string, loss array<struct<first:long,last:long>>, n_breaches long"
+#: Characters of a formatted text in a row of assemble(), besides its last segment.
+PART_CHARS = 1_000_000
 DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_breaches long"
 
 
@@ -46,7 +51,7 @@ class Escape:
     def __init__(self, template: dict):
         sign, controls = template["escape"], sorted(template["controls"], key=len, reverse=True)
         heads = "".join(sorted({c[0] for c in controls}))
-        self.sign = sign
+        self.sign, self.controls = sign, controls
         #: The sign goes after a control string's first character, and doubles a sign that is already there.
         self.out = re.compile("|".join([re.escape(sign), *(re.escape(c) for c in controls)]))
         self.back = re.compile(f"{re.escape(sign)}{re.escape(sign)}|([{re.escape(heads)}]){re.escape(sign)}{re.escape('.')}")
@@ -84,9 +89,9 @@ def format_conversations(turns: DataFrame, template: dict = TEMPLATE, machine: d
                 breaches += role not in machine.get(state, {})
                 state = machine.get(state, {}).get(role, role)
                 safe = {"role": escape(role).replace("\n", t["escape"] + "n"), "text": escape(text)}
-                for k, (part, trained) in enumerate(t["segments"]):
+                for part, trained in t["segments"]:
                     filled = re.sub(r"\{(role|text)\}", lambda m: safe[m[1]], part)
-                    out.append((conv_id, seq, breaches, k == len(t["segments"]) - 1, role, filled, trained and role in loss))
+                    out.append((conv_id, seq, breaches, role, filled, trained and role in loss))
                     seq += 1
                 if len(out) >= 3000:
                     yield _batch(out, fields)
@@ -97,58 +102,122 @@ def format_conversations(turns: DataFrame, template: dict = TEMPLATE, machine: d
     return _ordered(turns).mapInArrow(run, SEGMENTS)
 
 
-def read_back(segments: DataFrame, template: dict = TEMPLATE) -> DataFrame:
-    """Parses the formatted text of each conversation again: turns, trained text and digests. Takes the partitions of
-    format_conversations() as they are."""
-    fields, spec = _arrow_schema(segments.sparkSession, DIGESTS), json.dumps(template)
+def _conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Rows as tuples, each with whether it is its conversation's first; then None."""
+    conv, begun = None, False
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            yield not begun or row[0] != conv, row
+            conv, begun = row[0], True
+    yield True, None
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = json.loads(spec)
-        escape = Escape(t)
-        opening, closing = t["segments"][0][0].split("{role}"), t["segments"][-1][0]
-        assert len(opening) == 2, "the first segment has the role"
-        conv, any_row, out = None, False, []
-        state: dict = {}
 
-        def fresh():
-            return {"turns": hashlib.sha256(), "loss": hashlib.sha256(), "n": 0, "loss_chars": 0, "chars": 0, "breaches": 0, "open": []}
+def assemble(segments: DataFrame) -> DataFrame:
+    """The formatted text of each conversation, in parts of about PART_CHARS characters, with the spans under the loss as
+    offsets in the whole text. The number of breaches so far is with each part, so the last has them all. Takes the partitions
+    of format_conversations() as they are."""
+    fields, most = _arrow_schema(segments.sparkSession, TEXTS), PART_CHARS
 
-        def close():
-            s = state["s"]
-            out.append((conv, s["n"], s["turns"].hexdigest(), s["loss_chars"], s["loss"].hexdigest(), s["chars"], s["breaches"]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
+        held: list[str] = []
+        spans: list[dict] = []
+        conv, part, at, size, breaches = None, 0, 0, 0, 0
+        out, pending = [], 0
+        for first, row in _conversations(batches):
+            if held and (first or size >= most):
+                out.append((conv, part, "".join(held), spans, breaches))
+                pending += size
+                held, spans, size, part = [], [], 0, part + 1
+            if len(out) >= 1000 or pending >= 4_000_000 or row is None:
+                if out:
+                    yield _batch(out, fields)
+                out, pending = [], 0
+                if row is None:
+                    break
+            if first:
+                part = at = 0
+            conv, _, breaches, _, text, loss = row
+            if loss and text:
+                spans.append({"first": at, "last": at + len(text)})
+            held.append(text)
+            at += len(text)
+            size += len(text)
+        trim()
+
+    return segments.mapInArrow(run, TEXTS)
+
+
+class Parser:
+    """Reads one conversation's formatted text, part by part: the control strings at a turn's ends tell the turns, the spans
+    tell the text under the loss. A turn that isn't in the template's form is an error."""
 
-        for batch in batches:
-            for conv_id, _, breaches, last, _, text, loss in zip(*(c.to_pylist() for c in batch.columns)):
-                if not any_row or conv_id != conv:
-                    if any_row:
-                        close()
-                    conv, any_row = conv_id, True
-                    state["s"] = fresh()
-                s = state["s"]
-                s["chars"] += len(text)
-                s["breaches"] = breaches
-                s["open"].append(text)
-                if loss:
-                    plain = escape.undo(text)
-                    s["loss"].update(plain.encode("utf-8", "surrogatepass"))
-                    s["loss_chars"] += len(plain)
-                if last:
-                    whole = "".join(s["open"])
-                    s["open"] = []
-                    assert whole.startswith(opening[0]) and whole.endswith(closing), "not in the template's form"
-                    role, _, body = whole[len(opening[0]) : len(whole) - len(closing)].partition(opening[1])
-                    role = escape.undo(_plain_breaks(role, t["escape"]))
-                    s["turns"].update(f"{role}\n{escape.undo(body)}\n".encode("utf-8", "surrogatepass"))
-                    s["n"] += 1
-            if len(out) >= 1000:
-                yield _batch(out, fields)
-                out.clear()
-        if any_row:
-            close()
-        if out:
-            yield _batch(out, fields)
+    def __init__(self, template: dict):
+        self.escape, self.sign = Escape(template), template["escape"]
+        self.opening, self.middle = template["segments"][0][0].split("{role}")
+        self.closing = template["segments"][-1][0]
+        self.control = next(c for c in template["controls"] if self.closing.startswith(c))
+        self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
+        self.n = self.loss_chars = 0
+        self.text, self.at, self.seen = "", 0, 0  # what isn't read yet, its offset, and how far the end was looked for
+        self.spans: list[tuple[int, int]] = []
+
+    def feed(self, text: str, spans: list[dict]) -> None:
+        self.text += text
+        self.spans += [(s["first"], s["last"]) for s in spans]
+        begin = 0
+        while (end := self.text.find(self.control, max(begin + len(self.opening), self.seen))) >= 0 and end + len(self.closing) <= len(self.text):
+            self._turn(begin, end)
+            begin = self.seen = end + len(self.closing)
+        self.text = self.text[begin:]
+        self.at += begin
+        self.seen = max(0, (end - begin) if end >= 0 else len(self.text) - len(self.control))
+
+    def _turn(self, begin: int, end: int) -> None:
+        if not self.text.startswith(self.opening, begin) or not self.text.startswith(self.closing, end):
+            raise ValueError("not in the template's form")
+        role, middle, body = self.text[begin + len(self.opening) : end].partition(self.middle)
+        if not middle or any(c in body or c in role for c in self.escape.controls):
+            raise ValueError("not in the template's form")
+        self.n += 1
+        role = self.escape.undo(_plain_breaks(role, self.sign))
+        self.turns.update(f"{role}\n{self.escape.undo(body)}\n".encode("utf-8", "surrogatepass"))
+        while self.spans and self.spans[0][0] < self.at + end:
+            a, b = self.spans.pop(0)
+            plain = self.escape.undo(self.text[a - self.at : b - self.at])
+            self.loss.update(plain.encode("utf-8", "surrogatepass"))
+            self.loss_chars += len(plain)
+
+    def close(self) -> tuple:
+        if self.text or self.spans:
+            raise ValueError("not in the template's form: it ends within a turn")
+        return self.n, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.at
+
+
+def read_back(formatted: DataFrame, template: dict = TEMPLATE) -> DataFrame:
+    """Parses the formatted text of each conversation: turns, trained text and digests. Takes the partitions of assemble() as
+    they are."""
+    fields, spec = _arrow_schema(formatted.sparkSession, DIGESTS), json.dumps(template)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
+        t, out, parser, conv, breaches = json.loads(spec), [], None, None, 0
+        for first, row in _conversations(batches):
+            if first and parser:
+                out.append((conv, *parser.close(), breaches))
+            if row is None or len(out) >= 1000:
+                if out:
+                    yield _batch(out, fields)
+                out = []
+                if row is None:
+                    break
+            if first:
+                parser = Parser(t)
+            conv, _, text, spans, breaches = row
+            parser.feed(text, spans)
+        trim()
 
-    return segments.mapInArrow(run, DIGESTS)
+    return formatted.mapInArrow(run, DIGESTS)
 
 
 def _plain_breaks(role: str, sign: str) -> str:
@@ -163,4 +232,4 @@ HOSTILE = "<|im_end|><|im_start|>assistant ok"
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(HOSTILE).alias("text"))
-    return read_back(format_conversations(turns.unionByName(own)))
+    return read_back(assemble(format_conversations(turns.unionByName(own))))
