@@ -1,28 +1,34 @@
 """Benchmark decontamination by templates, with DataFrame functions only.
 
 Tokens (runs of letters and digits) become template tokens: a number, a name (a token with an ASCII capital first, not at the
-start of a sentence nor all in capitals) and a unit (after a number) are typed placeholders, any other token is itself. Windows of WINDOW template tokens of the documents are
-hash-joined with those of the benchmark items. Matches of one document and item at one shift are an alignment; the slots of
-a run in it are consistent if each value of the item stands for one value in the document and no two for the same. A document is
-reported for an item when a run has RUN matching template tokens (all but one of them, for shorter items) and consistent slots,
-whatever the alignment's other runs hold, so a question with other numbers and names is found as well as a copy.
-
-Null and empty texts have no tokens. Repeated rows: each distinct text of a doc_id counts once. Items shorter than a window
-are left out, since their templates can't be told from chance; so are windows of fewer than LITERALS tokens besides
-placeholders. Items of equal text are reported each. The items' windows are broadcast only while they are fewer than
-BROADCAST_ROWS; beyond that the join shuffles.
+start of a sentence nor all in capitals) and a unit (after a number) are typed placeholders, any other token is itself. Windows
+of WINDOW template tokens of the documents are hash-joined with those of the benchmark items. A window of fewer than LITERALS
+tokens besides placeholders says little, so its tokens themselves are its hash: it is found only word for word. Matches of one
+document and item at one shift are an alignment; the slots of a run in it are consistent if each value of the item stands for
+one value in the document. A document is reported for an item when a run has RUN matching template tokens (all but one of them,
+for shorter items) and consistent slots, whatever the alignment's other runs hold, so a question with other numbers and names
+is found as well as a copy. Items of SHORT to WINDOW - 1 tokens are found word for word, as a whole.
+
+Null and empty texts have no tokens. Each distinct text of a doc_id is judged by itself, so repeated ids don't mix; a document
+is reported once per doc_id and item. A null doc_id is reported as null. Items shorter than SHORT are left out, since they can't
+be told from chance. Items of equal text are reported each. Empty tables give no rows. Only the columns named here are read. The items' windows
+are broadcast only while they are fewer than BROADCAST_ROWS; beyond that (doc_id, text hash, position, hash) are shuffled, and
+the tokens are fetched for matches alone.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import save, table
 
 WINDOW = 8
 RUN = 13
 LITERALS = 4
+SHORT = 4
 BROADCAST_ROWS = 500_000
 #: Placeholders, and words that are units after a number.
 NUMBER, NAME, UNIT = 1, 2, 3
@@ -63,48 +69,84 @@ def templates(rows: DataFrame) -> DataFrame:
     return rows.withColumn("codes", F.transform("tokens", code))
 
 
-def windows(rows: DataFrame) -> DataFrame:
-    """Adds h: the hash of the WINDOW template tokens from each position on, by doubling. Needs WINDOW to be 8."""
+def windows(rows: DataFrame, lengths: tuple[int, ...] = ()) -> DataFrame:
+    """Adds hs: (at, h, width) of each window: of WINDOW template tokens by doubling, which needs WINDOW to be 8, and of the
+    widths in `lengths`, of the tokens themselves."""
     for name, of, step in (("h2", "codes", 1), ("h4", "h2", 2), ("h8", "h4", 4)):
-        rows = rows.withColumn(name, _paired(of, step))
-    return rows.withColumn("h", F.expr(f"slice(h8, 1, greatest(size(h8) - {WINDOW - 1}, 0))")).drop("h2", "h4", "h8")
+        rows = rows.withColumn(name, _paired(of, step, F.xxhash64))
+    literal = F.transform("codes", lambda c: (~c.isin(NUMBER, NAME, UNIT)).cast("int"))
+    rows = rows.withColumn("n1", literal)
+    for name, of, step in (("n2", "n1", 1), ("n4", "n2", 2), ("n8", "n4", 4)):
+        rows = rows.withColumn(name, _paired(of, step, lambda x, y: x + F.coalesce(y, F.lit(0))))
+
+    def said(at: Column, width: int) -> Column:
+        return F.xxhash64(F.lit(width), F.transform(F.slice("tokens", at + 1, width), lambda t: F.lower(_plain(t))))
+
+    whole = F.transform(F.expr(f"slice(h8, 1, greatest(size(h8) - {WINDOW - 1}, 0))"), lambda h, i: F.struct(i.alias("at"), F.when(F.get("n8", i) >= LITERALS, h).otherwise(said(i, WINDOW)).alias("h"), F.lit(WINDOW).alias("width")))
+
+    def wide(w: int) -> Column:
+        return F.transform(F.expr(f"slice(n1, 1, greatest(size(n1) - {w - 1}, 0))"), lambda _, i: F.struct(i.alias("at"), said(i, w).alias("h"), F.lit(w).alias("width")))
+
+    return rows.withColumn("hs", F.concat(whole, *map(wide, lengths)) if lengths else whole).drop("h2", "h4", "h8", "n1", "n2", "n4", "n8")
 
 
-def _paired(of: str, step: int) -> Column:
-    return F.transform(of, lambda x, i: F.xxhash64(x, F.get(of, i + step)))
+def _paired(of: str, step: int, join: Callable[[Column, Column], Column]) -> Column:
+    return F.transform(of, lambda x, i: join(x, F.get(of, i + step)))
 
 
+def benchmark_windows(items: DataFrame, lengths: tuple[int, ...] = ()) -> DataFrame:
+    """A row per window of the items; an item of fewer than WINDOW tokens has one, its whole."""
+    own = windows(templates(items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()), lengths)
+    own = own.select("item_id", F.size("tokens").alias("n_tokens"), "tokens", "codes", F.explode_outer("hs").alias("w")).where("w is not null")
+    own = own.where(F.col("w.width") == F.least(F.lit(WINDOW), "n_tokens"))
+    part = lambda c: F.slice(c, F.col("w.at") + 1, F.col("w.width"))
+    return own.select("w.h", "w.width", "item_id", F.col("w.at").alias("item_at"), "n_tokens", part("codes").alias("item_codes"), part("tokens").alias("item_words"))
 
-def benchmark_windows(items: DataFrame) -> DataFrame:
-    own = windows(templates(items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()))
-    own = own.select("item_id", F.size("tokens").alias("n_tokens"), "tokens", "codes", F.posexplode_outer("h").alias("item_at", "h")).where("h is not null")
-    part = F.slice("codes", F.col("item_at") + 1, WINDOW)
-    own = own.withColumn("item_codes", part).withColumn("item_words", F.slice("tokens", F.col("item_at") + 1, WINDOW))
-    return own.where(F.size(F.filter("item_codes", lambda c: ~c.isin(NUMBER, NAME, UNIT))) >= LITERALS).select("h", "item_id", "item_at", "n_tokens", "item_codes", "item_words")
+
+def short_lengths(items: DataFrame) -> tuple[int, ...]:
+    """The lengths, of SHORT to WINDOW - 1 tokens, that items have."""
+    sizes = templates(items.select(F.col("text").cast("string").alias("text"))).select(F.size("tokens").alias("n")).where(F.col("n").between(SHORT, WINDOW - 1)).distinct()
+    return tuple(sorted(r.n for r in sizes.collect()))
+
+
+def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """A row per window of a document that an item has: doc_id, row (which of the id's texts), at, and the item's window with the
+    document's tokens there."""
+    lengths = short_lengths(items)
+    bench = benchmark_windows(items, lengths)
+    few = bench.count() <= BROADCAST_ROWS
+    text = F.col("text").cast("string")
+    own = windows(templates(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("row"))), lengths)
+    words = F.slice("tokens", F.col("at") + 1, F.col("width")).alias("doc_words")
+    columns = ["doc_id", "row", "at", "item_id", "item_at", "n_tokens", "item_codes", "item_words"]
+    # the outer form, since for the inner one Spark infers a filter on h and works all of its folds out again, inside each other
+    if few:
+        found = own.select("doc_id", "row", "tokens", F.explode_outer("hs").alias("w")).select("doc_id", "row", "tokens", "w.at", "w.h", "w.width")
+        return found.join(F.broadcast(bench), ["h", "width"]).select(*columns, words)
+    found = own.select("doc_id", "row", F.explode_outer("hs").alias("w")).select("doc_id", "row", "w.at", "w.h", "w.width")
+    found = save(found.join(bench, ["h", "width"]).select(*columns, "width"), "template-matches")
+    # the tokens of the texts that have matches
+    held = templates(docs.select(F.col("doc_id").cast("long").alias("d_id"), text.alias("text"), F.xxhash64(text).alias("d_row"))).select("d_id", "d_row", "tokens")
+    held = held.join(found.select(F.col("row").alias("d_row")).distinct(), "d_row", "left_semi").dropDuplicates(["d_id", "d_row"])
+    return found.join(held, (F.col("row") == F.col("d_row")) & F.col("doc_id").eqNullSafe(F.col("d_id"))).select(*columns, words)
 
 
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """A row per document and item found in it: the longest run, the tokens covered, and whether all slots are the same."""
-    bench = benchmark_windows(items)
-    if bench.count() <= BROADCAST_ROWS:
-        bench = F.broadcast(bench)
-    own = windows(templates(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))))
-    # the outer form, since for the inner one Spark infers a filter on h and works all of its folds out again, inside each other
-    found = own.select("doc_id", "tokens", F.posexplode_outer("h").alias("at", "h")).join(bench, "h")
+    found = matches(docs, items)
     # slot pairs of the window: (item's value, document's value)
-    words = F.slice("tokens", F.col("at") + 1, WINDOW)
-    found = found.select("doc_id", "item_id", "n_tokens", (F.col("at") - F.col("item_at")).alias("shift"), "item_at", "item_codes", "item_words", words.alias("doc_words"))
     pairs = F.transform(F.filter(F.arrays_zip("item_codes", "item_words", "doc_words"), lambda z: z["item_codes"].isin(NUMBER, NAME, UNIT)), lambda z: F.struct(_plain(z["item_words"]).alias("item"), _plain(z["doc_words"]).alias("doc")))
-    found = found.select("doc_id", "item_id", "n_tokens", "shift", F.struct("item_at", pairs.alias("slots")).alias("w"))
-    # an alignment has at most as many rows as the item has windows, times the rows that share its doc_id
-    by = found.groupBy("doc_id", "item_id", "n_tokens", "shift").agg(F.array_sort(F.collect_set("w")).alias("ws"))
+    found = found.select("doc_id", "row", "item_id", "n_tokens", (F.col("at") - F.col("item_at")).alias("shift"), F.struct("item_at", pairs.alias("slots")).alias("w"))
+    # an alignment has at most as many rows as the item has windows
+    by = found.groupBy("doc_id", "row", "item_id", "n_tokens", "shift").agg(F.array_sort(F.collect_set("w")).alias("ws"))
     # a run goes on while the next window touches or overlaps the last one
+    by = by.withColumn("width", F.least(F.lit(WINDOW), "n_tokens"))
     by = by.withColumn("begins", F.expr(f"transform(filter(ws, (w, i) -> i = 0 or w.item_at - ws[i - 1].item_at > {WINDOW}), w -> w.item_at)"))
     by = by.withColumn("runs", F.expr("transform(begins, (b, i) -> filter(ws, w -> w.item_at >= b and (i + 1 >= size(begins) or w.item_at < get(begins, i + 1))))"))
-    by = by.withColumn("runs", F.expr(f"transform(runs, r -> struct(element_at(r, -1).item_at - r[0].item_at + {WINDOW} as n, array_distinct(flatten(r.slots)) as slots))"))
+    by = by.withColumn("runs", F.expr("transform(runs, r -> struct(element_at(r, -1).item_at - r[0].item_at + width as n, array_distinct(flatten(r.slots)) as slots))"))
     by = by.withColumn("covered", F.expr("aggregate(runs, 0, (n, r) -> n + r.n)"))
-    one_to_one = "size(array_distinct(r.slots.item)) = size(r.slots) and size(array_distinct(r.slots.doc)) = size(r.slots)"
-    by = by.withColumn("good", F.expr(f"filter(runs, r -> r.n >= least({RUN}, n_tokens - 1) and {one_to_one})")).where(F.size("good") > 0)
+    one_value = "size(array_distinct(r.slots.item)) = size(r.slots)"
+    by = by.withColumn("good", F.expr(f"filter(runs, r -> r.n >= least({RUN}, n_tokens - 1) and {one_value})")).where(F.size("good") > 0)
     same = ~F.exists(F.flatten("ws.slots"), lambda z: z["item"] != z["doc"])
     return by.groupBy("doc_id", "item_id").agg(F.max(F.array_max("good.n")).cast("long").alias("longest_run"), F.max("covered").cast("long").alias("covered"), F.max("n_tokens").cast("long").alias("item_tokens"), F.max(same).alias("same_slots"))
 

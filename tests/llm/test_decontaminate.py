@@ -1,5 +1,6 @@
 """Template decontamination: copies, re-parameterised questions, and what must be left alone."""
 
+import random
 import re
 
 from charloom.llm import decontaminate as d
@@ -17,13 +18,13 @@ def test_templates(spark):
     copy = "Some words first. " + ITEM + " And more."
     other = ITEM.replace("120 km", "75 miles").replace("Anna", "Boris").replace("3 bags", "9 bags")
     torn = ITEM.replace("3 bags", "120 bags").replace("120 km", "75 km")  # 120 and 75 stand for different values at different places
-    clash = ITEM.replace("3 bags", "2 bags").replace("2 boxes", "2 boxes")  # 3 and 2 become the same value
+    alike = ITEM.replace("3 bags", "5 bags").replace("2 boxes", "5 boxes")  # two values may become one
     loud = " ".join(w + "!!" for w in ITEM.upper().split())
     part = " ".join(ITEM.split()[:9])
-    got, docs, bench = found(spark, [copy, other, torn, clash, loud, part, None, "", "unrelated words " * 50, copy])
-    assert set(got) == {(0, 0), (1, 0), (2, 0), (4, 0), (9, 0)}
+    got, docs, bench = found(spark, [copy, other, torn, alike, loud, part, None, "", "unrelated words " * 50, copy])
+    assert set(got) == {(0, 0), (1, 0), (2, 0), (3, 0), (4, 0), (9, 0)}
     assert got[0, 0].same_slots and not got[1, 0].same_slots and got[0, 0].longest_run == got[0, 0].item_tokens
-    assert sorted(r.doc_id for r in d.clean(docs, bench).collect()) == [3, 5, 6, 7, 8]
+    assert sorted(r.doc_id for r in d.clean(docs, bench).collect()) == [5, 6, 7, 8]
     assert d.clean(docs, bench).columns == docs.columns
 
 
@@ -47,6 +48,106 @@ def test_empty_and_short(spark):
     assert d.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def plain_tokens(text):
+    """(token, code) pairs: what the docstring of the module says, written plainly."""
+    raw = [t for t in re.split(r"[^\w.!?]+|_+", text or "") if t and t[0] not in ".!?"]
+    out = []
+    for k, t in enumerate(raw):
+        word, before = t.rstrip(".!?"), raw[k - 1] if k else ""
+        if "0" <= t[0] <= "9":
+            code = "#"
+        elif "A" <= t[0] <= "Z" and k and before[-1] not in ".!?" and t != t.upper():
+            code = "@"
+        elif k and "0" <= before[0] <= "9" and word.lower() in d.UNITS:
+            code = "%"
+        else:
+            code = word.lower()
+        out.append((word, code))
+    return out
+
+
+def plain_hits(text, item):
+    """Whether the text holds the item, by all shifts of one against the other."""
+    a, b = plain_tokens(text), plain_tokens(item)
+    if len(b) < d.SHORT:
+        return False
+    width = min(d.WINDOW, len(b))
+    for shift in range(-len(b), len(a)):
+        at, last, slots = None, None, {}
+        for k in range(len(b) - width + 1):
+            x, y = a[k + shift : k + shift + width] if k + shift >= 0 else [], b[k : k + width]
+            codes = [c for _, c in y]
+            exact = [w.lower() for w, _ in x] == [w.lower() for w, _ in y]
+            loose = len(b) >= d.WINDOW and [c for _, c in x] == codes
+            literals = sum(c not in ("#", "@", "%") for c in codes)
+            other = sum(c not in ("#", "@", "%") for _, c in x)
+            hit = loose if min(literals, other) >= d.LITERALS and len(b) >= d.WINDOW else exact and (len(b) < d.WINDOW or max(literals, other) < d.LITERALS)
+            if len(x) < width or not hit:
+                continue
+            if at is None or k - last > d.WINDOW:
+                at, slots = k, {}
+            last = k
+            for (w, _), (v, c) in zip(x, y):
+                if c in ("#", "@", "%"):
+                    slots.setdefault(v, set()).add(w)
+            if k + width - at >= min(d.RUN, len(b) - 1) and _run_is_good(a, b, at, shift, width):
+                return True
+    return False
+
+
+def _run_is_good(a, b, at, shift, width):
+    """The whole run from `at` on: long enough, and one value for each of the item's."""
+    slots, last = {}, at
+    for k in range(at, len(b) - width + 1):
+        if k - last > d.WINDOW:
+            break
+        x, y = a[k + shift : k + shift + width], b[k : k + width]
+        few = max(sum(c not in ("#", "@", "%") for _, c in z) for z in (x, y)) < d.LITERALS
+        same = [w.lower() for w, _ in x] == [w.lower() for w, _ in y]
+        if len(x) == width and (same if few or len(b) < d.WINDOW else [c for _, c in x] == [c for _, c in y]):
+            last = k
+            for (w, _), (v, c) in zip(x, y):
+                if c in ("#", "@", "%"):
+                    slots.setdefault(v, set()).add(w)
+    return last + width - at >= min(d.RUN, len(b) - 1) and all(len(v) == 1 for v in slots.values())
+
+
+SHORT_ITEMS = ["What is 3 plus 4 in total?", "so few words", "Anna Boris 3 4 Carl 7 km Dora 9 Emil 12 Fred 8", ITEM]
+
+
+def altered(rnd):
+    """The item with other values, some of them twisted, within other words."""
+    words, out = ITEM.split(), []
+    values = {w: rnd.choice(["7", "12", "31", "Boris", "Clara", w, w]) for w in ("120", "3", "2", "Anna")}
+    for w in words:
+        w = values.get(w, w)
+        out.append(rnd.choice(["5", "Dave"]) if rnd.random() < 0.03 else "oddly" if rnd.random() < 0.03 else w)
+    fill = lambda: " ".join(rnd.choices("some plain words stand about here 4 Max km".split(), k=rnd.randrange(12)))
+    return f"{fill()} {' '.join(out)} {fill()}"
+
+
+def test_against_plain_rule(spark, monkeypatch):
+    """The rule, written plainly, on re-parameterised texts; joined by broadcast and by shuffle, and with ids that repeat."""
+    rnd = random.Random(11)
+    texts = [altered(rnd) for _ in range(120)] + SHORT_ITEMS + [f"first words, {t} and more" for t in SHORT_ITEMS] + ["what is 3 plus 5 in total", "WHAT IS 3 PLUS 4 IN TOTAL", "Anna Boris 3 4 Carl 7 km Dora 9 Emil 12 Fred 9"]
+    ids = [None if k % 50 == 7 else k // 2 for k in range(len(texts))]
+    want = {(i, k) for i, t in zip(ids, texts) for k, item in enumerate(SHORT_ITEMS) if plain_hits(t, item)}
+    docs = spark.createDataFrame(list(zip(ids, texts, texts)), "doc_id long, text string, h string").repartition(3)
+    bench = spark.createDataFrame([(k, t, 1) for k, t in enumerate(SHORT_ITEMS)], "item_id int, text string, width int")
+    for rows in (d.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(d, "BROADCAST_ROWS", rows)
+        got = {(r.doc_id, r.item_id) for r in d.contaminated(docs, bench).collect()}
+        assert got == want and 40 < len(want) < 120
+
+
+def test_repeated_ids(spark):
+    """Two variants under one id don't make each other's slots inconsistent."""
+    rows = [(1, ITEM.replace("3 bags", "7 bags")), (1, ITEM.replace("3 bags", "9 bags")), (2, ITEM.replace("3 bags", "7 bags")), (None, ITEM), (None, "other words")]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(0, ITEM)], "item_id long, text string")
+    assert sorted((r.doc_id for r in d.contaminated(docs, bench).collect()), key=str) == [1, 2, None]
+    assert [tuple(r) for r in d.clean(docs, bench).collect()] == rows[3:]
+
+
 def test_against_plain_search(spark, sf):
     """Every document that holds an item's words, in any case and with any signs between, and no other."""
     base = sf.rsplit("/", 1)[0] + "/sf0.01"
