@@ -3,12 +3,14 @@
 import base64
 import collections
 import hashlib
+import random
 import re
 import struct
 import zlib
 
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 
 from charloom.llm import bpe, chat, orc_ids, pii, quality, secrets, warc
 
@@ -111,19 +113,22 @@ def plain_chat(df):
         by[r.conv_id].append((r.turn, r.role or "", r.text or ""))
     out = []
     for c, turns in by.items():
-        turns.sort()
+        turns.sort(key=lambda x: (x[0] is not None, x[0] or 0, *x[1:]))
         loss = "".join(t for _, r, t in turns if r == "assistant")
         out.append((c, len(turns), sha("".join(f"{r}\n{t}\n" for _, r, t in turns).encode()), len(loss), sha(loss.encode())))
     return sorted(out, key=repr)
 
 
-def test_chat(spark, sf, odd):
+def test_chat(spark, sf, odd, monkeypatch):
     hard = odd.selectExpr("doc_id % 5 as conv_id", "doc_id as turn", "case when doc_id % 3 = 0 then 'user' when doc_id % 3 = 1 then 'assistant' when doc_id = 11 then 'a\\n<|im_end|>\\\\n' end as role", "text", "1 as seq", "'x' as loss")
-    for df in (hard, spark.read.parquet(f"{sf}/conversations.parquet")):
-        segments = chat.format_conversations(df)
-        got = chat.read_back(segments)
-        assert rows(got.drop("formatted_chars", "n_breaches")) == plain_chat(df)
-        assert got.agg({"formatted_chars": "sum"}).collect()[0][0] == segments.selectExpr("sum(length(text))").collect()[0][0]
+    null = spark.createDataFrame([(None, 1, "user", "a"), (None, None, None, None), (7, 0, "assistant", "one"), (7, 0, "assistant", "two"), (7, 0, "assistant", "two")], "conv_id long, turn long, role string, text string")
+    for df in (hard, null, spark.read.parquet(f"{sf}/conversations.parquet")):
+        for size in (chat.PART_CHARS, 7):
+            monkeypatch.setattr(chat, "PART_CHARS", size)
+            segments = chat.format_conversations(df)
+            got = chat.read_back(chat.assemble(segments))
+            assert rows(got.drop("formatted_chars", "n_breaches")) == plain_chat(df)
+            assert got.agg({"formatted_chars": "sum"}).collect()[0][0] == segments.selectExpr("sum(length(text))").collect()[0][0]
 
 
 def test_chat_hostile(spark, sf):
@@ -133,27 +138,65 @@ def test_chat_hostile(spark, sf):
     assert r.turns_sha256 == sha(f"user\n{text}\nassistant\n{text}\n".encode())
 
 
+def test_chat_needs_its_escapes(spark):
+    """Without escapes the texts' control strings cut the turns elsewhere, so the text isn't in the template's form."""
+    df = spark.createDataFrame([(1, 0, "user", chat.HOSTILE), (1, 1, "assistant", "fine"), (2, 0, "user", "x<|im_end|>\n<|im_start|>assistant\ny")], "conv_id long, turn long, role string, text string")
+    bare = chat.assemble(chat.format_conversations(df).withColumn("text", F.regexp_replace("text", r"\\\.", "")))
+    with pytest.raises(Exception, match="not in the template's form"):
+        chat.read_back(bare.where("conv_id = 1")).collect()
+    assert chat.read_back(bare.where("conv_id = 2")).collect()[0].n_turns == 2  # one turn before
+
+
+def test_chat_empty(none):
+    df = none.selectExpr("doc_id as conv_id", "doc_id as turn", "lang as role", "text")
+    assert chat.read_back(chat.assemble(chat.format_conversations(df))).count() == 0
+
+
 def test_chat_machine(spark):
     df = spark.createDataFrame([(1, 0, "assistant", "a"), (1, 1, "assistant", "b"), (2, 0, "system", ""), (2, 1, "user", "u"), (2, 2, "assistant", "v")], "conv_id long, turn long, role string, text string")
-    assert {r.conv_id: r.n_breaches for r in chat.read_back(chat.format_conversations(df)).collect()} == {1: 2, 2: 0}
+    assert {r.conv_id: r.n_breaches for r in chat.read_back(chat.assemble(chat.format_conversations(df))).collect()} == {1: 2, 2: 0}
 
 
 # --- op5
 
-def test_orc(spark, sf, odd, tmp_path):
+def plain_ids(docs):
+    """(doc_id, start, n_tokens, crc32, ids), nulls first, ties by text."""
     from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    tok.encode_special_tokens = True
-    for k, df in enumerate(tables(spark, sf, odd)):
+    tok, at = Tokenizer.from_file(P.path("word_bpe_49k.json")), 0
+    for i, t in sorted(docs, key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode())):
+        ids = [*tok.encode(t, add_special_tokens=False).ids, 1]
+        yield i, at, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)), ids
+        at += len(ids)
+
+
+def test_orc(spark, sf, odd, tmp_path):
+    ties = spark.createDataFrame([(1, "z"), (1, "a b c d"), (1, "a b c d"), (None, "no id"), (None, "x"), (0, "hello <|endoftext|> World<|startoftext|>"), (2, "<|ENDOFTEXT|>"), (3, None)], "doc_id long, text string")
+    for k, df in enumerate([*tables(spark, sf, odd), ties]):
         path = orc_ids.write_ids(df, P.path("word_bpe_49k.json"), f"file://{tmp_path}/{k}", parts=5)
-        got = sorted(map(tuple, orc_ids.read_ids(spark, path).collect()))
-        want, at = [], 0
-        for i, t in sorted(documents(df)):
-            ids = [*tok.encode(t, add_special_tokens=False).ids, 1]
-            want.append((i, at, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))))
-            at += len(ids)
-        assert got == want
+        got = sorted(map(tuple, orc_ids.read_ids(spark, path).collect()), key=repr)
+        assert got == sorted((r[:4] for r in plain_ids(documents(df))), key=repr)
+        # the ids stand in the files where start says
+        flat = [i for r in sorted(spark.read.orc(path).collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.inside)) for i in r.ids]
+        assert flat == [i for r in plain_ids(documents(df)) for i in r[4]]
+
+
+def test_orc_files(spark, tmp_path):
+    """Several stripes, row indexes, and a lookup that reads a part of the rows."""
+    from pyarrow import orc
+
+    docs = spark.range(0, 40_000, 2).selectExpr("id as doc_id", "concat_ws(' ', transform(sequence(1, 40), k -> concat('w', pmod(hash(id, k), 5000)))) as text")
+    path = orc_ids.write_ids(docs, P.path("word_bpe_49k.json"), f"file://{tmp_path}/s", parts=2, stripe=1 << 18)
+    files = [orc.ORCFile(str(f)) for f in (tmp_path / "s").glob("*.orc")]
+    assert len(files) == 2 and all(f.nstripes > 1 and f.row_index_stride == 1000 and f.nrows > 5000 for f in files)
+    assert all(list(f.schema.names) == ["doc_id", "inside", "ids"] for f in files)
+    want = {r.doc_id: r.text for r in docs.where("doc_id in (4242, 39998)").collect()}
+    found = orc_ids.lookup(spark, path, [4242, 39998, 4243])
+    plain = {r[0]: r[4] for r in plain_ids(want.items())}
+    assert {r.doc_id: list(r.ids) for r in found.collect()} == plain
+    assert "PushedFilters: [In(doc_id" in found._jdf.queryExecution().executedPlan().toString()
+    scan = spark.read.schema(orc_ids.ROW).orc(path).where("doc_id = 4243")  # between the ends of a file's ids, but in none
+    assert scan.count() == 0
 
 
 def test_orc_empty(none, tmp_path, spark):
@@ -196,6 +239,82 @@ def test_pii_bootstraps(spark):
     assert got[21].spans == "" and all(got[i].n_email == 1 and got[i].n_more == 0 for i in range(12))
 
 
+def plain_bootstrap(docs, rounds=3, trust=0.6, least=5):
+    """The graph of patterns and instances, scored plainly: (doc, kind, first, last) of what is added."""
+    edges, others, where = collections.defaultdict(dict), collections.defaultdict(set), []
+    for i, t in docs:
+        base = pii.base_spans(t)
+        more = [(-1, a, b) for a, b in pii.free(pii.identifiers(t), [(a, b) for _, a, b in base])]
+        for k, a, b in base + more:
+            for c in pii.contexts(t, a, b):
+                edges[c][t[a:b]] = max(k, edges[c].get(t[a:b], -1))
+                if k < 0:
+                    where.append((c, i, a, b, False))
+        for a, b in pii.plain_words(t):
+            for c in pii.contexts(t, a, b):
+                others[c].add(t[a:b].lower())
+                if b - a >= 6 and re.fullmatch("[A-Za-z0-9._/-]+", t[a:b]):
+                    where.append((c, i, a, b, True))
+    edges = {c: e for c, e in edges.items() if len(e) >= least and max(e.values()) >= 0}
+    belief, trusted = {}, {}
+    for e in edges.values():
+        for x, k in e.items():
+            if k >= 0:
+                belief[x] = (min(k, belief.get(x, (9,))[0]), 1.0)
+    for _ in range(rounds):
+        trusted = {}
+        for c, e in edges.items():
+            mass = collections.Counter()
+            for x in e:
+                if x in belief:
+                    mass[belief[x][0]] += belief[x][1]
+            if mass:
+                k = min(mass, key=lambda k: (-mass[k], k))
+                if mass[k] >= least and mass[k] / (len(e) + len(others[c])) >= trust:
+                    trusted[c] = (k, mass[k] / (len(e) + len(others[c])))
+        new = dict(belief)
+        for c, (k, score) in trusted.items():
+            for x, own in edges[c].items():
+                new[x] = max(new.get(x, (9, 0.0)), (k, 1.0 if own >= 0 else score), key=lambda v: (v[1], -v[0]))
+        belief = new
+    out = {}
+    for c, i, a, b, bare in where:
+        if c in trusted and (not bare or trusted[c][0] == 0):
+            out[i, a, b] = min(trusted[c][0], out.get((i, a, b), 9))
+    return {(i, k, a, b) for (i, a, b), k in out.items()}
+
+
+def test_pii_recall(spark):
+    """Unseen identifiers in phrases that seeds are seen in are found, as the plain version does; others are left alone."""
+    rnd = random.Random(4)
+    phrases = {0: ["reach me on {} any time", "write to {} for details", "my address is {} as ever"], 3: ["please call {} after six", "phone number is {} at home"], 1: ["the host at {} went down"]}
+    known = {0: lambda: f"user{rnd.randrange(10**6)}@site{rnd.randrange(99)}.example.com", 3: lambda: f"+44 20 {rnd.randrange(1000, 9999)} {rnd.randrange(1000, 9999)}", 1: lambda: f"10.{rnd.randrange(255)}.{rnd.randrange(255)}.7"}
+    unseen = {0: lambda: rnd.choice(["jane.doe{}", "handle-{}", "user_{}"]).format(rnd.randrange(1000, 99999)), 3: lambda: f"555-{rnd.randrange(1000, 9999)}-{rnd.randrange(100, 999)}", 1: lambda: f"node-{rnd.randrange(1000, 9999)}.internal"}
+    docs, planted, plain = [], set(), "some words of plain prose that stand about and 2024 or box-1234 among them".split()
+    for i in range(400):
+        kind = rnd.choice([0, 0, 3, 1])
+        before = " ".join(rnd.choices(plain, k=rnd.randrange(6)))
+        phrase = rnd.choice(phrases[kind])
+        new = rnd.random() < 0.2
+        value = (unseen if new else known)[kind]()
+        text = f"{before} {phrase.format(value)} {' '.join(rnd.choices(plain, k=5))}"
+        docs.append((i // 2 if i % 9 else None, text))
+        if new:
+            planted.add((text, kind, text.index(value), text.index(value) + len(value)))
+    df = spark.createDataFrame([(i, t, i, t) for i, t in docs], "doc_id long, text string, row long, pattern string")
+    got = set()
+    for r in pii.find_private(df).collect():
+        base = {s for s in r.spans.split(",") if s}
+        got |= {(r.doc_id, s) for s in base} if r.n_more else set()
+    name = lambda k, a, b: f"{pii.KINDS[k]}:{a}:{b}"
+    want = {(i, name(k, a, b)) for n, k, a, b in plain_bootstrap(list(enumerate(t for _, t in docs))) for i in (docs[n][0],)}
+    mine = {(i, name(k, a, b)) for i, t in docs for k, a, b in pii.base_spans(t)}
+    assert got - mine == want - mine
+    ids = {t: i for i, t in docs}
+    hits = {p for p in planted if (ids[p[0]], name(*p[1:])) in got}
+    assert len(hits) >= 0.9 * len(planted) and len(want) <= 1.3 * len(planted)
+
+
 def test_pii_learns_phrases(spark):
     """Phrases without a label become patterns, e-mail phrases mark words without digits, and plain prose becomes none."""
     docs = [(i, f"you can reach me on user{i}@site{i}.example.com, any time") for i in range(12)]
@@ -209,17 +328,34 @@ def test_pii_learns_phrases(spark):
 
 # --- op8
 
-def test_warc(spark, sf, tmp_path):
-    big = "<p>" + "y" * 2000
-    extra = spark.createDataFrame([(900_001, "u", None), (900_002, "u", ""), (900_003, None, big), (900_004, "a b\r\nc", big), (900_005, "v", big), (900_006, "s", "kürz"), (900_007, "s", "kürz")], "page_id long, url string, html string")
-    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html").unionByName(extra)
-    got = rows(warc.read_packages(warc.save(warc.write_packages(pages, f"file://{tmp_path}/w"), "t")).drop("url"))
-    data = [(r.page_id, (r.html or "").encode()) for r in pages.collect()]
-    top = {}
+def plain_warc(rows):
+    """Of equal large payloads the largest id is the response, one row of it; no id is the smallest."""
+    data, top, out, answered = [(i, (h or "").encode()) for i, h in rows], {}, [], set()
+    count = collections.Counter(h for _, h in data)
+    for i, h in data:
+        if i is not None:
+            top[h] = max(i, top.get(h, i))
     for i, h in data:
-        top[h] = max(i, top.get(h, i))
-    want = [(i, len(h), hashlib.sha1(h).hexdigest(), "revisit" if len(h) >= 1000 and top[h] != i else "response", top[h] if len(h) >= 1000 and top[h] != i else None) for i, h in data]
-    assert got == sorted(want, key=repr)
+        again = len(h) >= 1000 and count[h] > 1 and h in top and (i != top[h] or h in answered)
+        if i == top.get(h):
+            answered.add(h)
+        out.append((i, len(h), hashlib.sha1(h).hexdigest(), "revisit" if again else "response", top[h] if again else None))
+    return sorted(out, key=repr)
+
+
+def test_warc(spark, sf, tmp_path):
+    big, other = "<p>" + "y" * 2000, "<p>" + "z" * 2000
+    extra = [(900_001, "u", None), (900_002, "u", ""), (900_003, None, big), (900_004, "a b\r\nc", big), (900_005, "v", big), (900_006, "s", "kürz"), (900_007, "s", "kürz")]
+    # one id with two payloads, equal rows, null ids
+    extra += [(5, "u", big), (5, "u", other), (900_005, "w", big), (900_008, "t", other + "a"), (900_008, "t", other + "a"), (None, "n", big), (None, "n", other + "b"), (None, "n", other + "b")]
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html").unionByName(spark.createDataFrame(extra, "page_id long, url string, html string"))
+    pages = pages.withColumn("digest", pages.url).withColumn("n", pages.url)
+    for k, size in enumerate((warc.PACKAGE_BYTES, 20_000)):
+        packages = warc.save(warc.write_packages(pages, f"file://{tmp_path}/w{k}", package_bytes=size), "t")
+        assert rows(warc.read_packages(packages).drop("url")) == plain_warc([(r.page_id, r.html) for r in pages.collect()])
+        ids = [r.record_id for r in warc.read_records(packages).collect()]
+        assert packages.count() > (4 if k else 0) and len(set(ids)) == len(ids)
+    assert warc.read_packages(warc.save(warc.write_packages(pages.limit(0), f"file://{tmp_path}/none"), "t")).count() == 0
 
 
 def test_warc_plain_zip(tmp_path):
@@ -303,6 +439,32 @@ def test_secrets_run_to_their_end(spark):
     assert time.time() - began < 20
 
 
+CONTEXTS = ("the bearer is {}", "aws_secret_access_key -> {}", "credentials\n{}\n", "signature <{}>", "use {} as the secret here", "private key {} end", "({}) was the auth given")
+
+
+def test_secrets_recall(spark):
+    """Random keys in sensitive contexts are found to their ends and nothing else is; identifiers and paths aren't."""
+    import string
+
+    rnd = random.Random(8)
+    key = lambda: rnd.choice("abcXYZ") + rnd.choice("0123456789") + "".join(rnd.choices(string.ascii_letters + string.digits, k=rnd.choice([18, 24, 38, 62])))
+    word = lambda: rnd.choice(["application_configuration_2", "session-token-handler-v10", "https://example/org/path_to_file_10", "ABCDEFGHIJKLMNOP0123456789", "aaaaaaaaaaaaaaaaaaaaaaaa1", "request_identifier_header_x2"])
+    planted = [(i, rnd.choice(CONTEXTS), key()) for i in range(300)]
+    clean = [(1000 + i, rnd.choice(CONTEXTS), word()) for i in range(300)] + [(2000 + i, "nothing of the kind: {}", key()) for i in range(50)]
+    docs = spark.createDataFrame([(i, f"some text before, {c.format(v)} and after") for i, c, v in planted + clean], "doc_id long, text string")
+    got = {r.doc_id: r for r in secrets.scan(docs).collect()}
+    at = {i: 18 + c.index("{}") for i, c, _ in planted}
+    hits = sum(f"novel:{at[i]}:{at[i] + len(v)}" in got[i].spans.split(",") for i, _, v in planted)
+    wrong = sum(got[i].n_novel > 0 for i, _, _ in clean)
+    assert hits >= 0.95 * len(planted) and wrong <= 0.02 * len(clean), (hits, wrong)
+
+
+def test_secrets_dictionary(spark):
+    docs = spark.createDataFrame([(1, "secret: zebra_word and more zebra_word"), (2, "the token of zebra_word"), (3, "zebra_alone " * 9), (None, None), (4, "a password other_word"), (5, "other_word password")], "doc_id long, text string")
+    assert secrets.learn_identifiers(docs) == b"zebra_word password other_word " + secrets.IDENTIFIERS
+    assert secrets.learn_identifiers(docs.limit(0)) == b" " + secrets.IDENTIFIERS
+
+
 def test_redact(spark, odd):
     df = spark.createDataFrame([(1, 'a token = "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda" b', 9), (2, "clean", 5), (3, None, 0)], "doc_id long, text string, n_chars long")
     got = {r.doc_id: (r.text, r.n_chars) for r in secrets.redact(df).collect()}
@@ -318,7 +480,7 @@ def test_identifiers():
     import time
 
     text = "id: AB-1234/x, 12 user0123.nobody-4567. " + "9" * 100 + " x1 y2 -1234567-"
-    assert [text[a:b] for a, b in pii.identifiers(text)] == ["AB-1234/x", "user0123.nobody-4567", "1234567"]
+    assert [text[a:b] for a, b in pii.identifiers(text)] == ["AB-1234/x", "user0123.nobody-4567", "9" * 100, "1234567"]
     began = time.time()
     for bad in ("x" * 200_000 + "1", "1x" * 100_000, "a@" * 100_000, "1 " * 100_000, "1." * 100_000, "+1" * 100_000):
         pii.base_spans(bad)
@@ -332,12 +494,11 @@ def test_orc_memo(monkeypatch):
 
     path = P.path("word_bpe_49k.json")
     encode, tok = orc_ids.WordIds(open(path, encoding="utf-8").read()), Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     for i in range(40):
         t = " ".join(f"word{(i * k) % 11}{'.' * (k % 3)}" for k in range(9))
         a, b = encode([t, "other " + t])
         assert list(struct.unpack(f"<{len(a) // 4}I", a)) == tok.encode(t, add_special_tokens=False).ids and b.endswith(a)
-    for t in ("été. it's. a' don't!? x### É!! İ. İ.. 12%. ½. (a) <|endoftext|> a_b_ ٣. é́. 'S. \"'s\" naïve,, 中文。. x-y-. #.", "ΣΑΣ. ſ. K. ŉ! ǰ? ß."):
+    for t in ("été. it's. a' don't!? x### É!! İ. İ.. 12%. ½. (a) <|endoftext|> <|ENDOFTEXT|>. a_b_ ٣. é́. 'S. \"'s\" naïve,, 中文。. x-y-. #.", "ΣΑΣ. ſ. K. ŉ! ǰ? ß."):
         (a,) = encode([t])
         assert list(struct.unpack(f"<{len(a) // 4}I", a)) == tok.encode(t, add_special_tokens=False).ids
     assert [len(g) for g in orc_ids._groups(["x" * 10**6] * 3 + ["y"] * 1500)] == [1, 1, 1000, 501]
