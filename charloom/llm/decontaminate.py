@@ -82,7 +82,9 @@ def windows(rows: DataFrame, lengths: tuple[int, ...] = ()) -> DataFrame:
     def said(at: Column, width: int) -> Column:
         return F.xxhash64(F.lit(width), F.transform(F.slice("tokens", at + 1, width), lambda t: F.lower(_plain(t))))
 
-    whole = F.transform(F.expr(f"slice(h8, 1, greatest(size(h8) - {WINDOW - 1}, 0))"), lambda h, i: F.struct(i.alias("at"), F.when(F.get("n8", i) >= LITERALS, h).otherwise(said(i, WINDOW)).alias("h"), F.lit(WINDOW).alias("width")))
+    # zipped, not looked up by position: within a lambda Spark would work n8 out anew for every element
+    both = F.slice(F.arrays_zip("h8", "n8"), 1, F.greatest(F.size("h8") - (WINDOW - 1), F.lit(0)))
+    whole = F.transform(both, lambda z, i: F.struct(i.alias("at"), F.when(z["n8"] >= LITERALS, z["h8"]).otherwise(said(i, WINDOW)).alias("h"), F.lit(WINDOW).alias("width")))
 
     def wide(w: int) -> Column:
         return F.transform(F.expr(f"slice(n1, 1, greatest(size(n1) - {w - 1}, 0))"), lambda _, i: F.struct(i.alias("at"), said(i, w).alias("h"), F.lit(w).alias("width")))
