@@ -28,9 +28,15 @@ def blank(c: Column) -> Column:
     return ~c.rlike(r"(?U)\S")
 
 
+#: Literals that each of the patterns needs, in letters that have no other lower-case form than the ASCII one.
+NEEDED = ("gnore", "忽略", "utput", "输出", "pond", "输出")
+
+
 def injected(c: Column) -> Column:
-    """Whether a text tries to steer a model; null counts as not."""
-    found = [c.rlike("(?iU)" + p) for p in INJECTION] + [c.rlike("(?U)" + p) for p in INJECTION_EXACT]
+    """Whether a text tries to steer a model; null counts as not. A pattern is looked for only where its literal is found."""
+    small = F.lower(c)
+    patterns = [*("(?iU)" + p for p in INJECTION), *("(?U)" + p for p in INJECTION_EXACT)]
+    found = [F.contains(small, F.lit(n)) & c.rlike(p) for n, p in zip(NEEDED, patterns)]
     return F.coalesce(reduce(lambda a, b: a | b, found), F.lit(False))
 
 

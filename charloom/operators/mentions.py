@@ -28,23 +28,41 @@ def drop_injected(chunks: DataFrame, text: str = "text") -> DataFrame:
     return chunks.where(~T.injected(F.col(text)))
 
 
-def heuristic_mentions(chunks: DataFrame, pattern: str = NAME_PATTERN, stop: tuple[str, ...] = STOP_NAMES, detect_injection: bool = True) -> DataFrame:
-    """A row per name found in a chunk, with the surrounding text as evidence and offsets within the chunk. The matches of a
-    chunk are located by a fold, each from the end of the one before, so nothing leaves the JVM."""
-    rows = drop_injected(chunks) if detect_injection else chunks
-    found = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<name:string,s:int>>").alias("out"))
+FOUND = "array<struct<name:string,s:int,e:int,evidence:string>>"
+
+
+def _locate(pattern: str, stop: tuple[str, ...]):
+    """A column function: the matches of a text in one pass from its start, besides the stop words."""
+    find = re.compile(re.sub(r"\\x\{([0-9a-fA-F]+)\}", lambda m: re.escape(chr(int(m[1], 16))), pattern)).finditer
+    skipped = frozenset(stop)
 
-    def step(acc: Column, n: Column) -> Column:
-        s = F.call_function("locate", n, F.col("text"), acc["at"] + 1) - 1
-        return F.struct((s + F.length(n)).alias("at"), F.array_append(acc["out"], F.struct(n.alias("name"), s.alias("s"))).alias("out"))
+    @F.arrow_udf(FOUND)
+    def located(texts: pa.Array) -> pa.Array:
+        names, starts, ends, evidence, bounds = [], [], [], [], [0]
+        for text in texts.to_pylist():
+            for m in find(text or ""):
+                if m[0] not in skipped:
+                    a, b = m.span()
+                    names.append(m[0])
+                    starts.append(a)
+                    ends.append(b)
+                    evidence.append(text[max(0, a - BEFORE) : b + AFTER])
+            bounds.append(len(names))
+        found = pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(evidence, pa.string())], names=["name", "s", "e", "evidence"])
+        return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), found)
 
-    rows = rows.withColumn("_m", F.explode(F.aggregate(found, start, step)["out"]))
-    rows = rows.select("*", F.col("_m.name").alias("name"), F.col("_m.s").alias("_s"), (F.col("_m.s") + F.length("_m.name")).alias("_e")).where(~F.col("name").isin(*stop))
-    first = F.greatest(F.lit(0), F.col("_s") - BEFORE)
+    return located
+
+
+def heuristic_mentions(chunks: DataFrame, pattern: str = NAME_PATTERN, stop: tuple[str, ...] = STOP_NAMES, detect_injection: bool = True) -> DataFrame:
+    """A row per name found in a chunk, with the surrounding text as evidence and offsets within the chunk. Offsets need a
+    scan that no built-in function has in linear time, so matches are located in Arrow batches; all else stays in the JVM, and
+    the chunk's text goes with the mentions only where it is asked for."""
+    rows = drop_injected(chunks) if detect_injection else chunks
+    kept = [c for c in rows.columns if c not in ("name", "evidence", "category", "aliases", "co_mentioned", "relation_to", "mention_start", "mention_end")]
     empty = F.array().cast("array<string>")
-    out = rows.withColumn("evidence", F.substr("text", first + 1, F.col("_e") + AFTER - first)).withColumn("category", F.lit("event")).withColumn("aliases", empty).withColumn("co_mentioned", empty).withColumn("relation_to", F.lit(None).cast("string"))
-    return out.withColumn("mention_start", F.col("_s")).withColumn("mention_end", F.col("_e")).drop("_m", "_s", "_e")
+    rows = rows.withColumn("_m", F.explode(_locate(pattern, stop)(F.col("text"))))
+    return rows.select(*kept, F.col("_m.name").alias("name"), F.col("_m.evidence").alias("evidence"), F.lit("event").alias("category"), empty.alias("aliases"), empty.alias("co_mentioned"), F.lit(None).cast("string").alias("relation_to"), F.col("_m.s").alias("mention_start"), F.col("_m.e").alias("mention_end"))
 
 
 def valid_evidence(mentions: DataFrame, chunks: DataFrame, key: list[str]) -> DataFrame:
