@@ -55,10 +55,16 @@ def delete_chunk(spark, sf):
     return index.delete_chunk(now, now.where("chunk_index % 4 = 1")).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("keyword_search", ENTRIES + " SELECT DISTINCT character_name FROM entries WHERE contains(lower(character_name), 'hei') ORDER BY character_name LIMIT 10")
+FOUND = """WITH a AS (SELECT doc_id, text, regexp_extract_all(text, '[A-Z][a-z]{2,}') AS n, regexp_split_to_array(text, '[A-Z][a-z]{2,}') AS g FROM documents),
+b AS (SELECT doc_id, text, unnest(n) AS name, unnest(list_transform(g[:len(n)], lambda x: length(x))) AS gap, generate_subscripts(n, 1) AS i FROM a),
+c AS (SELECT *, (sum(gap) OVER (PARTITION BY doc_id ORDER BY i) + coalesce(sum(length(name)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::INT AS s FROM b),
+e AS (SELECT doc_id::INT AS chunk_index, name AS character_name, s AS char_start, substr(text, greatest(0, s - 20) + 1, s + length(name) + 40 - greatest(0, s - 20)) AS text FROM c WHERE name NOT IN ('The', 'And'))"""
+
+
+@query("keyword_search", FOUND + " SELECT character_name, chunk_index, char_start, text FROM e WHERE contains(lower(character_name), 'hei') OR contains(lower(text), 'hei') ORDER BY character_name, chunk_index, char_start LIMIT 10")
 def keyword_search(spark, sf):
-    names = entries(spark, sf).select("character_name").distinct().withColumn("text", F.lit("")).withColumn("chunk_index", F.lit(0)).withColumn("char_start", F.lit(0)).withColumn("uuid", F.lit(""))
-    return index.search_text(names, "hEI", k=10).select("character_name")
+    """By name or by text, over all entries; the limit is the search's own."""
+    return index.search_text(entries(spark, sf), "hEI", k=10).select("character_name", "chunk_index", "char_start", "text")
 
 
 COS = "list_cosine_similarity({a}::DOUBLE[], {b}::DOUBLE[])"
@@ -181,11 +187,11 @@ def markdown_block(spark, sf):
 # distillation: a signal per document
 
 KIND = "CASE doc_id % 4 WHEN 0 THEN 'values' WHEN 1 THEN 'emotion' WHEN 2 THEN 'taboo' ELSE 'knowledge' END"
-SIGNALS = f"s AS (SELECT doc_id, source AS source_file, {KIND} AS category, substr(text, 1, 3) AS content, (doc_id % 10) / 10.0::DOUBLE AS salience FROM documents)"
+SIGNALS = f"s AS (SELECT doc_id, source AS source_file, {KIND} AS category, text AS content, (doc_id % 10) / 10.0::DOUBLE AS salience FROM documents)"
 
 
 def signal_rows(spark, sf) -> DataFrame:
-    return read(spark, sf, "documents").select("doc_id", F.col("source").alias("source_file"), F.expr(KIND).alias("category"), F.substr("text", F.lit(1), F.lit(3)).alias("content"), ((F.col("doc_id") % 10) / 10.0).cast("double").alias("salience"), F.lit(1).alias("all"))
+    return read(spark, sf, "documents").select("doc_id", F.col("source").alias("source_file"), F.expr(KIND).alias("category"), F.col("text").alias("content"), ((F.col("doc_id") % 10) / 10.0).cast("double").alias("salience"), F.lit(1).alias("all"))
 
 
 @query("condense_rules", f"WITH {SIGNALS}, g AS (SELECT category, content, max(salience) AS m, count(DISTINCT source_file) AS n_sources, count(*) AS n FROM s GROUP BY ALL), l AS (SELECT *, CASE WHEN n_sources >= 2 THEN least(1.0, round(m + 0.1, 6)) ELSE m END AS salience FROM g) SELECT category, content, n_sources, n, salience FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY salience DESC, n DESC, content) AS r FROM l WHERE salience >= 0.35) WHERE r <= 6")
@@ -211,19 +217,19 @@ def extractor_prompt(spark, sf):
     return rows.select("conv_id", "turn", F.sha2(distill.extractor_prompt(F.col("role"), F.col("total")), 256).alias("prompt"))
 
 
-DISTILLATE = "named_struct('category', role, 'content', substr(text, 1, 8), 'evidence', substr(text, 3, 5), 'salience', cast(turn % 10 / 10.0 as double))"
+DISTILLATE = "named_struct('category', role, 'content', text, 'evidence', replace(text, 'e', '3'), 'salience', cast(turn % 10 / 10.0 as double))"
 
 
 def turn_distillates(spark, sf) -> DataFrame:
-    return read(spark, sf, "conversations").select("conv_id", F.concat("role", F.lit(".txt")).alias("source_file"), F.col("turn").cast("int").alias("chunk_index"), F.lit(0).alias("char_start"), F.length("text").alias("char_end"), F.array(F.expr(DISTILLATE)).alias("signals"), F.substr("text", F.lit(1), F.lit(4)).alias("summary"), F.col("turn").alias("ord"))
+    return read(spark, sf, "conversations").select("conv_id", F.concat("role", F.lit(".txt")).alias("source_file"), F.col("turn").cast("int").alias("chunk_index"), F.lit(0).alias("char_start"), F.length("text").alias("char_end"), F.array(F.expr(DISTILLATE)).alias("signals"), F.col("text").alias("summary"), F.col("turn").alias("ord"))
 
 
-@query("bundle", "WITH l AS (SELECT conv_id, role, turn, '- 块#' || turn || ' [0-' || length(text) || '] 速写: ' || substr(text, 1, 4) || chr(10) || '    * [' || role || '] salience=' || printf('%.2f', turn % 10 / 10.0) || '  ' || substr(text, 1, 8) || '  «' || substr(text, 3, 5) || '»' AS t FROM conversations), f AS (SELECT conv_id, min(turn) AS o, '### 文件 ' || role || '.txt（' || count(*) || ' 块）' || chr(10) || string_agg(t, chr(10) ORDER BY turn) AS t FROM l GROUP BY conv_id, role) SELECT conv_id, sha256(string_agg(t, chr(10) ORDER BY o)) AS bundle FROM f GROUP BY conv_id")
+@query("bundle", "WITH l AS (SELECT conv_id, role, turn, '- 块#' || turn || ' [0-' || length(text) || '] 速写: ' || text || chr(10) || '    * [' || role || '] salience=' || printf('%.2f', turn % 10 / 10.0) || '  ' || text || '  «' || replace(text, 'e', '3') || '»' AS t FROM conversations), f AS (SELECT conv_id, min(turn) AS o, '### 文件 ' || role || '.txt（' || count(*) || ' 块）' || chr(10) || string_agg(t, chr(10) ORDER BY turn) AS t FROM l GROUP BY conv_id, role) SELECT conv_id, sha256(string_agg(t, chr(10) ORDER BY o)) AS bundle FROM f GROUP BY conv_id")
 def bundle(spark, sf):
     return distill.bundle(turn_distillates(spark, sf), ["conv_id"]).select("conv_id", F.sha2("bundle", 256).alias("bundle"))
 
 
-@query("corpus_digest", "SELECT conv_id, sha256(string_agg('### 分块 ' || n || '（来源: ' || role || '.txt, chunk=' || turn || '）' || chr(10) || '摘要: ' || substr(text, 1, 4) || chr(10) || '- [' || role || '] ' || substr(text, 1, 8) || '｜证据: ' || substr(text, 3, 5), chr(10) ORDER BY n)) AS digest FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) GROUP BY conv_id")
+@query("corpus_digest", "SELECT conv_id, sha256(string_agg('### 分块 ' || n || '（来源: ' || role || '.txt, chunk=' || turn || '）' || chr(10) || '摘要: ' || text || chr(10) || '- [' || role || '] ' || text || '｜证据: ' || replace(text, 'e', '3'), chr(10) ORDER BY n)) AS digest FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) GROUP BY conv_id")
 def corpus_digest(spark, sf):
     return evaluate.corpus_digest(turn_distillates(spark, sf), ["conv_id"]).select("conv_id", F.sha2("digest", 256).alias("digest"))
 
@@ -234,10 +240,10 @@ def corpus_digest(spark, sf):
 def models(spark, sf) -> DataFrame:
     flag = lambda k: (F.col("item_id") % k != 0)
     v = F.struct(flag(2).alias("cross_domain"), flag(3).alias("generative"), flag(5).alias("exclusive"), F.array(F.lit("own")).alias("cross_domain_evidence"), F.when(flag(7), "x").otherwise(" ").alias("generative_example"), F.lit("y").alias("exclusivity_note"))
-    return read(spark, sf, "benchmark").select("item_id", F.lit("Model").alias("name"), F.substr("text", F.lit(1), F.lit(24)).alias("principle"), v.alias("verification"))
+    return read(spark, sf, "benchmark").select("item_id", F.lit("Model").alias("name"), F.col("text").alias("principle"), v.alias("verification"))
 
 
-@query("verification", "WITH k AS (SELECT item_id, regexp_extract_all(substr(text, 1, 24) || ' Model', '[A-Za-z]{3,}') AS k FROM benchmark), h AS (SELECT item_id, count(DISTINCT role) AS n FROM k JOIN conversations c ON len(list_filter(k.k, lambda w: contains(c.text, w))) > 0 GROUP BY item_id), z AS (SELECT item_id, item_id % 2 <> 0 OR coalesce(n, 0) >= 2 AS a, item_id % 3 <> 0 AND item_id % 7 <> 0 AS b, item_id % 5 <> 0 AS c FROM k LEFT JOIN h USING (item_id)) SELECT item_id, a AND b AND c AS passed, concat_ws(',', CASE WHEN NOT a THEN 'cross_domain' END, CASE WHEN NOT b THEN 'generative' END, CASE WHEN NOT c THEN 'exclusive' END) AS reasons FROM z")
+@query("verification", "WITH k AS (SELECT item_id, regexp_extract_all(text || ' Model', '[A-Za-z]{3,}') AS k FROM benchmark), h AS (SELECT item_id, count(DISTINCT role) AS n FROM k JOIN conversations c ON len(list_filter(k.k, lambda w: contains(c.text, w))) > 0 GROUP BY item_id), z AS (SELECT item_id, item_id % 2 <> 0 OR coalesce(n, 0) >= 2 AS a, item_id % 3 <> 0 AND item_id % 7 <> 0 AS b, item_id % 5 <> 0 AS c FROM k LEFT JOIN h USING (item_id)) SELECT item_id, a AND b AND c AS passed, concat_ws(',', CASE WHEN NOT a THEN 'cross_domain' END, CASE WHEN NOT b THEN 'generative' END, CASE WHEN NOT c THEN 'exclusive' END) AS reasons FROM z")
 def verification(spark, sf):
     turns = read(spark, sf, "conversations").select(F.struct("conv_id", "turn").alias("ord"), F.col("role").alias("category"), F.col("text").alias("content"), F.lit("").alias("evidence"))
     return distill.verify(models(spark, sf), turns, "item_id").select("item_id", "passed", F.array_join("reasons", ",").alias("reasons"))

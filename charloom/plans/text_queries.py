@@ -177,14 +177,13 @@ SLUG_SQL = """CASE WHEN regexp_full_match(n, '[a-z0-9][a-z0-9-]{0,63}') THEN n E
 
 @query(
     "slugs",
-    "WITH a AS (SELECT doc_id, source || '_' || substr(replace(replace(text, 'é', '!'), chr(10), ' '), 1, 40) || ' ' AS s FROM documents WHERE regexp_full_match(substr(text, 1, 60), '[\\x00-\\x7f]*')), "
+    "WITH a AS (SELECT doc_id, source || '_' || text || ' ' AS s FROM documents), "
     "b AS (SELECT doc_id, lower(trim(s)) AS l FROM a), c AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(l, '[\\s_]+', '-', 'g'), '[^a-z0-9-]+', '-', 'g'), '-+', '-', 'g'), '-') AS n, "
     "trim(regexp_replace(regexp_replace(l, '\\s+', '_', 'g'), '[^a-z0-9_]+', '', 'g'), '_') AS persona_id, trim(regexp_replace(regexp_replace(l, '[^a-z0-9-]+', '-', 'g'), '-+', '-', 'g'), '-') AS k FROM b) "
     f"SELECT doc_id, {SLUG_SQL % 'persona'} AS slug, persona_id, {(SLUG_SQL % 'skill').replace('(n', '(k').replace('THEN n', 'THEN k')} AS skill FROM c",
 )
 def slugs(spark, sf):
-    own = read(spark, sf, "documents").where(F.substr("text", F.lit(1), F.lit(60)).rlike(r"\A[\x00-\x7f]*\z"))
-    s = F.concat("source", F.lit("_"), F.substr(F.replace(F.replace("text", F.lit("é"), F.lit("!")), F.lit("\n"), F.lit(" ")), F.lit(1), F.lit(40)), F.lit(" "))
+    own, s = read(spark, sf, "documents"), F.concat("source", F.lit("_"), "text", F.lit(" "))
     return own.withColumn("s", s).select("doc_id", T.slugify(F.col("s")).alias("slug"), T.slugify_persona_id(F.col("s")).alias("persona_id"), T.sanitize_skill_name(F.col("s")).alias("skill"))
 
 
@@ -203,7 +202,7 @@ def keywords(spark, sf):
     return read(spark, sf, "documents").withColumn("k", T.keywords(F.col("text"))).select("doc_id", F.size("k").alias("n"), F.sha2(F.array_join("k", " "), 256).alias("words"))
 
 
-PROBE = "'intro q: ' || replace(substr(text, 1, 20), ':', '') || ' a: yes Q: ' || source || CASE WHEN doc_id % 2 = 0 THEN ' q: end ' ELSE '' END"
+PROBE = "'intro q: ' || replace(text, ':', '') || ' a: yes Q: ' || source || CASE WHEN doc_id % 2 = 0 THEN ' q: end ' ELSE '' END"
 
 
 @query("probe_split", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 3 ELSE 2 END::INT AS n, 'Q: ' || source AS second FROM documents")
