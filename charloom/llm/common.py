@@ -35,14 +35,14 @@ _libc = None
 
 
 def lean() -> None:
-    """Has this Python worker give memory back as soon as it is free: Arrow allocates by malloc, and blocks from 1 MB on are
+    """Has this Python worker give memory back as soon as it is free: Arrow allocates by malloc, and blocks from 4 MB on are
     maps of their own, so what one task held isn't there when the next one runs. Workers are reused, hence once per process."""
     global _libc
     if _libc is None:
         pa.set_memory_pool(pa.system_memory_pool())
         try:
             _libc = ctypes.CDLL(None)
-            _libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+            _libc.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD
             _libc.mallopt(-8, 1)  # M_ARENA_MAX
         except (OSError, AttributeError):  # another C library
             _libc = False
