@@ -242,31 +242,30 @@ def read_records(packages: DataFrame, block: int = 4 << 20) -> DataFrame:
             with store.open_input_file(path) as f:
                 members = directory(lambda at, n: f.read_at(n, at), f.size())
                 (start, _), (at, n) = members[ARCHIVE], members[INDEX]
-                first = last = None
+                first, sizes, held = start, [], 0
                 for line in io.StringIO(f.read_at(n, at).decode()):
                     _, offset, length = line.rstrip("\n").rsplit(" ", 2)
-                    a, b = start + int(offset), start + int(offset) + int(length)
-                    if first is None:
-                        first, last = a, b
-                    elif b - first > block:
-                        yield package, first, last - first
-                        first, last = a, b
-                    else:
-                        last = b
-                if first is not None:
-                    yield package, first, last - first
+                    if sizes and (held + int(length) > block or start + int(offset) != first + held):
+                        yield package, first, sizes
+                        sizes, held = [], 0
+                    if not sizes:
+                        first = start + int(offset)
+                    sizes.append(int(length))
+                    held += int(length)
+                if sizes:
+                    yield package, first, sizes
 
         return each
 
     def records():
-        def each(package, at, length):
+        def each(package, at, sizes):
             store, path = _store(package)
             with store.open_input_file(path) as f:
-                raw = f.read_at(length, at)
-            while raw:
-                d = zlib.decompressobj(31)
-                fields, payload = parse(d.decompress(raw) + d.flush())
-                raw = d.unused_data
+                raw = memoryview(f.read_at(sum(sizes), at))
+            start = 0
+            for size in sizes:
+                fields, payload = parse(zlib.decompress(raw[start : start + size], 31))
+                start += size
                 digest, n = fields["warc-payload-digest"].removeprefix("sha1:"), int(fields["x-payload-bytes"])
                 if fields["warc-type"] == "response" and (len(payload), hashlib.sha1(payload).hexdigest()) != (n, digest):
                     raise ValueError("a payload differs from its size or digest")
@@ -275,7 +274,7 @@ def read_records(packages: DataFrame, block: int = 4 << 20) -> DataFrame:
 
         return each
 
-    parts = map_rows(packages, ranges, "package string, at long, length long")
+    parts = map_rows(packages, ranges, "package string, at long, sizes array<long>")
     dealt = parts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "package", "at")
     return map_rows(dealt, records, RECORDS)
 
