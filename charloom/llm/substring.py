@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import packed
-from .common import table, texts
+from .common import lean, table, texts, trim
 
 WIDTH = 13
 PATHS = "key int, doc_id long, first int, last int, source_id long, source_first int"
@@ -93,10 +93,11 @@ def edges(docs: DataFrame, buckets: int, groups: int, width: int) -> DataFrame:
     return docs.mapInArrow(run, packed.ROWS)
 
 
-def repeated(edge_blocks: DataFrame, groups: int) -> DataFrame:
+def repeated(edge_blocks: DataFrame, groups: int, buckets: int) -> DataFrame:
     """Edges of two documents or more, by document group: one block per bucket and group."""
 
     def run(key, rows):
+        lean()
         kind, block = rows.column("kind").to_numpy(), rows.column("block").to_pylist()
         number = rows.column("key").to_pylist()
         out = [(1, g, b) for k, g, b in zip(kind, number, block) if k == 1]
@@ -124,10 +125,13 @@ def repeated(edge_blocks: DataFrame, groups: int) -> DataFrame:
                 late = np.flatnonzero(doc != doc[first])
                 if len(late):
                     out += [(1, g, b) for g, b in _hits(groups, doc[late], pos[late], doc[first[late]], pos[first[late]])]
-        return packed.rows_table(out)
+        made = packed.rows_table(out)
+        del h, doc, pos, out
+        trim()
+        return made
 
-    # settled blocks ride along, dealt evenly over the buckets
-    return edge_blocks.groupBy(F.expr("case when kind = 0 then key else pmod(hash(key), 64) end")).applyInArrow(run, packed.ROWS)
+    # settled blocks ride along, dealt evenly over all buckets, so a bucket's share doesn't grow with the input
+    return edge_blocks.groupBy(F.expr(f"case when kind = 0 then key else pmod(hash(key), {buckets}) end")).applyInArrow(run, packed.ROWS)
 
 
 def spans_of(found: list, width: int = WIDTH) -> list[tuple[int, int, int, int]]:
@@ -166,7 +170,7 @@ def repeated_paths(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 def _paths(rows: DataFrame, buckets: int, width: int) -> DataFrame:
     groups = packed.groups_for(buckets)
-    return paths(repeated(edges(rows, buckets, groups, width), groups), width)
+    return paths(repeated(edges(rows, buckets, groups, width), groups, buckets), width)
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
