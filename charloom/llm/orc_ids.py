@@ -31,7 +31,7 @@ TAIL = string.punctuation.encode()
 PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 #: Bytes of input for a file, so the number of files follows the input.
 FILE_BYTES = 32 << 20
-GROUP_BYTES, JOINED = 2_500_000, 300
+GROUP_BYTES, JOINED = 10_000_000, 300
 
 
 def _ends_word(core: bytes) -> bool:
@@ -120,9 +120,11 @@ class WordIds:
         words = coded.dictionary.cast(pa.binary()).to_pylist()
         if len(self.now) > MEMO:
             self.before, self.now = self.now, {b"": b""}
-        if new := [w for w in words if w not in self.now]:
-            self._learn(new)
-        known = list(map(self.now.__getitem__, words))
+        known = list(map(self.now.get, words))
+        if new := [i for i, k in enumerate(known) if k is None]:
+            self._learn([words[i] for i in new])
+            for i in new:
+                known[i] = self.now[words[i]]
         sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
         held, starts = np.frombuffer(b"".join(known), "<i4"), np.cumsum(sizes) - sizes
         at = coded.indices.to_numpy()
