@@ -117,7 +117,7 @@ class WordIds:
         numbers them, so each distinct word of the group is looked up once; those not known yet are asked for at once."""
         lists = pc.ascii_split_whitespace(pc.ascii_lower(group))
         coded = lists.flatten().dictionary_encode()
-        words = coded.dictionary.cast(pa.binary()).to_pylist()
+        words = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
         if len(self.now) > MEMO:
             self.before, self.now = self.now, {b"": b""}
         known = list(map(self.now.get, words))
