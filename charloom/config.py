@@ -7,14 +7,32 @@ from dataclasses import dataclass
 from pathlib import Path
 
 
+TRUE = ("1", "true", "yes", "on")
+
+
 def _env(name: str, default):
     raw = os.environ.get(f"CHARLOOM_{name.upper()}")
-    return default if raw is None else type(default)(raw)
+    if raw is None:
+        return default
+    if isinstance(default, bool):
+        return raw.strip().lower() in TRUE
+    return type(default)(raw)
+
+
+def load_env(path: str | Path = ".env") -> None:
+    """Puts the NAME=value lines of a file into the environment; what is set there already stays. A missing file is none."""
+    if not Path(path).is_file():
+        return
+    for line in Path(path).read_text(encoding="utf-8").splitlines():
+        name, sign, value = line.strip().removeprefix("export ").partition("=")
+        if sign and name.strip() and not name.startswith("#"):
+            os.environ.setdefault(name.strip(), value.strip().strip("'\""))
 
 
 @dataclass(frozen=True)
 class Config:
-    """Fixed defaults of chunking, thresholds and limits; CHARLOOM_<NAME> in the environment goes before them."""
+    """Fixed defaults of chunking, thresholds and limits; CHARLOOM_<NAME> in the environment, or in a file
+    .env of the current folder, goes before them."""
 
     model: str = "fake"
     api_key: str = ""
@@ -36,7 +54,8 @@ class Config:
 
     @classmethod
     def from_env(cls, **over) -> Config:
-        base = {n: _env(n, f.default) for n, f in cls.__dataclass_fields__.items() if not isinstance(f.default, bool)}
+        load_env()
+        base = {n: _env(n, f.default) for n, f in cls.__dataclass_fields__.items()}
         return cls(**base | over)
 
     def __post_init__(self):

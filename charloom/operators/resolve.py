@@ -6,6 +6,7 @@ depend on each other, so that step is a fold over the pairs in the list's order.
 
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -87,28 +88,50 @@ def resolve(entries: DataFrame, auto_merge: bool = True, lev_max: int = 2, jw_mi
     found = signals(entries, lev_max, jw_min, vector, cos_min).orderBy("oa", "ob").collect()
     # a name without any signal can't gain one: aliases only pass along pairs that have one
     asked = entries.sparkSession.createDataFrame([(n,) for n in {x for r in found for x in (r.a, r.b)}], "character_name string")
-    listed = {r.character_name: r for r in characters(entries).join(asked, "character_name", "left_semi").collect()} if found else {}
-    order = {r: i for i, r in enumerate(sorted(listed, key=lambda n: (-listed[n].mention_count, n)))}
-    aliases = {n: set(r.aliases) for n, r in listed.items()}
-    counts = {n: r.mention_count for n, r in listed.items()}
-    static = {(r.a, r.b): r for r in found}
+    listed = characters(entries).join(asked, "character_name", "left_semi").collect() if found else []
+    return fold({r.character_name: (r.mention_count, set(r.aliases)) for r in listed}, {(r.a, r.b): r.string_hit + r.embedding_hit for r in found}, auto_merge)
+
+
+def fold(listed: dict[str, tuple[int, set[str]]], hits_of: dict[tuple[str, str], int], auto_merge: bool = True) -> Resolution:
+    """The decisions in list order. listed: mentions and aliases of each name; hits_of: the hits besides aliases of a pair in
+    list order. A name meets only those it has a hit with, those among its aliases and those it is an alias of, so the work
+    follows the pairs with a signal, not all pairs of names."""
+    names = sorted(listed, key=lambda n: (-listed[n][0], n))
+    order = {n: i for i, n in enumerate(names)}
+    counts, aliases = {n: c for n, (c, _) in listed.items()}, {n: set(x) for n, (_, x) in listed.items()}
+    meets: dict[str, set[int]] = {n: set() for n in names}
+    for a, b in hits_of:
+        meets[a].add(order[b])
+    for n, known in aliases.items():
+        for x in known & order.keys():
+            meets[x].add(order[n])
     out, gone = Resolution(), set()
-    for a in sorted(listed, key=order.get):
+    for a in names:
         if a in gone:
             continue
-        for b in sorted(listed, key=order.get):
-            if order[b] <= order[a] or b in gone or a in gone:
+        waiting = [*meets[a], *(order[x] for x in aliases[a] & order.keys())]
+        heapq.heapify(waiting)
+        at = order[a]
+        while waiting and a not in gone:
+            nxt = heapq.heappop(waiting)
+            if nxt <= at or names[nxt] in gone:
                 continue
-            r = static.get((a, b))
-            alias = b in aliases[a] or a in aliases[b]
-            hits = alias + (r.string_hit + r.embedding_hit if r else 0)
+            at, b = nxt, names[nxt]
+            hits = (b in aliases[a] or a in aliases[b]) + hits_of.get((a, b), 0)
             if hits >= 2 and auto_merge:
                 a_wins = counts[a] > counts[b] if counts[a] != counts[b] else len(a) >= len(b)
                 target, source = (a, b) if a_wins else (b, a)
                 out.merged.append((source, target))
                 gone.add(source)
-                aliases[target] = (aliases[target] | aliases[source] | {source}) - {target}
+                passed = (aliases[source] | {source}) - {target}
+                aliases[target] = (aliases[target] | passed) - {target}
                 counts[target] += counts[source]
+                if a_wins:
+                    for x in passed & order.keys():
+                        heapq.heappush(waiting, order[x])
+                else:
+                    for x in passed & order.keys():
+                        meets[x].add(order[b])
             elif hits:
                 out.pending.append((a, b, hits))
     return out

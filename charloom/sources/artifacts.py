@@ -97,6 +97,21 @@ def skill_markdown(name: str, persona_id: str, skill: dict) -> str:
     return "\n".join(out)
 
 
+METHOD = """---
+name: distillation-method
+description: How to turn a corpus into a persona card. Use it before extracting, condensing or verifying persona signals.
+---
+
+# From corpus to persona card
+
+1. Extract from one chunk at a time. Each signal has a category, its content, a verbatim piece of evidence and a salience from 0 to 1.
+2. Condense over all chunks: merge signals that say the same, lift those that several sources support, drop the faint ones.
+3. Verify each mental model: it shows in more than one domain, it predicts answers the corpus doesn't hold, and it sets the person apart.
+4. Write the card: expression, models, decision rules, anti-patterns, and the limits of what the corpus can tell.
+5. Design skills only around models that were verified.
+"""
+
+
 def skill_names(persona_id: str, names: list[str]) -> list[str]:
     """Folder names: cleaned, led by the persona's id, of 64 characters at most, each its own."""
     import re
@@ -118,6 +133,12 @@ def write_skills(folder: str | Path, persona_id: str, skills: list[dict]) -> lis
     return [_write(Path(folder) / "skills" / n / "SKILL.md", skill_markdown(n, persona_id, s)) for n, s in zip(names, skills)]
 
 
+def write_method(folder: str | Path) -> Path:
+    """The method itself as a skill that agents can load; returns the folder of skills."""
+    _write(Path(folder) / "distillation-method" / "SKILL.md", METHOD)
+    return Path(folder)
+
+
 def write_distillates(distillates: DataFrame, path: str) -> None:
     """JSON lines, by Spark."""
     distillates.select(*(f.split()[0] for f in DISTILLATE.replace("array<struct<category:string,content:string,evidence:string,salience:double>>", "x").split(", "))).write.mode("overwrite").json(path)

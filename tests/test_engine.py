@@ -253,3 +253,57 @@ def test_digest_and_addresses(spark):
     assert HttpClient("m", base_url="http://x/").address() == ("http://x/chat/completions", "m")
     assert len(embed.hash_embedder(8)(spark.createDataFrame([("t",)], "text string")).first().embedding) == 8
     assert embed.build_embedder() is None and embed.build_reranker() is None
+
+
+def plain_fold(listed, hits_of, auto_merge):
+    """All pairs in list order."""
+    names = sorted(listed, key=lambda n: (-listed[n][0], n))
+    counts, aliases = {n: c for n, (c, _) in listed.items()}, {n: set(a) for n, (_, a) in listed.items()}
+    merged, pending, gone = [], [], set()
+    for i, a in enumerate(names):
+        for b in names[i + 1 :]:
+            if a in gone or b in gone:
+                continue
+            hits = (b in aliases[a] or a in aliases[b]) + hits_of.get((a, b), 0)
+            if hits >= 2 and auto_merge:
+                a_wins = counts[a] > counts[b] if counts[a] != counts[b] else len(a) >= len(b)
+                target, source = (a, b) if a_wins else (b, a)
+                merged.append((source, target))
+                gone.add(source)
+                aliases[target] = (aliases[target] | aliases[source] | {source}) - {target}
+                counts[target] += counts[source]
+            elif hits:
+                pending.append((a, b, hits))
+    return merged, pending
+
+
+def test_fold():
+    import random
+
+    r = random.Random(5)
+    for _ in range(3000):
+        names = [f"{'n' * r.randint(1, 3)}{i}" for i in range(r.randint(0, 9))]
+        listed = {n: (r.randint(1, 4), set(r.sample([*names, "x"], min(len(names), r.randint(0, 3)))) - {n}) for n in names}
+        ordered = sorted(names, key=lambda n: (-listed[n][0], n))
+        hits_of = {(a, b): r.randint(0, 2) for i, a in enumerate(ordered) for b in ordered[i + 1 :] if r.random() < 0.3}
+        for auto in (True, False):
+            got = resolve.fold(listed, hits_of, auto)
+            assert (got.merged, got.pending) == plain_fold(listed, hits_of, auto)
+
+
+def test_env(tmp_path, monkeypatch):
+    from charloom.config import Config
+
+    monkeypatch.chdir(tmp_path)
+    (tmp_path / ".env").write_text("# note\nCHARLOOM_TOP_K=7\nexport CHARLOOM_AUTO_MERGE='no'\nCHARLOOM_MODEL=fake\n", encoding="utf-8")
+    for name in ("CHARLOOM_TOP_K", "CHARLOOM_AUTO_MERGE", "CHARLOOM_MODEL"):
+        monkeypatch.setenv(name, "")
+        monkeypatch.delenv(name)
+    monkeypatch.setenv("CHARLOOM_MAX_SKILLS", "2")
+    found = Config.from_env()
+    assert (found.top_k, found.auto_merge, found.offline, found.max_skills) == (7, False, True, 2)
+
+
+def test_method(tmp_path):
+    text = (artifacts.write_method(tmp_path / "skills") / "distillation-method" / "SKILL.md").read_text(encoding="utf-8")
+    assert text.startswith("---\nname: distillation-method\n")
