@@ -15,6 +15,9 @@ MODULES = {
     "op8_zip_warc": "warc",
     "op9_zstd_secrets": "secrets",
     "op10_debruijn_dedup": "substring",
+    "op11_punctuated_panes": "panes",
+    "op12_trie_repair": "repair",
+    "op13_grid_order_join": "vectors",
 }
 
 

@@ -5,7 +5,7 @@ import pytest
 
 from charloom.llm import oracles, queries
 
-TABLES = "documents pages benchmark labels conversations".split()
+TABLES = "documents embeddings pages benchmark labels conversations".split()
 
 
 @pytest.mark.parametrize("name", sorted(oracles.SQL))
@@ -23,4 +23,4 @@ def test_oracle(spark, sf, name):
 
 
 def test_names():
-    assert [int(n[2:].split("_")[0]) for n in queries.MODULES] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in queries.MODULES] == list(range(1, 14))
