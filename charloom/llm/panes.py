@@ -158,12 +158,23 @@ def _records(rows: list[tuple]) -> pd.DataFrame:
     return out.astype({"batch": "int64", "hour": "int64", "click_id": "Int64", "n_rows": "int64", "cents": "int64"})
 
 
+#: Settings of the stream's session. MapState needs this store. A batch starts the query anew, so no task has use for a store that
+#: stays loaded; a shard's state is small, so room for its logs isn't taken beforehand and only changes are uploaded.
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
 def _session(spark: SparkSession) -> SparkSession:
-    """A session with the state store that MapState needs, which leaves the caller's settings alone."""
+    """A session of the stream's own, which leaves the caller's settings alone."""
     own = spark.newSession()
     for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
         own.conf.set(key, spark.conf.get(key))
-    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    for key, value in STORE.items():
+        own.conf.set(key, value)
     return own
 
 
