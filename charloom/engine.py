@@ -67,9 +67,11 @@ class Engine:
         return self.store.count() - before
 
     def resolve(self) -> resolve.Resolution:
+        """Merges names that are one. With an embedder the vectors of their evidence count as a signal of its own."""
         entries = self.store.entries()
-        found = resolve.resolve(entries, self.config.auto_merge)
-        if found.merged:
+        known = self.embed(entries) if self.embed else entries
+        found = resolve.resolve(known, self.config.auto_merge, vector="embedding" if self.embed else None)
+        if not found.merges.isEmpty():
             self.store.write(index.merge(entries, resolve.merge_map(self.spark, found)))
         return found
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -41,6 +42,41 @@ def jaro_of(a: str, b: str) -> float:
     return (m / len(a) + m / len(b) + (m - t) / m) / 3
 
 
+def jaro_many(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray) -> np.ndarray:
+    """jaro_of() of many pairs: rows of code points padded with zeros, and their lengths. Pairs of the same two lengths are worked
+    out together, a character of the left names at a time."""
+    out = np.empty(len(x))
+    kinds = nx.astype(np.int64) << 32 | ny
+    by = np.argsort(kinds, kind="stable")
+    for rows in np.split(by, np.nonzero(np.diff(kinds[by]))[0] + 1) if len(by) else []:
+        n, m = int(nx[rows[0]]), int(ny[rows[0]])
+        out[rows] = _jaro_alike(x[rows, :n], y[rows, :m]) if n and m else float(n == m)
+    return out
+
+
+def _jaro_alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    (rows, n), m = a.shape, b.shape[1]
+    reach = max(max(n, m) // 2 - 1, 0)
+    free, used = np.ones((rows, m), bool), np.zeros((rows, n), bool)
+    for i in range(n):
+        low, high = max(0, i - reach), min(m, i + reach + 1)
+        if low >= high:
+            continue
+        same = (b[:, low:high] == a[:, i, None]) & free[:, low:high]
+        at = np.nonzero(same.any(axis=1))[0]
+        free[at, low + same[at].argmax(axis=1)] = False
+        used[at, i] = True
+    matched = used.sum(axis=1)
+    # the matched characters of either side, in order
+    left = np.take_along_axis(a, np.argsort(~used, axis=1, kind="stable"), 1)
+    right = np.take_along_axis(b, np.argsort(free, axis=1, kind="stable"), 1)
+    width = min(n, m)
+    moved = ((left[:, :width] != right[:, :width]) & (np.arange(width) < matched[:, None])).sum(axis=1) // 2
+    some = np.maximum(matched, 1)
+    j = (matched / n + matched / m + (matched - moved) / some) / 3
+    return np.where(matched > 0, np.where((n == m) & (a[:, :width] == b[:, :width]).all(axis=1), 1.0, j), 0.0)
+
+
 @F.pandas_udf(DoubleType())
 def jaro(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for a, b in parts:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from charloom.functions.similarity import cosine
@@ -75,8 +75,8 @@ def resolve_name(text: str, listed: DataFrame) -> str | None:
     if not text:
         return None
     if text.isdigit() and int(text) > 0:
-        place = Window.orderBy(F.desc("mention_count"), "character_name")
-        row = listed.select("character_name", F.row_number().over(place).alias("i")).where(F.col("i") == int(text)).first()
+        # each task brings its first ones, as many as the place says
+        row = listed.orderBy(F.desc("mention_count"), "character_name").select("character_name").offset(int(text) - 1).first()
         if row:
             return row.character_name
     exact = listed.where(F.col("character_name") == text).first()

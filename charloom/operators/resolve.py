@@ -1,20 +1,31 @@
 """Entity resolution: which character names are one.
 
-Pairs are found by joins (aliases by equality, strings behind a bound on lengths); only pairs with a signal go on. Merges
-depend on each other, so that step is a fold over the pairs in the list's order.
+Pairs are found by joins (aliases by equality, strings by names.py, vectors by pivots); only pairs with a signal go on. Merges depend on
+each other, but only within a group of names that can merge at all; each group is folded in the list's order by a task of its
+own, and what waits for a decision follows from when names were merged away.
 """
 
 from __future__ import annotations
 
 import heapq
 from dataclasses import dataclass, field
+from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from charloom.functions.similarity import cosine, jaro, may_be_similar, similar_natively, winkler
+from charloom.functions.shared import save
 
+from .graph import components
 from .index import characters
+from .names import alike
+from .tiles import compare_stretches
+
+#: Vectors that distances are taken to, and rows in a stretch of vectors.
+PIVOTS, STRETCH = 6, 4096
 
 
 def mean_embeddings(entries: DataFrame, vector: str = "embedding", top: int = 5) -> DataFrame:
@@ -26,40 +37,96 @@ def mean_embeddings(entries: DataFrame, vector: str = "embedding", top: int = 5)
     return parts.groupBy("character_name").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "v"))), lambda x: x["v"]).alias("vector"))
 
 
+def place(mentions: str = "mention_count", name: str = "character_name") -> Column:
+    """A name's place in the list, as a value that orders: most mentioned first, then by name."""
+    return F.struct((-F.col(mentions)).alias("n"), F.col(name).alias("name"))
+
+
 def string_pairs(names: DataFrame, lev_max: int = 2, jw_min: float = 0.85) -> DataFrame:
-    """(a, b, string_hit) of names in list order (ord). Names meet by their length: lengths within lev_max of each other, or
-    whose ratio leaves room for Jaro-Winkler; what equality and edit distance decide never reaches Python."""
-    # whole lengths are the join key: a length meets the lengths that either rule allows
-    lengths = names.select(F.length("name").alias("n")).distinct()
-    meet = lengths.alias("x").join(lengths.alias("y"), (F.abs(F.col("x.n") - F.col("y.n")) <= lev_max) | (F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * max(0.0, (jw_min - 0.4) / 0.6 * 3 - 2 - 1e-9))).select(F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
-    a = names.select(F.col("name").alias("a"), F.col("ord").alias("oa"), F.length("name").alias("na")).join(meet, "na")
-    b = names.select(F.col("name").alias("b"), F.col("ord").alias("ob"), F.length("name").alias("nb"))
-    pairs = a.join(b, "nb").where(F.col("oa") < F.col("ob"))
-    near = similar_natively(F.col("a"), F.col("b"), lev_max)
-    sure = pairs.where(near).select("a", "b", "oa", "ob")
-    rest = pairs.where(~near & may_be_similar(F.col("a"), F.col("b"), jw_min)).withColumn("j", jaro(F.col("a"), F.col("b")))
-    return sure.unionByName(rest.where(winkler(F.col("j"), F.col("a"), F.col("b")) >= jw_min).select("a", "b", "oa", "ob"))
-
-
-def signals(entries: DataFrame, lev_max: int = 2, jw_min: float = 0.85, vector: str | None = None, cos_min: float = 0.8) -> DataFrame:
+    """(a, b, oa, ob) of names in list order (ord) that are alike as strings."""
+    if lev_max != 2:
+        raise ValueError("names are blocked for edit distances of up to two")
+    return alike(names, jw_min)
+
+
+def vector_pairs(vectors: DataFrame, cos_min: float = 0.8) -> DataFrame:
+    """(a, b, oa, ob, embedding_score), oa < ob, of names whose vectors have a cosine of cos_min or more; exact. vectors: name, ord,
+    vector. Unit vectors are sorted by their nearest pivot and its distance; by the triangle inequality two vectors within reach
+    differ by no more than that in their distance to any pivot, so stretches whose distances lie further apart never meet.
+    Null, empty, zero and non-finite vectors have no pairs, nor have vectors of unequal length."""
+    d = F.transform("vector", lambda x: x.cast("double"))
+    sound = F.coalesce(F.forall(d, lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False))) & F.exists(d, lambda x: x != 0), F.lit(False))
+    rows = vectors.where(sound).select("name", "ord", F.col("vector").cast("array<double>").alias("vector"))
+    # a few vectors by hash; they decide what is skipped, not what is found
+    chosen = [r["vector"] for r in rows.orderBy(F.xxhash64("name"), "name").limit(PIVOTS).select("vector").collect()]
+    reach = float(np.sqrt(max(0.0, 2 - 2 * cos_min))) + 1e-9
+    kind = rows.schema["ord"].dataType.simpleString()
+
+    def placed(batches):
+        for batch in batches:
+            found = []
+            for v in batch["vector"].to_pylist():
+                u = np.array(v) / np.linalg.norm(v)
+                # a pivot of another length says nothing, so all such vectors are at one distance
+                found.append([np.linalg.norm(u - np.array(p) / np.linalg.norm(p)) if len(p) == len(v) else 4.0 for p in chosen])
+            far = np.array(found, float).reshape(len(found), len(chosen))
+            nearest = far.argmin(axis=1) if len(chosen) else np.zeros(len(found), int)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(np.ascontiguousarray(far[:, k])) for k in range(len(chosen))), pa.array(nearest), pc.list_value_length(batch["vector"]).cast(pa.float64())], names=[*batch.schema.names, *sides[:-1], "nearest", "dims"])
+
+    sides = [*(f"d{k}" for k in range(len(chosen))), "dims"]
+    schema = f"name string, ord {kind}, vector array<double>, {''.join(f'{s} double, ' for s in sides[:-1])}nearest long, dims double"
+
+    def compare(one: pa.Table, two: pa.Table | None) -> pa.Table:
+        def units(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+            sizes = np.asarray(t["dims"]).astype(int)
+            out = np.zeros((len(sizes), width))
+            out[np.arange(width) < sizes[:, None]] = np.concatenate([np.asarray(c.flatten()) for c in t["vector"].chunks])
+            return out / np.linalg.norm(out, axis=1)[:, None], sizes
+
+        other = two or one
+        width = int(max(pc.max(one["dims"]).as_py(), pc.max(other["dims"]).as_py()))
+        (u, m), (v, n) = units(one), units(other)
+        found = []
+        for k in range(0, len(u), 512):
+            score = u[k : k + 512] @ v.T
+            hit = (score >= cos_min) & (m[k : k + 512, None] == n)
+            i, j = np.nonzero(np.triu(hit, k + 1) if two is None else hit)
+            found.append((i + k, j, score[i, j]))
+        i, j, s = (np.concatenate([f[k] for f in found] or [np.zeros(0)]) for k in range(3))
+        i, j = i.astype(int), j.astype(int)
+        return pa.table({"a": one["name"].take(i), "b": other["name"].take(j), "oa": one["ord"].take(i), "ob": other["ord"].take(j), "s": s})
+
+    near = rows.mapInArrow(placed, schema)
+    found = compare_stretches(near, ["dims", "nearest", *sides[:1]], STRETCH, compare, f"a string, b string, oa {kind}, ob {kind}, s double", sides, reach)
+    first = F.col("oa") < F.col("ob")
+    pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
+    return found.select(pick("a", "b").alias("a"), pick("b", "a").alias("b"), F.least("oa", "ob").alias("oa"), F.greatest("oa", "ob").alias("ob"), F.col("s").alias("embedding_score"))
+
+
+def _alias_pairs(names: DataFrame) -> DataFrame:
+    """(a, b, oa, ob), oa < ob: one is among the other's aliases. names: name, ord, aliases."""
+    own = names.select("name", "ord", F.explode("aliases").alias("alias")).join(names.select(F.col("name").alias("alias"), F.col("ord").alias("o2")), "alias").where("name != alias")
+    first = F.col("ord") < F.col("o2")
+    return own.select(F.when(first, F.col("name")).otherwise(F.col("alias")).alias("a"), F.when(first, F.col("alias")).otherwise(F.col("name")).alias("b"), F.least("ord", "o2").alias("oa"), F.greatest("ord", "o2").alias("ob")).distinct()
+
+
+def listed(entries: DataFrame) -> DataFrame:
+    """(name, ord, aliases, mention_count) of all characters."""
+    return characters(entries).select(F.col("character_name").alias("name"), place().alias("ord"), "aliases", "mention_count")
+
+
+def signals(entries: DataFrame, lev_max: int = 2, jw_min: float = 0.85, vector: str | None = None, cos_min: float = 0.8, names: DataFrame | None = None) -> DataFrame:
     """Pairs with at least one signal: (a, b, oa, ob, alias_hit, string_hit, embedding_hit, embedding_score, hit_count)."""
-    listed = characters(entries)
-    place = Window.orderBy(F.desc("mention_count"), "character_name")
-    names = listed.select(F.col("character_name").alias("name"), (F.row_number().over(place) - 1).alias("ord"), "aliases", "mention_count")
-    by_alias = names.select("name", "ord", F.explode("aliases").alias("alias")).join(names.select(F.col("name").alias("alias"), F.col("ord").alias("o2")), "alias")
-    by_alias = by_alias.select(F.when(F.col("ord") < F.col("o2"), F.col("name")).otherwise(F.col("alias")).alias("a"), F.when(F.col("ord") < F.col("o2"), F.col("alias")).otherwise(F.col("name")).alias("b"), F.least("ord", "o2").alias("oa"), F.greatest("ord", "o2").alias("ob")).distinct()
-    both = by_alias.withColumn("alias_hit", F.lit(True)).join(string_pairs(names, lev_max, jw_min).withColumn("string_hit", F.lit(True)), ["a", "b", "oa", "ob"], "full")
+    names = save(listed(entries), "names") if names is None else names
+    keys = ["a", "b", "oa", "ob"]
+    both = _alias_pairs(names).withColumn("alias_hit", F.lit(True)).join(string_pairs(names, lev_max, jw_min).withColumn("string_hit", F.lit(True)), keys, "full")
     score = F.lit(0.0)
     if vector:
-        means = mean_embeddings(entries, vector)
-        order = names.select("name", "ord")
-        va = means.join(order, F.col("character_name") == F.col("name")).select(F.col("name").alias("a"), F.col("ord").alias("oa"), F.col("vector").alias("u"))
-        vb = va.select(F.col("a").alias("b"), F.col("oa").alias("ob"), F.col("u").alias("v"))
-        close = va.join(vb, F.col("oa") < F.col("ob")).withColumn("embedding_score", cosine(F.col("u"), F.col("v"))).where(F.col("embedding_score") >= cos_min).drop("u", "v")
-        both = both.join(close, ["a", "b", "oa", "ob"], "full")
+        means = mean_embeddings(entries, vector).withColumnRenamed("character_name", "name").join(names.select("name", "ord"), "name")
+        both = both.join(vector_pairs(means, cos_min), keys, "full")
         score = F.coalesce("embedding_score", F.lit(0.0))
     hit = lambda c: F.coalesce(F.col(c), F.lit(False))
-    out = both.select("a", "b", "oa", "ob", hit("alias_hit").alias("alias_hit"), hit("string_hit").alias("string_hit"), (score >= cos_min).alias("embedding_hit"), score.alias("embedding_score"))
+    out = both.select(*keys, hit("alias_hit").alias("alias_hit"), hit("string_hit").alias("string_hit"), (score >= cos_min).alias("embedding_hit"), score.alias("embedding_score"))
     return out.withColumn("hit_count", F.col("alias_hit").cast("int") + F.col("string_hit").cast("int") + F.col("embedding_hit").cast("int"))
 
 
@@ -72,27 +139,123 @@ def decide(pairs: DataFrame, names: DataFrame) -> DataFrame:
 
 
 @dataclass
-class Resolution:
+class Folded:
+    """What a fold decides: merges (source, target) and the place of each, pairs that wait, and the aliases that targets were
+    given on the way, each with the place of the merge."""
+
     merged: list[tuple[str, str]] = field(default_factory=list)
     pending: list[tuple[str, str, int]] = field(default_factory=list)
+    places: list[tuple[int, int]] = field(default_factory=list)
+    given: list[tuple[str, str, tuple[int, int]]] = field(default_factory=list)
 
     @property
     def total_actions(self) -> int:
         return len(self.merged) + len(self.pending)
 
+    def final(self) -> dict[str, str]:
+        """The name that each source ends up as."""
+        out = dict(self.merged)
+        for s, _ in reversed(self.merged):
+            out[s] = out.get(out[s], out[s])
+        return out
+
+
+@dataclass
+class Resolution:
+    """merges: (source, target, final, oa, ob), final being the name that the source ends up as; waiting: (a, b, oa, ob, hits), pairs
+    left for someone to decide. Places (oa, ob) order both. The lists are for reports on a few names."""
+
+    merges: DataFrame
+    waiting: DataFrame
+
+    @cached_property
+    def merged(self) -> list[tuple[str, str]]:
+        return [(r.source, r.target) for r in self.merges.orderBy("oa", "ob").collect()]
+
+    @cached_property
+    def pending(self) -> list[tuple[str, str, int]]:
+        return [(r.a, r.b, r.hits) for r in self.waiting.orderBy("oa", "ob").collect()]
+
+    @property
+    def total_actions(self) -> int:
+        return self.merges.count() + self.waiting.count()
+
+
+PLACE = "struct<n:bigint,name:string>"
+MERGES = f"source string, target string, final string, oa {PLACE}, ob {PLACE}, given array<string>"
+
+
+def _groups(names: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(name, root) and the pairs (a, b, hits) that may merge. A merge needs a string or vector hit besides either the other of
+    them or an alias, and aliases only pass along merges. So both names lie in one component of alias pairs and double hits, and
+    merges stay within the components of such pairs: a common alias of many names ties none of them together by itself."""
+    tied = pairs.where("alias_hit or (string_hit and embedding_hit)").select("a", "b")
+    within = components(tied)
+    x, y = (within.select(F.col("node").alias(n), F.col("root").alias(f"r{n}")) for n in "ab")
+    may = pairs.where("string_hit or embedding_hit").join(x, "a").join(y, "b").where("ra = rb")
+    may = save(may.select("a", "b", (F.col("string_hit").cast("int") + F.col("embedding_hit").cast("int")).alias("hits")), "merging")
+    return components(may).select(F.col("node").alias("name"), "root"), may
+
+
+def _merges(names: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Folds each group of names that may merge, in a task of its own."""
+    roots, may = _groups(names, pairs)
+    members = names.join(roots, "name").select("root", "name", "mention_count", "aliases", F.lit(None).cast("string").alias("b"), F.lit(None).cast("int").alias("hits"))
+    hits = may.join(roots.withColumnRenamed("name", "a"), "a").select("root", F.col("a").alias("name"), F.lit(None).cast("long").alias("mention_count"), F.lit(None).cast("array<string>").alias("aliases"), "b", "hits")
+
+    def work(group: pa.Table) -> pa.Table:
+        known, met = {}, {}
+        for name, mentions, aliases, b, n in zip(*(group[c].to_pylist() for c in ("name", "mention_count", "aliases", "b", "hits"))):
+            if b is None:
+                known[name] = mentions, set(aliases or [])
+            else:
+                met[name, b] = n
+        found = fold(known, met)
+        order, final = sorted(known, key=lambda n: (-known[n][0], n)), found.final()
+        at = lambda i: {"n": -known[order[i]][0], "name": order[i]}
+        given: dict[tuple, list[str]] = {}
+        for _, alias, where in found.given:
+            given.setdefault(where, []).append(alias)
+        rows = [{"source": s, "target": t, "final": final[s], "oa": at(i), "ob": at(j), "given": sorted(given.get((i, j), []))} for (s, t), (i, j) in zip(found.merged, found.places)]
+        return pa.Table.from_pylist(rows, schema=fields)
+
+    place = pa.struct([("n", pa.int64()), ("name", pa.string())])
+    fields = pa.schema([("source", pa.string()), ("target", pa.string()), ("final", pa.string()), ("oa", place), ("ob", place), ("given", pa.list_(pa.string()))])
+    return save(members.unionByName(hits).groupBy("root").applyInArrow(work, MERGES), "merges")
+
+
+def _waiting(names: DataFrame, pairs: DataFrame, merges: DataFrame) -> DataFrame:
+    """Pairs with a signal that come up before either name is merged away, and aren't merged themselves. An alias that a merge gave
+    to its target counts for the target's pairs from then on."""
+    given = merges.select(F.col("target").alias("name"), F.explode("given").alias("other"), F.struct("oa", "ob").alias("since"))
+    ords = names.select("name", "ord")
+    given = given.join(ords, "name").join(ords.select(F.col("name").alias("other"), F.col("ord").alias("o2")), "other")
+    first = F.col("ord") < F.col("o2")
+    pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
+    given = given.select(pick("name", "other").alias("a"), pick("other", "name").alias("b"), F.least("ord", "o2").alias("oa"), F.greatest("ord", "o2").alias("ob"), "since")
+    given = given.where(F.struct("oa", "ob") > F.col("since")).select("a", "b", "oa", "ob").distinct().withColumn("later", F.lit(True))
+    every = pairs.join(given, ["a", "b", "oa", "ob"], "full")
+    hit = lambda c: F.coalesce(F.col(c), F.lit(False)).cast("int")
+    every = every.withColumn("hits", hit("string_hit") + hit("embedding_hit") + F.greatest(hit("alias_hit"), hit("later")))
+    gone = merges.select("source", F.struct("oa", "ob").alias("at"))
+    for n in "ab":
+        every = every.join(gone.select(F.col("source").alias(n), F.col("at").alias(f"gone_{n}")), n, "left")
+    here = F.struct("oa", "ob")
+    there = F.coalesce(F.col("gone_a") > here, F.lit(True)) & F.coalesce(F.col("gone_b") > here, F.lit(True))
+    return every.where(there).select("a", "b", "oa", "ob", "hits")
+
 
 def resolve(entries: DataFrame, auto_merge: bool = True, lev_max: int = 2, jw_min: float = 0.85, vector: str | None = None, cos_min: float = 0.8) -> Resolution:
     """Goes through the pairs in list order. A merged name is skipped from then on, and its aliases pass to the target, which
-    can give the target's later pairs an alias signal. Only names with a signal come to the driver, and they are as few as
-    the names of one story; the entries stay in the cluster, see merge_map()."""
-    found = signals(entries, lev_max, jw_min, vector, cos_min).orderBy("oa", "ob").collect()
-    # a name without any signal can't gain one: aliases only pass along pairs that have one
-    asked = entries.sparkSession.createDataFrame([(n,) for n in {x for r in found for x in (r.a, r.b)}], "character_name string")
-    listed = characters(entries).join(asked, "character_name", "left_semi").collect() if found else []
-    return fold({r.character_name: (r.mention_count, set(r.aliases)) for r in listed}, {(r.a, r.b): r.string_hit + r.embedding_hit for r in found}, auto_merge)
+    can give the target's later pairs an alias signal."""
+    names = save(listed(entries), "names")
+    pairs = save(signals(entries, lev_max, jw_min, vector, cos_min, names), "pairs")
+    tied = pairs.where("alias_hit or (string_hit and embedding_hit)")
+    merges = _merges(names, pairs) if auto_merge and not tied.isEmpty() else entries.sparkSession.createDataFrame([], MERGES)
+    return Resolution(merges.drop("given"), _waiting(names, pairs, merges))
 
 
-def fold(listed: dict[str, tuple[int, set[str]]], hits_of: dict[tuple[str, str], int], auto_merge: bool = True) -> Resolution:
+def fold(listed: dict[str, tuple[int, set[str]]], hits_of: dict[tuple[str, str], int], auto_merge: bool = True) -> Folded:
     """The decisions in list order. listed: mentions and aliases of each name; hits_of: the hits besides aliases of a pair in
     list order. A name meets only those it has a hit with, those among its aliases and those it is an alias of, so the work
     follows the pairs with a signal, not all pairs of names."""
@@ -105,7 +268,7 @@ def fold(listed: dict[str, tuple[int, set[str]]], hits_of: dict[tuple[str, str],
     for n, known in aliases.items():
         for x in known & order.keys():
             meets[x].add(order[n])
-    out, gone = Resolution(), set()
+    out, gone = Folded(), set()
     for a in names:
         if a in gone:
             continue
@@ -122,8 +285,10 @@ def fold(listed: dict[str, tuple[int, set[str]]], hits_of: dict[tuple[str, str],
                 a_wins = counts[a] > counts[b] if counts[a] != counts[b] else len(a) >= len(b)
                 target, source = (a, b) if a_wins else (b, a)
                 out.merged.append((source, target))
+                out.places.append((order[a], order[b]))
                 gone.add(source)
                 passed = (aliases[source] | {source}) - {target}
+                out.given += [(target, x, (order[a], order[b])) for x in passed - aliases[target]]
                 aliases[target] = (aliases[target] | passed) - {target}
                 counts[target] += counts[source]
                 if a_wins:
@@ -139,8 +304,4 @@ def fold(listed: dict[str, tuple[int, set[str]]], hits_of: dict[tuple[str, str],
 
 def merge_map(spark: SparkSession, resolution: Resolution) -> DataFrame:
     """(source, target) with chains followed to their end, for index.merge()."""
-    final = dict(resolution.merged)
-    for s in final:
-        while final[s] in final:
-            final[s] = final[final[s]]
-    return spark.createDataFrame(list(final.items()), "source string, target string")
+    return resolution.merges.select("source", F.col("final").alias("target"))

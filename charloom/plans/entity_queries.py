@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from charloom.functions import similarity as S
 from charloom.functions import text as T
-from charloom.operators import chunking, distill, dna, evaluate, index, profile, resolve
+from charloom.functions.shared import save
+from charloom.operators import chunking, distill, dna, evaluate, index, names, profile, resolve
 from charloom.streaming import incremental
 
 from .registry import query
@@ -78,37 +79,52 @@ def vector_topk(spark, sf):
     return index.search_vector(rows, probe, k=10).select("vec_id", F.round("score", 6).alias("score"))
 
 
-# similarity: names with at least 20 mentions
+# similarity: all names; the SQL works all pairs of them out
 
-COMMON = ENTRIES + ", names AS (SELECT character_name AS name, count(*) AS c FROM entries GROUP BY ALL HAVING count(*) >= 20 AND regexp_full_match(character_name, '[A-Za-z]+')), o AS (SELECT *, row_number() OVER (ORDER BY c DESC, name) - 1 AS ord FROM names)"
+NAMED = ENTRIES + ", o AS (SELECT character_name AS name, count(*) AS c FROM entries GROUP BY ALL)"
+FIRST = "(x.c > y.c OR x.c = y.c AND x.name < y.name)"
 JW = "(SELECT j + 0.1 * p * (1 - j) FROM (SELECT jaro_similarity({a}, {b}) AS j, CASE WHEN {a}[1:4] = {b}[1:4] AND least(length({a}), length({b})) >= 4 THEN 4 WHEN {a}[1:3] = {b}[1:3] THEN 3 WHEN {a}[1:2] = {b}[1:2] THEN 2 WHEN {a}[1] = {b}[1] THEN 1 ELSE 0 END AS p))"
 JW_AB = JW.format(a="x.name", b="y.name")
+ALIKE = f"{NAMED}, p AS MATERIALIZED (SELECT x.name AS a, y.name AS b, x.c AS ca, y.c AS cb, levenshtein(x.name, y.name) AS lev, {JW_AB} AS jw FROM o x JOIN o y ON {FIRST} WHERE abs(length(x.name) - length(y.name)) <= 2 AND levenshtein(x.name, y.name) <= 2 OR {JW_AB} >= 0.85)"
 
 
-def common_names(spark, sf) -> DataFrame:
-    listed = index.characters(entries(spark, sf)).where((F.col("mention_count") >= 20) & F.col("character_name").rlike("^[A-Za-z]+$"))
-    place = Window.orderBy(F.desc("mention_count"), "character_name")
-    return listed.select(F.col("character_name").alias("name"), (F.row_number().over(place) - 1).alias("ord"), "mention_count")
+def all_names(spark, sf) -> DataFrame:
+    return resolve.listed(entries(spark, sf))
 
 
-@query("name_pairs", f"{COMMON} SELECT x.name AS a, y.name AS b FROM o x JOIN o y ON x.ord < y.ord WHERE levenshtein(x.name, y.name) <= 2 OR {JW_AB} >= 0.85")
+@query("name_pairs", f"{ALIKE} SELECT a, b FROM p")
 def name_pairs(spark, sf):
-    return resolve.string_pairs(common_names(spark, sf)).select("a", "b")
+    return resolve.string_pairs(all_names(spark, sf)).select("a", "b")
 
 
-@query("jaro_winkler", f"{COMMON} SELECT x.name AS a, y.name AS b, round({JW_AB}, 6) AS jw FROM o x JOIN o y ON x.ord < y.ord WHERE length(x.name) = length(y.name)")
+@query("jaro_winkler", f"{ALIKE} SELECT a, b, round(jw, 6) AS jw FROM p WHERE lev <= 2")
 def jaro_winkler(spark, sf):
-    n = common_names(spark, sf)
-    a, b = n.select(F.col("name").alias("a"), F.col("ord").alias("oa"), F.length("name").alias("k")), n.select(F.col("name").alias("b"), F.col("ord").alias("ob"), F.length("name").alias("k"))
-    return a.join(b, "k").where("oa < ob").select("a", "b", F.round(S.jaro_winkler(F.col("a"), F.col("b")), 6).alias("jw"))
+    """Of the names within two edits of each other."""
+    return names.within_two_edits(all_names(spark, sf)).select("a", "b", F.round(S.jaro_winkler(F.col("a"), F.col("b")), 6).alias("jw"))
 
 
-@query("resolve_decisions", f"{COMMON} SELECT x.name AS a, y.name AS b, CASE WHEN x.c <> y.c THEN CASE WHEN x.c > y.c THEN x.name ELSE y.name END WHEN length(x.name) >= length(y.name) THEN x.name ELSE y.name END AS target, 'pending' AS action FROM o x JOIN o y ON x.ord < y.ord WHERE levenshtein(x.name, y.name) <= 2 OR {JW_AB} >= 0.85")
+@query("resolve_decisions", f"{ALIKE} SELECT a, b, CASE WHEN ca <> cb THEN CASE WHEN ca > cb THEN a ELSE b END WHEN length(a) >= length(b) THEN a ELSE b END AS target, 'pending' AS action FROM p")
 def resolve_decisions(spark, sf):
-    names = common_names(spark, sf)
-    kept = entries(spark, sf).join(names.select(F.col("name").alias("character_name")), "character_name", "left_semi")
-    listed = names.select(F.col("name").alias("character_name"), "mention_count")
-    return resolve.decide(resolve.signals(kept), listed).select("a", "b", "target", "action")
+    found = save(all_names(spark, sf), "names")
+    listed = found.select(F.col("name").alias("character_name"), "mention_count")
+    return resolve.decide(resolve.signals(None, names=found), listed).select("a", "b", "target", "action")
+
+
+def short_aliases(spark, sf) -> DataFrame:
+    """Entries whose aliases are the name without its last character, and without its first ones where that makes a name."""
+    head = F.expr("substring(character_name, 1, length(character_name) - 1)")
+    return entries(spark, sf).withColumn("aliases", F.array(head, F.initcap(F.expr("substring(character_name, 3)"))))
+
+
+@query("resolve_merges")
+def resolve_merges(spark, sf):
+    """Merges of names whose aliases are names too, in the order they are decided; the tests hold them against the plain rule."""
+    return resolve.resolve(short_aliases(spark, sf)).merges.select("source", "target", "final")
+
+
+@query("resolve_waiting")
+def resolve_waiting(spark, sf):
+    return resolve.resolve(short_aliases(spark, sf)).waiting.select("a", "b", "hits")
 
 
 MEANS = "k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY CASE vec_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END, vec_id) AS r FROM embeddings), v AS (SELECT label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS p FROM k WHERE r <= 5), mean AS (SELECT label, p, avg(v) AS v FROM v GROUP BY ALL)"
