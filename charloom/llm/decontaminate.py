@@ -135,6 +135,12 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """A row per document and item found in it: the longest run, the tokens covered, and whether all slots are the same."""
+    by = _aligned(docs, items)
+    return by.groupBy("doc_id", "item_id").agg(F.max(F.array_max("good.n")).cast("long").alias("longest_run"), F.max("covered").cast("long").alias("covered"), F.max("n_tokens").cast("long").alias("item_tokens"), F.max("same").alias("same_slots"))
+
+
+def _aligned(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The alignments of texts with items that are good enough; `row` is the hash of the text."""
     found = matches(docs, items)
     # slot pairs of the window: (item's value, document's value)
     pairs = F.transform(F.filter(F.arrays_zip("item_codes", "item_words", "doc_words"), lambda z: z["item_codes"].isin(NUMBER, NAME, UNIT)), lambda z: F.struct(_plain(z["item_words"]).alias("item"), _plain(z["doc_words"]).alias("doc")))
@@ -150,12 +156,15 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     one_value = "size(array_distinct(r.slots.item)) = size(r.slots)"
     by = by.withColumn("good", F.expr(f"filter(runs, r -> r.n >= least({RUN}, n_tokens - 1) and {one_value})")).where(F.size("good") > 0)
     same = ~F.exists(F.flatten("ws.slots"), lambda z: z["item"] != z["doc"])
-    return by.groupBy("doc_id", "item_id").agg(F.max(F.array_max("good.n")).cast("long").alias("longest_run"), F.max("covered").cast("long").alias("covered"), F.max("n_tokens").cast("long").alias("item_tokens"), F.max(same).alias("same_slots"))
+    return by.withColumn("same", same)
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs without those that hold a benchmark item; rows without a doc_id stay."""
-    return docs.join(contaminated(docs, items).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """docs without the rows that hold a benchmark item. Rows are told apart by id and text: another text of the same id stays.
+    Rows without a doc_id stay, null texts too; repeated rows go or stay together. An empty table of items takes nothing."""
+    gone = _aligned(docs, items).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).distinct()
+    same = (F.col("d.doc_id") == F.col("g._id")) & (F.xxhash64(F.col("d.text").cast("string")) == F.col("g._row"))
+    return docs.alias("d").join(gone.alias("g"), same, "left_anti").select(*(F.col(f"d.`{c}`") for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

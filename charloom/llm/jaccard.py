@@ -391,24 +391,39 @@ def links(sets: DataFrame, threshold: int) -> DataFrame:
     return ties.unionByName(save(_searched(of_rest.select(columns).unionByName(of_all.select(columns)), threshold), "jaccard-ties"))
 
 
-def jaccard_components(docs: DataFrame, width: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id."""
-    rows = texts(docs)
+def _classed(rows: DataFrame, width: int, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """Of rows (doc_id, text): the members (doc_id, n_shingles, sig), and (sig, root) of the sets that link with others."""
     n = packed.buckets_for(rows)
     found = save(candidates(shared(postings(rows, n, width), packed.groups_for(n), n), threshold), "jaccard-sets")
     roots = components(links(found.where("kind = 0").select("sig", "size", "short", "shingles"), threshold))
-    members = found.where("kind = 2").select("doc_id", F.col("size").alias("n_shingles"), "sig")
-    # by set first, then by component, so a hot set or component is one row a task
+    return found.where("kind = 2").select("doc_id", F.col("size").alias("n_shingles"), "sig"), roots.select(F.col("node").alias("sig"), "root")
+
+
+def _named(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(sig, component_id). By set first, then by component, so a hot set or component is one row a task."""
     sets = members.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("least"))
-    rooted = sets.join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("sig", "component_id")
-    return members.join(named, "sig", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    rooted = sets.join(roots, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    return rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("sig", "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without the documents that a smaller one of their component stands for; rows without a doc_id stay."""
-    gone = jaccard_components(docs).where("component_id < doc_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+def jaccard_components(docs: DataFrame, width: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id."""
+    members, roots = _classed(texts(docs), width, threshold)
+    out = members.join(_named(members, roots), "sig", "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, width: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
+    """docs without the rows that a smaller doc_id of their component stands for. Rows are told apart by id and text: of a repeated
+    id's texts only the linked ones go. Rows without a doc_id stay, and so do equal rows of the smallest id, and null and empty
+    texts."""
+    row = F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.col("doc_id").isNull(), F.coalesce(F.col("text").cast("string"), F.lit("")))
+    own = texts(docs.withColumn("_kept_row", row), "_kept_row")
+    members, roots = _classed(own, width, threshold)
+    ids = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    members = members.withColumnRenamed("doc_id", "row").distinct().join(ids, "row")
+    gone = members.join(_named(members, roots), "sig").where("component_id < doc_id").select(F.col("row").alias("_kept_row"), F.col("doc_id").alias("_kept_id"))
+    return docs.withColumn("_kept_row", row).alias("d").join(gone.alias("g"), (F.col("d._kept_row") == F.col("g._kept_row")) & (F.col("d.doc_id") == F.col("g._kept_id")), "left_anti").select(*(F.col(f"d.`{c}`") for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -171,19 +171,31 @@ def plain_words(text: str) -> list[tuple[int, int]]:
     return free(words, [(a, b) for _, a, b in base_spans(text)] + identifiers(text))
 
 
+ZEROS = str.maketrans("123456789", "000000000")
+
+
 def in_patterns(text: str, patterns, lasts: frozenset[str]):
-    """(pattern, start, end) of the plain words that stand in one of the patterns; lasts are the words before an entity."""
-    if lasts.isdisjoint(WORD.findall(_word(text))):
+    """(pattern, start, end) of the plain words that stand in one of the patterns; lasts are the words before an entity. Only words
+    after one of those, or behind signs that are one, are looked at closely."""
+    small = WORD.findall(text.lower().translate(ZEROS))
+    signs = {w for w in lasts if not any(c.isalnum() for c in w)}
+    if lasts.isdisjoint(small) and not any(w in text for w in signs - {"~"}) and ("~" not in lasts or len(text) <= WORD_CHARS):
         return
-    end, before, apart = 0, "", True
-    for a, b in plain_words(text):
-        # signs or entities before this word, or before the one that stands before it
-        signs, apart = apart, a - end > 1 or end == 0
-        if signs or apart or before in lasts:
-            for c in contexts(text, a, b):
-                if c in patterns:
-                    yield c, a, b
-        end, before = b, _word(text[a:b])
+    found, before, end = [], "", 0
+    for m, w in zip(WORD.finditer(text), small):
+        a, b = start, last = m.span()
+        while a < b and not text[a].isalnum():
+            a += 1
+        # the word before, or the signs that hang on to this one; a word far off may be cut by the reach
+        if a < b and ((before if a == start else _word(text[start:a])) in lasts or a - end > REACH // 2):
+            while not text[b - 1].isalnum():
+                b -= 1
+            found += [(c, a, b) for c in contexts(text, a, b) if c in patterns]
+        before, end = w if last - start <= WORD_CHARS else "~", last
+    if found:
+        taken = [(a, b) for _, a, b in base_spans(text)] + identifiers(text)
+        plain = set(free(sorted({(a, b) for _, a, b in found}), taken))
+        yield from (x for x in found if x[1:] in plain)
 
 
 def last_words(patterns) -> frozenset[str]:
@@ -252,11 +264,11 @@ def mark_plain(rows: DataFrame, kinds: dict[str, int]) -> DataFrame:
         def each(row, doc_id, text):
             for c, a, b in in_patterns(text, kinds, lasts):
                 if SHORTEST <= b - a and PART.issuperset(text[a:b]):
-                    yield row, kinds[c], a, b
+                    yield row, doc_id, kinds[c], a, b
 
         return each
 
-    return map_rows(rows, work, "row long, kind int, first long, last long")
+    return map_rows(rows, work, "row long, doc_id long, kind int, first long, last long")
 
 
 def trusted_patterns(seen: DataFrame, rows: DataFrame, rounds: int = 3, trust: float = 0.6, least_seeds: int = 5) -> DataFrame:
@@ -292,16 +304,16 @@ def trusted_patterns(seen: DataFrame, rows: DataFrame, rounds: int = 3, trust: f
 def find_private(docs: DataFrame) -> DataFrame:
     rows = numbered(docs)
     found = save(base_scan(rows), "pii-base")
-    seen = found.select("row", F.explode("seen").alias("s")).select("row", "s.*")
+    seen = found.select("row", "doc_id", F.explode("seen").alias("s")).select("row", "doc_id", "s.*")
     patterns = trusted_patterns(seen.select("pattern", "kind", "instance"), rows)
-    more = seen.where("kind < 0").drop("kind").join(patterns, "pattern").select("row", "kind", "first", "last")
+    more = seen.where("kind < 0").drop("kind").join(patterns, "pattern").select("row", "doc_id", "kind", "first", "last")
     for part in slices(patterns.where(F.col("kind").isin(*NO_DIGITS)), "kind"):
         more = more.unionByName(save(mark_plain(rows, dict(part)), "pii-plain"))
-    more = more.groupBy("row", "first", "last").agg(F.min("kind").alias("kind"))
-    more = more.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("kind", "first", "last"))).alias("more"))
+    more = more.groupBy("row", "doc_id", "first", "last").agg(F.min("kind").alias("kind"))
+    more = more.groupBy("row", F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_list(F.struct("kind", "first", "last"))).alias("more"))
     added = F.transform("more", lambda m: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), m["kind"] + 1), m["first"], m["last"]))
     both = F.array_sort(F.concat(F.filter(F.split("base_spans", ","), lambda s: s != ""), added), _by_kind_and_start)
-    out = found.drop("seen").join(more, "row", "left")
+    out = found.drop("seen").join(more.withColumnRenamed("row", "_row"), (F.col("row") == F.col("_row")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", F.when(F.col("more").isNull(), F.col("base_spans")).otherwise(F.array_join(both, ",")).alias("spans"), F.coalesce(F.size("more"), F.lit(0)).cast("long").alias("n_more"))
 
 

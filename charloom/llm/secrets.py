@@ -30,7 +30,8 @@ HEX = re.compile(r"[0-9a-f]+")
 LONG_HEX = re.compile(r"[0-9a-f]{24,}")
 SENSITIVE = re.compile(r"(?i)(?<![a-z0-9])(?:password|passwd|secret|token|api[_ -]?key|access[_ -]?key|private[_ -]?key|credentials?|bearer|auth(?:orization)?|signature)(?![a-z0-9])", re.ASCII)
 SHORTEST = 16
-TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % SHORTEST)
+#: A token: parts of at least SHORTEST signs, joined by dots as in signed web tokens.
+TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}(?:\.[A-Za-z0-9+/_=-]{%d,})*" % (SHORTEST, SHORTEST))
 SIGN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
 SIGNS = re.compile(r"[A-Za-z0-9+/_=-]+")
 #: Dictionary of common identifiers that secrets are compared with.
@@ -113,6 +114,22 @@ def mixed(token: str) -> bool:
     return len(set(token)) >= 8 and any(c.isdigit() for c in token) and any(c.isalpha() for c in token)
 
 
+def _start(text: str, least: int, at: int) -> int:
+    """Where the token begins whose last part's signs go on to the left of `at`, not before `least`."""
+    while True:
+        end = at
+        while at > least and text[at - 1] in SIGN:
+            at -= 1
+        while end < len(text) and text[end] in SIGN and end - at < SHORTEST:
+            end += 1
+        part = at - 1
+        while part > least and text[at - 1] == "." and text[part - 1] in SIGN:
+            part -= 1
+        if end - at < SHORTEST or at - 1 - part < SHORTEST or text[at - 1] != ".":
+            return at
+        at = part
+
+
 def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty) -> list[tuple[int, int]]:
     """Tokens near a sensitive word that no base span covers and that nothing around them foretells. Of tokens within each other
     the longest counts."""
@@ -138,10 +155,10 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty) -
             a, b = m.span()
             if b == s.start() or a < last:
                 continue  # it goes on into the word, or the runs after the last word had it
-            while a > back and text[a - 1] in SIGN:
-                a -= 1
-            if b - a >= SHORTEST:
-                judge(a, b, True)
+            a = _start(text, back, a)
+            if token := TOKEN.match(text, a, s.start()):
+                last = token.end()
+                judge(a, last, True)
         back = s.end()
         # as far as shows the least of a token that starts at REACH; its end is looked for apart
         for m in TOKEN.finditer(text, s.end(), s.end() + REACH + SHORTEST):

@@ -326,6 +326,51 @@ def test_pii_learns_phrases(spark):
     assert {i: r.spans for i, r in got.items() if r.n_more} == {20: "email:20:31", 21: "email:20:40", 43: "phone:17:25"}
 
 
+def test_pii_in_long_texts(spark):
+    """The same phrases in texts of a thousand words: found as the plain version does, no number of prose taken for an address."""
+    rnd = random.Random(9)
+    prose = "some words of plain prose that stand about in (long) texts and 2024 or box-1234 among them, of course; on any day".split()
+    docs, planted = [], set()
+    for i in range(60):
+        words = rnd.choices(prose, k=1000)
+        value = f"user{i}@site{i}.example.com" if i % 4 else f"jane.nobody{'xyzw'[i // 4 % 4]}{'abcde'[i // 12]}"
+        words[500:500] = ["you", "can", "reach", "me", "on", value, "any", "time"]
+        if i % 3 == 0:
+            words[100:100] = ["some", "of", "the", f"box{i}@site{i}.example.com", "words"]
+        words[800:800] = ["some", "of", "the", "".join(rnd.choices("abcdefgh", k=7)) if i % 9 else "12345678", "words"]
+        text = " ".join(words)
+        docs.append((i, text))
+        if i % 4 == 0:
+            planted.add((i, f"email:{text.index(value)}:{text.index(value) + len(value)}"))
+    got = {(r.doc_id, s) for r in pii.find_private(spark.createDataFrame(docs, "doc_id long, text string")).collect() for s in r.spans.split(",")}
+    mine = {(i, f"{pii.KINDS[k]}:{a}:{b}") for i, t in docs for k, a, b in pii.base_spans(t)}
+    want = {(i, f"{pii.KINDS[k]}:{a}:{b}") for i, k, a, b in plain_bootstrap(docs)}
+    assert got - mine == want == planted
+
+
+def test_pii_words_in_patterns():
+    """The quick way to words in patterns against looking at every plain word."""
+    rnd = random.Random(12)
+    words = ["the", "(the", "id:", "a-b", "A1", "x@y.zz", "12345678", "(", ")", "..", "w" * 70, "((foo))", "Straße", "ΣΑΣ", "1999"]
+    for _ in range(400):
+        text = "".join(rnd.choice(words) + rnd.choice([" ", " ", "  ", "\n", " " * 150]) for _ in range(rnd.randrange(1, 25)))
+        every = [(c, a, b) for a, b in pii.plain_words(text) for c in pii.contexts(text, a, b)]
+        patterns = {c for c, _, _ in every if rnd.random() < 0.4}
+        assert sorted(pii.in_patterns(text, patterns, pii.last_words(patterns))) == sorted(x for x in every if x[0] in patterns)
+
+
+def test_signed_tokens():
+    """The parts of a signed web token are one secret, before its word and after it."""
+    rnd = random.Random(3)
+    part = lambda n: "".join(rnd.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", k=n))
+    token = f"{part(36)}.{part(120)}.{part(43)}"
+    for text in (f"Authorization: Bearer {token} is sent", f"we send {token} as bearer", f"bearer ({token})."):
+        base, every = secrets.find(text, secrets.Novelty())
+        assert [text[a:b] for a, k, b in every if k == 3] == [token]
+        assert token[-20:] not in secrets.masked(text, every, "<secret>")
+    assert [k for _, k, _ in secrets.find("the token is at api.example.com/v1/tokens now", secrets.Novelty())[1]] == []
+
+
 # --- op8
 
 def plain_warc(rows):

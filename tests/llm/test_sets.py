@@ -8,7 +8,7 @@ import re
 import numpy as np
 import pytest
 
-from charloom.llm import jaccard, packed, substring
+from charloom.llm import decontaminate, jaccard, packed, substring
 from charloom.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -171,3 +171,17 @@ def test_components(spark):
             up[max(x, y)] = min(x, y)
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: root(x) for x in list(up)}
+
+
+def test_repeated_ids(spark):
+    """Different texts of one id are told apart where rows are dropped: only the linked or contaminated ones go."""
+    rnd = random.Random(6)
+    words = lambda n: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(n))
+    long_, other, third, item = words(40), words(30), words(35), "Which of the old bridges over the river was built by the masons of the town in winter?"
+    rows = [(1, long_), (2, long_), (2, other), (3, third), (3, None), (3, ""), (None, long_), (None, other), (1, long_), (5, f"{words(5)} {item} {words(5)}"), (5, words(12))]
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, row string, component_id int")
+    left = sorted(((r.doc_id, r.text) for r in jaccard.keep_one(docs).collect()), key=repr)
+    assert left == sorted([r for r in rows if r != (2, long_)], key=repr)
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    left = sorted(((r.doc_id, r.text) for r in decontaminate.clean(docs, items).collect()), key=repr)
+    assert left == sorted([r for r in rows if r[0] != 5 or item not in r[1]], key=repr)
