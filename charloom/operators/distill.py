@@ -12,6 +12,8 @@ from pyspark.sql.types import StructType
 
 from charloom.functions import text as T
 
+from .patterns import occurring
+
 #: Fixed values.
 CATEGORIES = ("speech_style", "catchphrase", "values", "knowledge", "emotion", "relationships", "signature_event", "background", "taboo", "mannerism")
 BATCH_OVER, BATCH_SIZE, MAX_FAILED = 30, 20, 0.5
@@ -109,16 +111,17 @@ def evidence_rows(distillates: DataFrame) -> DataFrame:
 
 def domains(models: DataFrame, evidence: DataFrame, key: str) -> DataFrame:
     """Adds cross_domain_rule (a keyword of the model is in signals of two categories or more) and proofs, the first four.
-    Evidence meets models by its words only where it can: a model's keywords are matched inside texts, so every model sees
-    every piece of evidence once; models are the few candidates of one card and are broadcast below a checked number."""
-    asked = models.withColumn("_k", T.keywords(F.concat_ws(" ", "principle", "name"))).select(key, "_k")
-    if asked.count() <= 10_000:
-        asked = F.broadcast(asked)
-    hit = evidence.join(asked, F.exists("_k", lambda k: F.contains(F.col("content"), k) | F.contains(F.col("evidence"), k)))
-    proof = F.concat(F.lit("["), "category", F.lit("] "), F.substr("evidence", F.lit(1), F.lit(60)))
-    place = Window.partitionBy(key).orderBy("ord")
-    hit = hit.withColumn("_r", F.row_number().over(place)).groupBy(key).agg(F.countDistinct("category").alias("n"), F.transform(F.array_sort(F.collect_list(F.when(F.col("_r") <= 4, F.struct("_r", proof.alias("p"))))), lambda x: x["p"]).alias("proofs"))
-    return models.join(hit, key, "left").withColumn("cross_domain_rule", F.coalesce(F.col("n") >= 2, F.lit(False))).withColumn("proofs", F.coalesce("proofs", F.array().cast("array<string>"))).drop("n")
+    The keywords of all models are looked for together, in one pass over the evidence. A keyword's first four pieces of evidence
+    in each category are enough to tell a model's, so that is all that meets the models; Spark cuts them off before the shuffle."""
+    asked = models.select(key, F.explode(F.array_distinct(T.keywords(F.concat_ws(" ", "principle", "name")))).alias("word"))
+    proof = F.concat(F.lit("["), "category", F.lit("] "), F.substr("evidence", F.lit(1), F.lit(60))).alias("proof")
+    hit = occurring(evidence.select("ord", "category", proof, "content", "evidence"), ["content", "evidence"], asked)
+    place = Window.partitionBy("word", "category").orderBy("ord")
+    first = hit.withColumn("_r", F.row_number().over(place)).where("_r <= 4").drop("_r")
+    # of a model: its keywords times the categories times four
+    of = asked.join(first, "word").groupBy(key).agg(F.countDistinct("category").alias("n"), F.collect_set(F.struct("ord", "proof")).alias("p"))
+    of = of.select(key, "n", F.transform(F.slice(F.array_sort("p"), 1, 4), lambda x: x["proof"]).alias("proofs"))
+    return models.join(of, key, "left").withColumn("cross_domain_rule", F.coalesce(F.col("n") >= 2, F.lit(False))).withColumn("proofs", F.coalesce("proofs", F.array().cast("array<string>"))).drop("n")
 
 
 def verify(models: DataFrame, evidence: DataFrame, key: str) -> DataFrame:
