@@ -174,32 +174,55 @@ def plain_words(text: str) -> list[tuple[int, int]]:
 ZEROS = str.maketrans("123456789", "000000000")
 
 
-def in_patterns(text: str, patterns, lasts: frozenset[str]):
-    """(pattern, start, end) of the plain words that stand in one of the patterns; lasts are the words before an entity. Only words
-    after one of those, or behind signs that are one, are looked at closely."""
+def in_patterns(text: str, patterns, lasts: LastWords):
+    """(pattern, start, end) of the plain words that stand in one of the patterns. Only a word that may be in one, by the words
+    next to it, is looked at closely."""
     small = WORD.findall(text.lower().translate(ZEROS))
-    signs = {w for w in lasts if not any(c.isalnum() for c in w)}
-    if lasts.isdisjoint(small) and not any(w in text for w in signs - {"~"}) and ("~" not in lasts or len(text) <= WORD_CHARS):
+    if lasts.keys().isdisjoint(small) and not any(w in text for w in lasts.signs) and ("~" not in lasts or len(text) <= WORD_CHARS):
         return
-    found, before, end = [], "", 0
-    for m, w in zip(WORD.finditer(text), small):
-        a, b = start, last = m.span()
-        while a < b and not text[a].isalnum():
-            a += 1
-        # the word before, or the signs that hang on to this one; a word far off may be cut by the reach
-        if a < b and ((before if a == start else _word(text[start:a])) in lasts or a - end > REACH // 2):
-            while not text[b - 1].isalnum():
-                b -= 1
+    places = [m.span() for m in WORD.finditer(text)]
+    if len(text) > WORD_CHARS:
+        small = [w if b - a <= WORD_CHARS else "~" for w, (a, b) in zip(small, places)]
+    found, end, known = [], len(places), lasts.get
+    for i, (first, last) in enumerate(places):
+        a, b = first, last
+        if text[a].isalnum():
+            # most words end here
+            if not i:
+                continue
+            near = known(small[i - 1])
+            if near is None and first - places[i - 1][1] <= REACH // 2:
+                continue
+        else:
+            while a < last and not text[a].isalnum():
+                a += 1
+            if a == last or (near := known(_word(text[first:a]))) is None:
+                continue
+        while not text[b - 1].isalnum():
+            b -= 1
+        # signs that hang on to the word are words of their own
+        k = i - 2 if a == first else i - 1
+        cut = near is None or places[max(k, 0)][0] < a - REACH or (i + 1 < end and places[i + 1][1] >= b + REACH if b == last else last - b >= REACH)
+        if cut or k >= 0 and small[k] in near[0] or (_word(text[b:last]) if b < last else small[i + 1] if i + 1 < end else "") in near[1]:
             found += [(c, a, b) for c in contexts(text, a, b) if c in patterns]
-        before, end = w if last - start <= WORD_CHARS else "~", last
     if found:
         taken = [(a, b) for _, a, b in base_spans(text)] + identifiers(text)
         plain = set(free(sorted({(a, b) for _, a, b in found}), taken))
         yield from (x for x in found if x[1:] in plain)
 
 
-def last_words(patterns) -> frozenset[str]:
-    return frozenset(c[: c.index(" _")].split(" ")[-1] for c in patterns)
+class LastWords(dict):
+    """For each word before an entity in one of the patterns, the words before it and the words after the entity; signs are those
+    that can hang on to an entity."""
+
+    def __init__(self, patterns):
+        for c in patterns:
+            one, two, three = c.split(" ")
+            if three == "_":
+                self.setdefault(two, (set(), set()))[0].add(one)
+            if two == "_":
+                self.setdefault(one, (set(), set()))[1].add(three)
+        self.signs = {w for w in self if w != "~" and not any(x.isalnum() for x in w)}
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -238,7 +261,7 @@ def slices(patterns: DataFrame, *columns: str):
 def count_plain(rows: DataFrame, hopeful: dict[str, int], trust: float) -> DataFrame:
     """(pattern, others): how many different plain words stand in each of the hopeful patterns. A task stops to collect a
     pattern's words once they are too many for any score of `trust`, so few rows are sent."""
-    most, lasts = {c: int(n / trust - n) + 1 for c, n in hopeful.items()}, last_words(hopeful)
+    most, lasts = {c: int(n / trust - n) + 1 for c, n in hopeful.items()}, LastWords(hopeful)
 
     def work():
         words: dict[str, set[str]] = {}
@@ -258,7 +281,7 @@ def count_plain(rows: DataFrame, hopeful: dict[str, int], trust: float) -> DataF
 
 def mark_plain(rows: DataFrame, kinds: dict[str, int]) -> DataFrame:
     """Plain words of an identifier's length in trusted patterns whose kind needs no digits."""
-    lasts = last_words(kinds)
+    lasts = LastWords(kinds)
 
     def work():
         def each(row, doc_id, text):

@@ -356,7 +356,7 @@ def test_pii_words_in_patterns():
         text = "".join(rnd.choice(words) + rnd.choice([" ", " ", "  ", "\n", " " * 150]) for _ in range(rnd.randrange(1, 25)))
         every = [(c, a, b) for a, b in pii.plain_words(text) for c in pii.contexts(text, a, b)]
         patterns = {c for c, _, _ in every if rnd.random() < 0.4}
-        assert sorted(pii.in_patterns(text, patterns, pii.last_words(patterns))) == sorted(x for x in every if x[0] in patterns)
+        assert sorted(pii.in_patterns(text, patterns, pii.LastWords(patterns))) == sorted(x for x in every if x[0] in patterns)
 
 
 def test_signed_tokens():
