@@ -31,12 +31,17 @@ VERIFICATION = "struct<cross_domain:boolean,generative:boolean,exclusive:boolean
 MODEL = f"name string, principle string, verification {VERIFICATION}"
 
 
+def place(workdir: str) -> str:
+    """Where tables go: workdir as it is if it names a store that the cluster shares, else a local folder."""
+    return workdir.rstrip("/") if "://" in workdir else f"file://{Path(workdir).resolve()}"
+
+
 class Engine:
     def __init__(self, spark: SparkSession, config: Config | None = None, ask: ModelClient | None = None, embed: Callable[[DataFrame], DataFrame] | None = None):
         self.spark, self.config, self.ask, self.embed = spark, config or Config(), ask, embed
-        folder = Path(self.config.workdir).resolve()
-        self.store = index.IndexStore(spark, f"file://{folder}/index")
-        self._signals = f"file://{folder}/signals"
+        folder = place(self.config.workdir)
+        self.store = index.IndexStore(spark, f"{folder}/index", embed=embed)
+        self._signals = f"{folder}/signals"
 
     # the tools
 
@@ -72,20 +77,24 @@ class Engine:
         known = self.embed(entries) if self.embed else entries
         found = resolve.resolve(known, self.config.auto_merge, vector="embedding" if self.embed else None)
         if not found.merges.isEmpty():
-            self.store.write(index.merge(entries, resolve.merge_map(self.spark, found)))
+            self.store.merge_all(resolve.merge_map(self.spark, found))
         return found
 
     def characters(self) -> DataFrame:
         return index.characters(self.store.entries())
 
     def search(self, query: str, name: str | None = None) -> DataFrame:
-        return index.search_text(self.store.entries(), query, name, self.config.top_k)
+        """By vectors where there is an embedder, else by text; the same k either way."""
+        if self.embed:
+            asked = self.embed(self.spark.createDataFrame([(query,)], "text string")).first()
+            return self.store.search_vector(list(asked.embedding), name, self.config.top_k)
+        return self.store.search_text(query, name, self.config.top_k)
 
     def entries(self, name: str) -> DataFrame:
         known = index.resolve_name(name, self.characters())
         if known is None:
             raise KeyError(name)
-        return index.of_character(self.store.entries(), known)
+        return index.of_character(self.store.entries(known), known)
 
     def save_signals(self, distillates: DataFrame) -> int:
         artifacts.write_distillates(distillates, self._signals)
@@ -129,7 +138,7 @@ class Engine:
         chunks = chunking.chunk(docs.select(F.col("relpath").alias("source_file"), "text"), c.chunk_tokens, c.chunk_overlap, c.max_chunks)
         asked = chunks.withColumn("prompt", distill.extractor_prompt(F.col("source_file"), F.col("total_chunks")))
         extracted = distill.extract_signals(asked, lambda p: structured(retried(p), dict))
-        at = f"file://{Path(c.workdir).resolve()}/extracted-{uuid.uuid4().hex}"
+        at = f"{place(c.workdir)}/extracted-{uuid.uuid4().hex}"
         extracted.write.parquet(at)
         extracted = self.spark.read.parquet(at)
         counted = distill.gate(extracted)

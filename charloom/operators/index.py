@@ -1,19 +1,15 @@
 """The character index: entries as a table, its updates, lists and searches.
 
-Updates are DataFrame to DataFrame; IndexStore keeps the table as one Parquet snapshot per write, so a write is there whole or
-not at all and readers of the old snapshot aren't disturbed.
+Updates are DataFrame to DataFrame; IndexStore keeps the table on disk.
 """
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from charloom.functions.similarity import cosine
 
-from .mentions import ENTRY
 
 
 def upsert(entries: DataFrame, new: DataFrame, key: str = "uuid") -> DataFrame:
@@ -90,56 +86,4 @@ def metadata(entries: DataFrame) -> DataFrame:
     return entries.select("uuid", "character_name", "category", "source", "corpus_uuid", "char_start", "char_end", "chunk_index", F.array_join("aliases", ",").alias("aliases"))
 
 
-class IndexStore:
-    """Entries under a folder, as snapshots; the newest complete one counts."""
-
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
-
-    def _fs(self):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
-
-    def _snapshots(self) -> list[str]:
-        fs, path = self._fs()
-        if not fs.exists(path):
-            return []
-        new = self.spark._jvm.org.apache.hadoop.fs.Path
-        return sorted(s.getPath().getName() for s in fs.listStatus(path) if fs.exists(new(s.getPath(), "_SUCCESS")))
-
-    def entries(self) -> DataFrame:
-        found = self._snapshots()
-        if not found:
-            return self.spark.createDataFrame([], ENTRY)
-        out = self.spark.read.option("mergeSchema", True).parquet(f"{self.folder}/{found[-1]}")
-        # tables of an older form lack columns
-        for field in self.spark.createDataFrame([], ENTRY).schema:
-            if field.name not in out.columns:
-                out = out.withColumn(field.name, F.lit(None).cast(field.dataType))
-        return out
-
-    def write(self, entries: DataFrame) -> None:
-        found = self._snapshots()
-        number = int(found[-1].split("-")[0]) + 1 if found else 0
-        entries.write.parquet(f"{self.folder}/{number:08d}-{uuid.uuid4().hex}")
-        fs, _ = self._fs()
-        for old in found[:-1]:
-            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{old}"), True)
-
-    def add(self, new: DataFrame) -> None:
-        self.write(upsert(self.entries(), new))
-
-    def merge(self, source: str, target: str) -> int:
-        """How many entries moved."""
-        now = self.entries()
-        moved = now.where(F.col("character_name") == source).count() if source and target and source != target else 0
-        if moved:
-            self.write(merge(now, self.spark.createDataFrame([(source, target)], "source string, target string")))
-        return moved
-
-    def count(self) -> int:
-        return self.entries().count()
-
-    def clear(self) -> None:
-        fs, path = self._fs()
-        fs.delete(path, True)
+from .index_store import IndexStore  # noqa: E402, F401

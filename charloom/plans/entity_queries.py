@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from charloom.functions import similarity as S
 from charloom.functions import text as T
-from charloom.functions.shared import save
+from charloom.functions.shared import save, shared_dir
 from charloom.operators import chunking, distill, dna, evaluate, index, names, profile, resolve
 from charloom.streaming import incremental
 
@@ -68,6 +70,31 @@ def keyword_search(spark, sf):
     return index.search_text(entries(spark, sf), "hEI", k=10).select("character_name", "chunk_index", "char_start", "text")
 
 
+def stored(spark, sf, embed=None) -> index.IndexStore:
+    """An index on disk, in a folder of its own."""
+    return index.IndexStore(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", embed=embed)
+
+
+@query("index_search", FOUND + " SELECT character_name, chunk_index, char_start, text FROM e WHERE contains(lower(character_name), 'ation') OR contains(lower(text), 'ation') ORDER BY character_name, chunk_index, char_start LIMIT 10")
+def index_search(spark, sf):
+    """By the trigrams of the index on disk."""
+    s = stored(spark, sf)
+    s.add(entries(spark, sf))
+    return s.search_text("aTion", k=10).select("character_name", "chunk_index", "char_start", "text")
+
+
+@query("index_writes", FOUND + """, m AS (SELECT CASE character_name WHEN 'That' THEN 'This' WHEN 'For' THEN 'From' ELSE character_name END AS character_name, CASE WHEN chunk_index % 7 = 0 THEN 'new' WHEN chunk_index % 3 = 0 THEN 'speech' WHEN chunk_index % 3 = 1 THEN 'appearance' ELSE 'event' END AS category,
+  lower(character_name) || CASE WHEN character_name IN ('That', 'For') THEN ',' || character_name ELSE '' END AS aliases, chunk_index, char_start, sha256(text) AS text FROM e WHERE chunk_index % 4 <> 1) SELECT * FROM m""")
+def index_writes(spark, sf):
+    """Entries after they are added, some are replaced, names are merged and chunks deleted; each write is a version on disk."""
+    s, now = stored(spark, sf), entries(spark, sf)
+    s.add(now)
+    s.add(now.where("chunk_index % 7 = 0").withColumn("category", F.lit("new")))
+    s.merge_all(spark.createDataFrame([("That", "This"), ("For", "From"), ("Was", "Was")], "source string, target string"))
+    s.delete_chunk(now.where("chunk_index % 4 = 1"))
+    return s.entries().select("character_name", "category", F.array_join("aliases", ",").alias("aliases"), "chunk_index", "char_start", F.sha2("text", 256).alias("text"))
+
+
 COS = "list_cosine_similarity({a}::DOUBLE[], {b}::DOUBLE[])"
 
 
@@ -79,6 +106,23 @@ def vector_topk(spark, sf):
     return index.search_vector(rows, probe, k=10).select("vec_id", F.round("score", 6).alias("score"))
 
 
+@query("index_vectors", f"SELECT vec_id, round({COS.format(a='embedding', b='(SELECT embedding FROM embeddings WHERE vec_id = 0)')}, 6) AS score FROM embeddings ORDER BY {COS.format(a='embedding', b='(SELECT embedding FROM embeddings WHERE vec_id = 0)')} DESC, vec_id LIMIT 10")
+def index_vectors(spark, sf):
+    """The exact search of the index on disk, over all its cells."""
+    e = read(spark, sf, "embeddings")
+    known = e.select(F.lpad(F.col("vec_id").cast("string"), 12, "0").alias("uuid"), F.col("label").cast("string").alias("character_name"), F.lit("t").alias("text"), F.col("vec_id").cast("int").alias("chunk_index"), F.col("embedding").cast("array<double>").alias("embedding"))
+    s = stored(spark, sf, lambda rows: rows.join(known.select("uuid", "embedding"), "uuid"))
+    s.add(known.drop("embedding"))
+    return s.search_vector(list(e.where("vec_id = 0").first().embedding), k=10).select(F.col("chunk_index").cast("long").alias("vec_id"), F.round("score", 6).alias("score"))
+
+
+@query("vector_pairs", f"SELECT x.vec_id AS a, y.vec_id AS b, round({COS.format(a='x.embedding', b='y.embedding')}, 6) AS score FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id WHERE {COS.format(a='x.embedding', b='y.embedding')} >= 0.4")
+def vector_pairs(spark, sf):
+    """All pairs of vectors with a cosine of 0.4 or more, by the join that resolution uses for mean vectors."""
+    rows = read(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("name"), F.col("vec_id").alias("ord"), F.col("embedding").alias("vector"))
+    return resolve.vector_pairs(rows, 0.4).select(F.col("oa").alias("a"), F.col("ob").alias("b"), F.round("embedding_score", 6).alias("score"))
+
+
 # similarity: all names; the SQL works all pairs of them out
 
 NAMED = ENTRIES + ", o AS (SELECT character_name AS name, count(*) AS c FROM entries GROUP BY ALL)"
