@@ -37,8 +37,9 @@ def place(workdir: str) -> str:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, config: Config | None = None, ask: ModelClient | None = None, embed: Callable[[DataFrame], DataFrame] | None = None):
-        self.spark, self.config, self.ask, self.embed = spark, config or Config(), ask, embed
+    def __init__(self, spark: SparkSession, config: Config | None = None, ask: ModelClient | None = None, embed: Callable[[DataFrame], DataFrame] | None = None, score: Callable[[DataFrame], DataFrame] | None = None):
+        """embed adds `embedding` to rows with `text`, score adds `score` to rows with `query` and `text`; see model.embed."""
+        self.spark, self.config, self.ask, self.embed, self.score = spark, config or Config(), ask, embed, score
         folder = place(self.config.workdir)
         self.store = index.IndexStore(spark, f"{folder}/index", embed=embed)
         self._signals = f"{folder}/signals"
@@ -116,9 +117,15 @@ class Engine:
             raise RuntimeError("this step needs a model")
         return self.ask
 
+    def excerpts(self, name: str, top_n: int = 6) -> DataFrame:
+        """The character's most telling entries of each category, by the three views where there is a scorer."""
+        return profile.rerank_views(self.store.entries(name), top_n, self.score, ("character_name", "category"))
+
     def profile(self, name: str) -> DataFrame:
-        entries = self.store.entries()
-        found = profile.profiles(entries.where(F.col("character_name") == name), self.config.profile_max_entries)
+        entries = self.store.entries(name)
+        if self.score:
+            entries = self.score(entries.withColumn("query", F.lit(name))).drop("query")
+        found = profile.profiles(entries, self.config.profile_max_entries, "score" if self.score else None)
         ask = self.ask
         return profile.with_summary(found, None if ask is None else (lambda p: flatten(ask(p))), lambda row: prompts.PROFILE.format(facts=row["summary"]))
 

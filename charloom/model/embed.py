@@ -48,3 +48,21 @@ def build_reranker(model: str = "BAAI/bge-reranker-base") -> Callable[[list[dict
         return [e for _, e in sorted(zip(scores, entries), key=lambda x: -x[0])]
 
     return rerank
+
+
+def build_scorer(model: str = "BAAI/bge-reranker-base") -> Callable[[DataFrame], DataFrame] | None:
+    """Adds `score` of `text` for `query` by a local cross-encoder, loaded once a task; None where its library is missing."""
+    try:
+        import sentence_transformers  # noqa: F401
+    except ImportError:
+        return None
+
+    @F.pandas_udf(DoubleType())
+    def rate(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        from sentence_transformers import CrossEncoder
+
+        loaded = CrossEncoder(model)
+        for query, text in parts:
+            yield pd.Series([float(x) for x in loaded.predict(list(zip(query, text)))])
+
+    return lambda rows: rows.withColumn("score", rate("query", "text"))

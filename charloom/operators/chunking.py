@@ -9,14 +9,16 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyspark.errors import PythonException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from charloom.functions import ids
-from charloom.functions.similarity import cosine
+from charloom.functions.shared import save
 
 SPLIT = r"\n\s*\n"
 
@@ -106,30 +108,87 @@ def dedup_exact(chunks: DataFrame, keys: list[str]) -> DataFrame:
     return chunks.withColumn("_rank", F.row_number().over(first)).where("_rank = 1").drop("_rank")
 
 
+#: Chunks that are compared with the kept ones at a time.
+FOLD = 256
+
+
+class _Kept:
+    """The vectors of one document's kept chunks, in order, and which of the next ones stay."""
+
+    def __init__(self, threshold: float):
+        self.threshold, self.n = threshold, 0
+        self.rows, self.norms = np.zeros((0, 0)), np.zeros(0)
+        self.sizes = np.zeros(0, int)
+
+    def take(self, vectors: list) -> np.ndarray:
+        sizes = np.array([len(v) if v is not None else 0 for v in vectors])
+        width = max(int(sizes.max(initial=0)), self.rows.shape[1])
+        new = np.zeros((len(vectors), width))
+        for i, v in enumerate(vectors):
+            new[i, : sizes[i]] = v if v is not None else ()
+        norms = np.sqrt(np.einsum("ij,ij->i", new, new))
+        if width > self.rows.shape[1]:
+            self.rows = np.pad(self.rows, ((0, 0), (0, width - self.rows.shape[1])))
+        stays = ~self._near(new, norms, sizes, self.rows[: self.n], self.norms[: self.n], self.sizes[: self.n]).any(axis=1)
+        within = self._near(new, norms, sizes, new, norms, sizes)
+        for i in np.nonzero(stays)[0]:
+            stays[i] = not (within[i, :i] & stays[:i]).any()
+        kept = np.nonzero(stays)[0]
+        if self.n + len(kept) > len(self.rows):
+            room = max(FOLD, len(self.rows), len(kept))
+            self.rows, self.norms, self.sizes = np.pad(self.rows, ((0, room), (0, 0))), np.pad(self.norms, (0, room)), np.pad(self.sizes, (0, room))
+        at = slice(self.n, self.n + len(kept))
+        self.rows[at], self.norms[at], self.sizes[at] = new[kept], norms[kept], sizes[kept]
+        self.n += len(kept)
+        return stays
+
+    def _near(self, a, na, sa, b, nb, sb) -> np.ndarray:
+        """Whether the cosine reaches the threshold; it is 0 for null, empty, zero or unequally long vectors."""
+        norms = na[:, None] * nb[None, :]
+        fits = (norms > 0) & (sa[:, None] == sb[None, :])
+        return np.where(fits, (a @ b.T) / np.where(norms > 0, norms, 1), 0.0) >= self.threshold
+
+
 def dedup_near(chunks: DataFrame, keys: list[str], vector: str = "embedding", threshold: float = 0.95) -> DataFrame:
-    """In order, drops a chunk whose vector is within the threshold of one that was kept. Which pairs are that close is found by
-    a join within each document, in parallel; only these few pairs go through the ordered pass, as an array per document."""
-    a = chunks.select(*keys, F.col("chunk_index").alias("_i"), F.col(vector).alias("_a"))
-    b = chunks.select(*keys, F.col("chunk_index").alias("_j"), F.col(vector).alias("_b"))
-    close = a.join(b, keys).where((F.col("_i") < F.col("_j")) & (cosine(F.col("_a"), F.col("_b")) >= threshold)).select(*keys, "_i", "_j")
-    by = close.groupBy(*keys, "_j").agg(F.collect_list("_i").alias("_near"))
-    ordered = by.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_j", "_near"))).alias("_all"))
-    # a chunk goes if one of its close predecessors is not gone itself
-    gone = F.aggregate("_all", F.array().cast("array<int>"), lambda g, x: F.when(F.size(F.array_except(x["_near"], g)) > 0, F.array_append(g, x["_j"])).otherwise(g))
-    return chunks.join(ordered.select(*keys, F.explode(gone).alias("chunk_index")), [*keys, "chunk_index"], "left_anti").select(*chunks.columns)
+    """In order, drops a chunk whose vector is within the threshold of one that was kept. A document's chunks go through one task in
+    order, a block at a time, and are compared with the kept ones only; the task holds the kept vectors of one document."""
+    names = chunks.columns
+    ordered = chunks.repartition(*keys).sortWithinPartitions(*keys, "chunk_index")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        document, kept = None, None
+        for batch in batches:
+            own = list(zip(*(batch.column(names.index(k)).to_pylist() for k in keys)))
+            at = 0
+            while at < len(own):
+                end = at + 1
+                while end < len(own) and end - at < FOLD and own[end] == own[at]:
+                    end += 1
+                if kept is None or own[at] != document:
+                    document, kept = own[at], _Kept(threshold)
+                part = batch.slice(at, end - at)
+                stays = kept.take(part.column(names.index(vector)).to_pylist())
+                if stays.any():
+                    yield part.filter(pa.array(stays))
+                at = end
+
+    return ordered.mapInArrow(run, chunks.schema)
 
 
 def dedup(chunks: DataFrame, keys: list[str], embed: Callable[[DataFrame], DataFrame] | None = None, threshold: float = 0.95) -> DataFrame:
-    """Near deduplication by the embedder's vectors; without one, or where it fails, exact deduplication."""
+    """Near deduplication by the embedder's vectors; without one, or where it fails, exact deduplication. Only what the embedder
+    itself raises counts as its failure, in the call or in a task; a cluster's trouble is raised as it is."""
     if embed is None:
         return dedup_exact(chunks, keys)
     try:
         with_vectors = embed(chunks)
-        kept = dedup_near(with_vectors, keys, "embedding", threshold).select(*chunks.columns)
-        kept.limit(1).collect()  # an embedder that fails in a task shows here
-        return kept
     except Exception:
         return dedup_exact(chunks, keys)
+    try:
+        with_vectors = save(with_vectors, "embedded")
+    except PythonException:
+        return dedup_exact(chunks, keys)
+    return dedup_near(with_vectors, keys, "embedding", threshold).select(*chunks.columns)
 
 
 def identify(docs: DataFrame) -> DataFrame:
