@@ -220,6 +220,31 @@ def profile_counts(spark, sf):
     return profile.profiles(entries(spark, sf), 3).select("character_name", "mention_count", "speech_count", "appearance_count", "event_count", F.size("speech").alias("kept"), "summary")
 
 
+@query(
+    "rerank_views",
+    FOUND
+    + """, r AS (SELECT character_name, chunk_index, char_start FROM e),
+    a AS (SELECT *, (chunk_index * 7 + char_start * 13 + length(character_name) * 31) % 101 AS s1, (chunk_index * 7 + char_start * 13 + 14 * 31) % 101 AS s2 FROM r),
+    b AS (SELECT *, row_number() OVER (PARTITION BY character_name ORDER BY s1 DESC, chunk_index, char_start) <= 2 AS t1 FROM a),
+    c AS (SELECT *, NOT t1 AND row_number() OVER (PARTITION BY character_name, t1 ORDER BY s2 DESC, chunk_index, char_start) <= 4 AS t2 FROM b),
+    d AS (SELECT *, row_number() OVER (PARTITION BY character_name ORDER BY CASE WHEN t1 THEN 0 WHEN t2 THEN 1 ELSE 2 END, CASE WHEN t1 THEN -s1 WHEN t2 THEN -s2 ELSE 0 END, chunk_index, char_start) AS place FROM c)
+    SELECT character_name, chunk_index, char_start, place::INT AS place FROM d WHERE place <= 6""",
+)
+def rerank_views(spark, sf):
+    """Six entries a character by three queries; the scores are made up from places, so that SQL has them too."""
+    rate = lambda rows: rows.withColumn("score", F.pmod(F.col("chunk_index") * 7 + F.col("char_start") * 13 + F.length("query") * 31, F.lit(101)).cast("double"))
+    return profile.rerank_views(entries(spark, sf), 6, rate).select("character_name", "chunk_index", "char_start", "place")
+
+
+@query("rebuilt_profiles")
+def rebuilt_profiles(spark, sf):
+    """Every character's texts with other people's names taken out, all at once; the tests hold it against the rule for each."""
+    now = save(entries(spark, sf), "entries")
+    found = save(profile.profiles(now), "profiles")
+    done = profile.rebuilt(found, profile.replacements(profile.people_in(found, index.characters(now), now), found))
+    return done.select("character_name", *(F.sha2(c, 256).alias(c) for c in ("speech_md", "appearance_md", "events_md", "summary_md")))
+
+
 @query("anonymize", "SELECT doc_id, sha256(replace(replace(replace(text, 'that', '[人物A]'), 'the', '[人物B]'), '人物', '[友A]')) AS body FROM documents")
 def anonymize(spark, sf):
     repls = F.array(*(F.struct(F.lit(a).alias("name"), F.lit(b).alias("label")) for a, b in (("that", "[人物A]"), ("the", "[人物B]"), ("人物", "[友A]"))))
