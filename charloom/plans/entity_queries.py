@@ -223,12 +223,12 @@ def profile_counts(spark, sf):
 @query(
     "rerank_views",
     FOUND
-    + """, r AS (SELECT character_name, chunk_index, char_start FROM e),
-    a AS (SELECT *, (chunk_index * 7 + char_start * 13 + length(character_name) * 31) % 101 AS s1, (chunk_index * 7 + char_start * 13 + 14 * 31) % 101 AS s2 FROM r),
-    b AS (SELECT *, row_number() OVER (PARTITION BY character_name ORDER BY s1 DESC, chunk_index, char_start) <= 2 AS t1 FROM a),
-    c AS (SELECT *, NOT t1 AND row_number() OVER (PARTITION BY character_name, t1 ORDER BY s2 DESC, chunk_index, char_start) <= 4 AS t2 FROM b),
-    d AS (SELECT *, row_number() OVER (PARTITION BY character_name ORDER BY CASE WHEN t1 THEN 0 WHEN t2 THEN 1 ELSE 2 END, CASE WHEN t1 THEN -s1 WHEN t2 THEN -s2 ELSE 0 END, chunk_index, char_start) AS place FROM c)
-    SELECT character_name, chunk_index, char_start, place::INT AS place FROM d WHERE place <= 6""",
+    + """, v0 AS (SELECT character_name, chunk_index, char_start FROM e),
+    v1 AS (SELECT *, (chunk_index * 7 + char_start * 13 + length(character_name) * 31) % 101 AS s1, (chunk_index * 7 + char_start * 13 + 14 * 31) % 101 AS s2 FROM v0),
+    v2 AS (SELECT *, row_number() OVER (PARTITION BY character_name ORDER BY s1 DESC, chunk_index, char_start) <= 2 AS t1 FROM v1),
+    v3 AS (SELECT *, NOT t1 AND row_number() OVER (PARTITION BY character_name, t1 ORDER BY s2 DESC, chunk_index, char_start) <= 4 AS t2 FROM v2),
+    v4 AS (SELECT *, row_number() OVER (PARTITION BY character_name ORDER BY CASE WHEN t1 THEN 0 WHEN t2 THEN 1 ELSE 2 END, CASE WHEN t1 THEN -s1 WHEN t2 THEN -s2 ELSE 0 END, chunk_index, char_start) AS place FROM v3)
+    SELECT character_name, chunk_index, char_start, place::INT AS place FROM v4 WHERE place <= 6""",
 )
 def rerank_views(spark, sf):
     """Six entries a character by three queries; the scores are made up from places, so that SQL has them too."""
