@@ -31,6 +31,8 @@ def parser() -> argparse.ArgumentParser:
     n = sub.add_parser("intake")
     n.add_argument("input")
     n.add_argument("--search", default="")
+    m = sub.add_parser("method")
+    m.add_argument("--output", default="")
     e = sub.add_parser("eval")
     e.add_argument("output")
     c = sub.add_parser("cocreate")
@@ -63,6 +65,8 @@ def main(argv: list[str] | None = None) -> int:
         (engine.search(args.search) if args.search else engine.characters()).show(50, truncate=120)
     elif args.command == "distill":
         print(json.dumps(engine.distill(args.input, args.persona_id, args.output, args.eval)["metadata"], ensure_ascii=False, indent=2, default=str))
+    elif args.command == "method":
+        print(engine.write_method(args.output or None))
     elif args.command == "eval":
         result = artifacts.load_result(args.output)
         print(json.dumps(engine.evaluate(result, artifacts.read_distillates(spark, f"{args.output}/distillates.jsonl")), ensure_ascii=False, indent=2))

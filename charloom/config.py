@@ -42,6 +42,10 @@ class Config:
     intake_chunk_tokens: int = 1200
     intake_chunk_overlap: int = 120
     max_chunks: int = 0
+    #: A rank file that every task can read; sizes of chunks are tokens by it, without one characters.
+    token_ranks: str = ""
+    #: Chunks in one call of the model; 0 calls it for each.
+    extract_batch: int = 0
     salience_threshold: float = 0.35
     dedup_threshold: float = 0.95
     max_input_mb: float = 100.0

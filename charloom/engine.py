@@ -51,7 +51,7 @@ class Engine:
 
     def chunks(self, docs: DataFrame) -> DataFrame:
         c = self.config
-        found = chunking.chunk(docs.select(F.col("relpath").alias("source"), "corpus_uuid", "content_hash", "text"), c.intake_chunk_tokens, c.intake_chunk_overlap)
+        found = chunking.chunk(docs.select(F.col("relpath").alias("source"), "corpus_uuid", "content_hash", "text"), c.intake_chunk_tokens, c.intake_chunk_overlap, count=self._count())
         return chunking.dedup(found, ["corpus_uuid", "source"], self.embed, c.dedup_threshold)
 
     def mentions(self, chunks: DataFrame) -> DataFrame:
@@ -110,8 +110,15 @@ class Engine:
     def interview(self, setting: cocreate.Setting, persona_id: str, rounds: int = 8) -> dict:
         return cocreate.interview(setting, rounds, self.config.workdir, persona_id, self._need())
 
+    def write_method(self, folder: str | None = None) -> Path:
+        """The method as a skill that agents can load."""
+        return artifacts.write_method(folder or Path(self.config.workdir) / "skills")
+
     # whole runs
 
+    def _count(self) -> Callable[[str], int]:
+        return chunking.TokenCount(self.config.token_ranks) if self.config.token_ranks else len
+
     def _need(self) -> ModelClient:
         if self.ask is None:
             raise RuntimeError("this step needs a model")
@@ -142,9 +149,12 @@ class Engine:
         c, began, ask = self.config, time.time(), self._need()
         retried = with_retry(ask)
         docs = self.load(path)
-        chunks = chunking.chunk(docs.select(F.col("relpath").alias("source_file"), "text"), c.chunk_tokens, c.chunk_overlap, c.max_chunks)
-        asked = chunks.withColumn("prompt", distill.extractor_prompt(F.col("source_file"), F.col("total_chunks")))
-        extracted = distill.extract_signals(asked, lambda p: structured(retried(p), dict))
+        chunks = chunking.chunk(docs.select(F.col("relpath").alias("source_file"), "text"), c.chunk_tokens, c.chunk_overlap, c.max_chunks, count=self._count())
+        if c.extract_batch:
+            extracted = distill.extract_batches(chunks, lambda p: structured(retried(p), dict), prompts.EXTRACTOR_BATCH, c.extract_batch)
+        else:
+            asked = chunks.withColumn("prompt", distill.extractor_prompt(F.col("source_file"), F.col("total_chunks")))
+            extracted = distill.extract_signals(asked, lambda p: structured(retried(p), dict))
         at = f"{place(c.workdir)}/extracted-{uuid.uuid4().hex}"
         extracted.write.parquet(at)
         extracted = self.spark.read.parquet(at)

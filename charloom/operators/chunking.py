@@ -46,6 +46,31 @@ def _spans(text: str, pattern: re.Pattern) -> Iterator[tuple[int, int]]:
         yield at, len(text)
 
 
+#: Fixed value: how the usual encodings cut a text into pieces before their merges.
+PIECES = r"""(?i:'s|'t|'re|'ve|'m|'ll|'d)|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+"""
+
+
+class TokenCount:
+    """Counts a text's tokens by a public rank file; loaded once in each process that counts. Special tokens are plain text."""
+
+    def __init__(self, path: str, pattern: str = PIECES):
+        self.path, self.pattern, self._encoding = path, pattern, None
+
+    def __getstate__(self):
+        return {"path": self.path, "pattern": self.pattern, "_encoding": None}
+
+    def __call__(self, text: str) -> int:
+        if self._encoding is None:
+            import base64
+
+            import tiktoken
+
+            with open(self.path, "rb") as f:
+                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f.read().splitlines())}
+            self._encoding = tiktoken.Encoding("ranks", pat_str=self.pattern, mergeable_ranks=ranks, special_tokens={})
+        return len(self._encoding.encode_ordinary(text))
+
+
 def pack(text: str, target: int, overlap: int, max_chunks: int = 0, pattern: re.Pattern = re.compile(SPLIT), count: Callable[[str], int] = len) -> list[dict]:
     """Greedy packing. A chunk is closed before a paragraph that would push it over the target, unless that paragraph alone is
     over it, or after a lone paragraph that reaches it. The next chunk begins with the last paragraphs within the overlap, with

@@ -45,10 +45,7 @@ def extract_signals(chunks: DataFrame, ask: Callable[[str], dict], prompt: str =
             for request in batch.column(at).to_pylist():
                 try:
                     reply = ask(request)
-                    found = [{"category": s["category"], "content": s["content"], "evidence": s.get("evidence", ""), "salience": float(s.get("salience", 0.5))} for s in reply.get("signals", [])]
-                    if any(s["category"] not in CATEGORIES or not 0 <= s["salience"] <= 1 for s in found):
-                        raise ValueError("a category or salience is out of range")
-                    signals.append(found)
+                    signals.append(_signals(reply))
                     summary.append(reply.get("summary", ""))
                     error.append(None)
                 except Exception as e:
@@ -60,6 +57,56 @@ def extract_signals(chunks: DataFrame, ask: Callable[[str], dict], prompt: str =
     return chunks.mapInArrow(run, schema)
 
 
+def _signals(found: dict) -> list[dict]:
+    """A reply's signals in full; one out of range makes the reply a failure."""
+    out = [{"category": s["category"], "content": s["content"], "evidence": s.get("evidence", ""), "salience": float(s.get("salience", 0.5))} for s in found.get("signals") or []]
+    if any(s["category"] not in CATEGORIES or not 0 <= s["salience"] <= 1 for s in out):
+        raise ValueError("a category or salience is out of range")
+    return out
+
+
+def extract_batches(chunks: DataFrame, ask: Callable[[str], dict], request: str, size: int = 8) -> DataFrame:
+    """One call of the model for every `size` chunks of a source in order, as a JSON array; its reply has `items`, one for each
+    chunk by source_file and chunk_index. The same rows as extract_signals(): a chunk that the reply leaves out, gives twice
+    differently or gets wrong is a row with `error`, and so are all chunks of a call that fails; nothing else in a reply counts,
+    positions least of all. chunks: source_file, chunk_index, char_start, char_end, token_count, text and more."""
+    keys = ["source_file", "chunk_index"]
+    place = Window.partitionBy("source_file").orderBy("chunk_index")
+    rows = chunks.select(*keys, F.struct(F.col("source_file").alias("source"), "chunk_index", "char_start", "char_end", "token_count", "text").alias("c")).withColumn("_b", F.floor((F.row_number().over(place) - 1) / size))
+    calls = rows.groupBy("source_file", "_b").agg(F.array_sort(F.collect_list(F.col("chunk_index").cast("int"))).alias("indexes"), F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "c"))), lambda x: x["c"])).alias("body"))
+    schema = StructType.fromDDL(f"source_file string, chunk_index int, signals {SIGNALS}, summary string, error string")
+    fields = to_arrow_schema(schema)
+
+    def answer(source: str, indexes: list[int], body: str) -> list[dict]:
+        try:
+            reply = ask(f"{request}\n\n{body}")
+            items = reply["items"]
+        except Exception as e:
+            return [{"source_file": source, "chunk_index": i, "error": f"{type(e).__name__}: {e}"} for i in indexes]
+        by: dict[int, list] = {}
+        for x in items:
+            if isinstance(x, dict) and x.get("source_file") == source and x not in by.setdefault(x.get("chunk_index"), []):
+                by[x.get("chunk_index")].append(x)
+        out = []
+        for i in indexes:
+            row = {"source_file": source, "chunk_index": i}
+            try:
+                if len(by.get(i, [])) != 1:
+                    raise ValueError("the reply has no item for this chunk, or several")
+                out.append(row | {"signals": _signals(by[i][0]), "summary": by[i][0].get("summary") or ""})
+            except Exception as e:
+                out.append(row | {"error": f"{type(e).__name__}: {e}"})
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in zip(*(batch[c].to_pylist() for c in ("source_file", "indexes", "body"))):
+                yield from pa.Table.from_pylist(answer(*row), schema=fields).to_batches()
+
+    found = calls.select("source_file", "indexes", "body").mapInArrow(run, schema)
+    return chunks.join(found, keys, "left").select(*chunks.columns, "signals", "summary", "error")
+
+
 def failure_rate(failed: Column) -> Column:
     """Share of failures, 0 for no rows."""
     return F.coalesce(F.avg(failed.cast("int")), F.lit(0.0))
