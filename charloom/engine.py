@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
 from collections.abc import Callable
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from charloom.config import Config
+from charloom.functions.shared import save
 from charloom.model import cocreate, prompts
 from charloom.model.client import ModelClient, flatten, structured, with_retry
 from charloom.operators import chunking, distill, dna, evaluate, index, mentions, profile, resolve
@@ -182,14 +184,19 @@ class Engine:
         return result
 
     def _condense(self, good: DataFrame, persona_id: str) -> dict:
-        """One call for up to 30 distillates; else one for every 20, and one for their cards."""
+        """One call for up to 30 distillates; else one for every 20, in the tasks, and one for their cards. Cards of more than 20
+        calls are put together in rounds of 20, so no request holds more than that and no more come to the driver."""
         c, retried = self.config, with_retry(self._need())
-        parts = distill.batches(good, ["all"], ["ord"])
         request = prompts.synthesizer(c.salience_threshold, persona_id)
-        # as many rows as batches
-        bundles = [r.bundle for r in distill.bundle(parts, ["batch_id"]).orderBy("batch_id").collect()]
-        cards = [structured(retried(f"{request}\n\n{b}"), _card) for b in bundles]
-        card = cards[0] if len(cards) == 1 else structured(retried("{}\n\n{}".format(request, "\n\n".join(x["system_prompt"] for x in cards))), _card)
+        ask = lambda p: json.dumps(structured(retried(p), _card), ensure_ascii=False)
+        bundles = distill.bundle(distill.batches_of_all(good, ["ord"]), ["batch_id"])
+        cards = save(distill.ask_each(bundles.select("batch_id", F.concat(F.lit(f"{request}\n\n"), "bundle").alias("request")), ask), "cards")
+        while cards.count() > distill.BATCH_SIZE:
+            texts = cards.select(F.expr(f"batch_id div {distill.BATCH_SIZE}").alias("b"), "batch_id", F.get_json_object("reply", "$.system_prompt").alias("text"))
+            joined = texts.groupBy(F.col("b").alias("batch_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("batch_id", "text"))), lambda x: x["text"]), "\n\n").alias("t"))
+            cards = save(distill.ask_each(joined.select("batch_id", F.concat(F.lit(f"{request}\n\n"), "t").alias("request")), ask), "cards")
+        found = [json.loads(r.reply) for r in cards.orderBy("batch_id").collect()]
+        card = found[0] if len(found) == 1 else structured(retried("{}\n\n{}".format(request, "\n\n".join(x["system_prompt"] for x in found))), _card)
         return card | {"error_reply": card["error_reply"] or distill.ERROR_REPLY, "persona_id": persona_id}
 
     def _card_frame(self, card: dict) -> DataFrame:

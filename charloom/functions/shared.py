@@ -20,7 +20,28 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{found.rstrip('/')}/charloom-{spark.sparkContext.applicationId}"
 
 
+_kept: set[str] = set()
+
+
+def _until_exit(spark: SparkSession) -> None:
+    """Has what this application leaves in the shared folder deleted when its driver ends."""
+    folder = shared_dir(spark)
+    if folder not in _kept:
+        at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+        _kept.add(folder)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all that this application has written to the shared folder; for between steps whose results are written elsewhere."""
+    delete(spark, shared_dir(spark))
+
+
 def save(df: DataFrame, label: str) -> DataFrame:
+    """Writes df to the shared folder and reads it back."""
+    _until_exit(df.sparkSession)
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)

@@ -13,6 +13,7 @@ from pyspark.sql.types import StructType
 from charloom.functions import text as T
 
 from .patterns import occurring
+from .tiles import numbered
 
 #: Fixed values.
 CATEGORIES = ("speech_style", "catchphrase", "values", "knowledge", "emotion", "relationships", "signature_event", "background", "taboo", "mannerism")
@@ -136,6 +137,23 @@ def batches(distillates: DataFrame, keys: list[str], order: list[str], over: int
     return distillates.withColumn("batch_id", F.when(n > over, F.floor((F.row_number().over(place) - 1) / size)).otherwise(F.lit(0)).cast("long"))
 
 
+def batches_of_all(distillates: DataFrame, order: list[str], over: int = BATCH_OVER, size: int = BATCH_SIZE) -> DataFrame:
+    """As batches(), for all rows as one list; no task sorts them all."""
+    placed, n = numbered(distillates, *order, name="_n")
+    return placed.withColumn("batch_id", F.expr(f"_n div {size}") if n > over else F.lit(0).cast("long")).drop("_n")
+
+
+def ask_each(requests: DataFrame, ask: Callable[[str], str]) -> DataFrame:
+    """(batch_id, reply): the model's reply to each `request`, asked in the tasks. Write the result before it is used twice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, request in zip(batch["batch_id"].to_pylist(), batch["request"].to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([ask(request)], pa.string())], names=["batch_id", "reply"])
+
+    return requests.select(F.col("batch_id").cast("long").alias("batch_id"), "request").mapInArrow(run, "batch_id long, reply string")
+
+
 def bundle(distillates: DataFrame, keys: list[str]) -> DataFrame:
     """The text a model condenses, per keys: sources in order of `ord`, their chunks by index, a line per signal."""
     line = lambda s: F.concat(F.lit("    * ["), s["category"], F.lit("] salience="), F.format_number(s["salience"], 2), F.lit("  "), s["content"], F.lit("  «"), s["evidence"], F.lit("»"))

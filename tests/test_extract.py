@@ -61,3 +61,26 @@ def test_engine_settings(spark, tmp_path):
     docs = plain.load(str(tmp_path / "t.txt"))
     assert tokens.chunks(docs).agg({"token_count": "max"}).first()[0] < plain.chunks(docs).agg({"token_count": "max"}).first()[0]
     assert os.path.isfile(plain.write_method() / "distillation-method" / "SKILL.md")
+
+
+def test_condense_in_rounds(spark, tmp_path):
+    """900 distillates: 45 calls in the tasks, 3 for their cards, one for those; every one of 20 parts at most, in order."""
+    log = tmp_path / "log"
+    log.mkdir()
+
+    def ask(prompt):
+        import uuid
+
+        body = prompt.partition("\n\n")[2]
+        seen = [x for x in body.replace("\n", " ").split() if x.startswith("say")] or body.split("\n\n")
+        (log / uuid.uuid4().hex).write_text(f"{len(seen)}")
+        return json.dumps({"persona_id": "x", "system_prompt": f"<{seen[0].strip('<>').split('..')[0]}..{seen[-1].strip('<>').split('..')[-1]}>"})
+
+    rows = [(1, "f.txt", i, 0, 1, "", [("values", f"say{i:04d}", "e", 0.5)]) for i in range(900)]
+    good = spark.createDataFrame(rows, f"schema_version int, source_file string, chunk_index int, char_start int, char_end int, summary string, signals {distill.SIGNALS}").repartition(4)
+    good = good.selectExpr("*", "struct(source_file, chunk_index) as ord")
+    card = Engine(spark, Config(workdir=str(tmp_path / "w")), ask)._condense(good, "me")
+    assert card["persona_id"] == "me" and card["system_prompt"] == "<say0000..say0899>"
+    assert sorted(int(f.read_text()) for f in log.iterdir()) == sorted([20] * 45 + [20, 20, 5] + [3])
+    few = Engine(spark, Config(workdir=str(tmp_path / "w")), ask)._condense(good.where("chunk_index < 30"), "me")
+    assert few["system_prompt"] == "<say0000..say0029>"
