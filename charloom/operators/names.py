@@ -152,6 +152,10 @@ def alike_by_winkler(names: DataFrame, least: float = 0.85) -> DataFrame:
     return found.select(pick("a", "b").alias("a"), pick("b", "a").alias("b"), F.least("oa", "ob").alias("oa"), F.greatest("oa", "ob").alias("ob"))
 
 
-def alike(names: DataFrame, jw_min: float = 0.85) -> DataFrame:
-    """(a, b, oa, ob), oa < ob: names that are within two edits or alike by Jaro-Winkler. names: name, each once, and ord."""
-    return within_two_edits(names).unionByName(alike_by_winkler(names, jw_min)).distinct()
+def alike(names: DataFrame, jw_min: float = 0.85, lev_max: int = 2) -> DataFrame:
+    """(a, b, oa, ob), oa < ob: names that are within lev_max edits, two at most, or alike by Jaro-Winkler. names: name, each once,
+    and ord."""
+    if not 0 <= lev_max <= 2:
+        raise ValueError("names meet by what two deletions leave, so edit distances go up to two")
+    near = within_two_edits(names).where(F.levenshtein("a", "b") <= lev_max)
+    return near.unionByName(alike_by_winkler(names, jw_min)).distinct()

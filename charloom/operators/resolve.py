@@ -43,10 +43,8 @@ def place(mentions: str = "mention_count", name: str = "character_name") -> Colu
 
 
 def string_pairs(names: DataFrame, lev_max: int = 2, jw_min: float = 0.85) -> DataFrame:
-    """(a, b, oa, ob) of names in list order (ord) that are alike as strings."""
-    if lev_max != 2:
-        raise ValueError("names are blocked for edit distances of up to two")
-    return alike(names, jw_min)
+    """(a, b, oa, ob) of names in list order (ord) that are alike as strings; lev_max is two at most."""
+    return alike(names, jw_min, lev_max)
 
 
 def vector_pairs(vectors: DataFrame, cos_min: float = 0.8) -> DataFrame:

@@ -67,6 +67,10 @@ def test_alike_names(spark, monkeypatch):
     close = [(r.a, r.b) for r in names.alike_by_winkler(df).collect()]
     assert len(close) == len(set(close)) and set(close) == {(a, b) for a, b in pairs if winkler(a, b) >= 0.85}
     assert names.alike(df).count() == len(set(near) | set(close))
+    one = {p for p in set(near) if edits(*p) <= 1}
+    assert {(r.a, r.b) for r in names.alike(df, lev_max=1).collect()} == one | set(close)
+    with pytest.raises(ValueError):
+        names.alike(df, lev_max=3)
 
 
 def test_three_thousand_names(spark, sf):
@@ -153,7 +157,7 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "a string, b string")).count() == 0
 
 
-def plain_resolve(listed, vectors, auto_merge=True):
+def plain_resolve(listed, vectors, auto_merge=True, alike=alike):
     """All pairs in list order, one by one. listed: name -> (mentions, aliases)."""
     order = sorted(listed, key=lambda n: (-listed[n][0], n))
     counts, aliases = {n: c for n, (c, _) in listed.items()}, {n: set(a) - {n} for n, (_, a) in listed.items()}
@@ -200,3 +204,15 @@ def test_resolve_equals_plain(spark, seed, with_vectors, auto):
         while t in ends:
             t = ends[t]
         assert {r.source: r.target for r in resolve.merge_map(spark, found).collect()}[s] == t
+
+
+def test_registered_merges(spark, sf):
+    """The registered queries over all names of the given tables, their aliases being other names, against all pairs in order."""
+    from charloom.plans import entity_queries
+
+    names_ = resolve.listed(entity_queries.short_aliases(spark, sf))
+    listed = {r.name: (r.mention_count, set(r.aliases)) for r in names_.collect()}
+    pairs = {(r.a, r.b) for r in resolve.string_pairs(names_).select("a", "b").collect()}
+    merged, pending = plain_resolve(listed, {}, alike=lambda a, b: (a, b) in pairs)
+    assert merged and {(r.source, r.target) for r in entity_queries.resolve_merges(spark, sf).collect()} == set(merged)
+    assert sorted(map(tuple, entity_queries.resolve_waiting(spark, sf).collect())) == sorted(pending)
