@@ -56,7 +56,9 @@ def within_two_edits(names: DataFrame) -> DataFrame:
     """(a, b, oa, ob), oa < ob: names, each once, with an edit distance of up to two. names: name, ord."""
     key = F.xxhash64(F.col("key"))
     some = names.where("name != ''").select("name", "ord")
-    short = some.where(F.length("name") <= SHORT + 2).select("name", "ord", F.explode(deletions(F.col("name"))).alias("key")).select("name", "ord", key.alias("key"))
+    # few bytes lead to many pairs, so the number of tasks isn't left to the bytes
+    tasks = 4 * names.sparkSession.sparkContext.defaultParallelism
+    short = some.where(F.length("name") <= SHORT + 2).select("name", "ord", F.explode(deletions(F.col("name"))).alias("key")).select("name", "ord", key.alias("key")).repartition(tasks, "key")
     met = short.select(F.col("name").alias("a"), F.col("ord").alias("oa"), "key").join(short.select(F.col("name").alias("b"), F.col("ord").alias("ob"), "key"), "key").where("oa < ob")
     long_ = some.where(F.length("name") > SHORT)
     own = long_.select(F.col("name").alias("s"), F.col("ord").alias("os"), F.explode(_segments(F.col("name"), True)).alias("key")).select("s", "os", key.alias("key"))

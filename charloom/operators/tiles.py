@@ -14,6 +14,8 @@ from charloom.functions.shared import save
 
 #: Children of a node of the tree of intervals, as a shift.
 FAN = 4
+#: Tasks that the pairs of stretches are dealt to.
+MOST_TASKS = 5000
 
 
 def numbered(df: DataFrame, *order: str | Column, name: str = "number") -> tuple[DataFrame, int]:
@@ -57,7 +59,9 @@ def compare_stretches(rows: DataFrame, order: list[str], size: int, compare: Cal
     sides = sides or []
     boxes = ordered.groupBy("stretch").agg(F.count(F.lit(1)), *(f(s).alias(f"{e}_{s}") for s in sides for e, f in (("lo", F.min), ("hi", F.max))))
     boxes = save(boxes.select("stretch", *(f"{e}_{s}" for s in sides for e in ("lo", "hi"))), "boxes")
-    pairs = near_stretches(boxes, -(-count // size), sides, reach)
+    pairs = save(near_stretches(boxes, -(-count // size), sides, reach), "stretches")
+    # a pair of stretches is much work for few bytes, so Spark isn't left to put many into one task
+    tasks = min(max(1, pairs.count()), MOST_TASKS)
     ends = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("stretch"))
 
     def work(group: pa.Table) -> pa.Table:
@@ -66,4 +70,4 @@ def compare_stretches(rows: DataFrame, order: list[str], size: int, compare: Cal
         a = group.filter(mine)
         return compare(a, None) if a.num_rows == group.num_rows else compare(a, group.filter(pc.invert(mine)))
 
-    return ordered.join(ends, "stretch").groupBy("a", "b").applyInArrow(work, schema)
+    return ordered.join(ends, "stretch").repartition(tasks, "a", "b").groupBy("a", "b").applyInArrow(work, schema)

@@ -133,7 +133,7 @@ ALIKE = f"{NAMED}, p AS MATERIALIZED (SELECT x.name AS a, y.name AS b, x.c AS ca
 
 
 def all_names(spark, sf) -> DataFrame:
-    return resolve.listed(entries(spark, sf))
+    return save(resolve.listed(entries(spark, sf)), "names")
 
 
 @query("name_pairs", f"{ALIKE} SELECT a, b FROM p")
@@ -149,7 +149,7 @@ def jaro_winkler(spark, sf):
 
 @query("resolve_decisions", f"{ALIKE} SELECT a, b, CASE WHEN ca <> cb THEN CASE WHEN ca > cb THEN a ELSE b END WHEN length(a) >= length(b) THEN a ELSE b END AS target, 'pending' AS action FROM p")
 def resolve_decisions(spark, sf):
-    found = save(all_names(spark, sf), "names")
+    found = all_names(spark, sf)
     listed = found.select(F.col("name").alias("character_name"), "mention_count")
     return resolve.decide(resolve.signals(None, names=found), listed).select("a", "b", "target", "action")
 
