@@ -216,3 +216,20 @@ def test_registered_merges(spark, sf):
     merged, pending = plain_resolve(listed, {}, alike=lambda a, b: (a, b) in pairs)
     assert merged and {(r.source, r.target) for r in entity_queries.resolve_merges(spark, sf).collect()} == set(merged)
     assert sorted(map(tuple, entity_queries.resolve_waiting(spark, sf).collect())) == sorted(pending)
+
+
+def test_pairs_of_long_names_and_odd_signs(spark):
+    """Names longer than a word has bits, and with a character of number 0, are compared as the others are."""
+    rnd = random.Random(5)
+    every = {"".join(rnd.choices("ab\x00", k=rnd.choice((2, 3, 31, 32, 33, 63, 64, 65, 66, 90)))) for _ in range(60)}
+    every |= {x[:-1] + "b" for x in every} | {x[1:] for x in every} | {"c" + x[2:] for x in every}
+    every = sorted(x for x in every if x)
+    pairs = {(a, b) for i, a in enumerate(every) for b in every[i + 1 :]}
+    (a,) = names._blocks(every)
+    got = set()
+    for x in a:
+        for y in a[a.index(x) :]:
+            i, j = names._open(x, y, 0.85, 2)
+            good = names._alike_by_bits(x, y, i, j, 0.85, 2)
+            got |= {(every[p + x.at], every[q + y.at]) for p, q in zip(i[good], j[good])}
+    assert got == {p for p in pairs if alike(*p)}
