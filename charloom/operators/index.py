@@ -23,12 +23,19 @@ def of_character(entries: DataFrame, name: str, category: str | None = None) ->
     return (own.where(F.col("category") == category) if category else own).orderBy("chunk_index", "char_start")
 
 
+def counted(entries: DataFrame) -> DataFrame:
+    """characters() in no order. Rows of one name, category and aliases are counted first, in a plain hash aggregation, so that
+    few rows are left for the sets."""
+    rows = entries.groupBy("character_name", "category", "aliases").agg(F.count(F.lit(1)).alias("n"))
+    by = rows.groupBy("character_name", "category").agg(F.sum("n").alias("n"), F.array_distinct(F.flatten(F.collect_set("aliases"))).alias("a"))
+    out = by.groupBy("character_name").agg(F.sum("n").alias("mention_count"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "n")))).alias("by_category"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("a")))).alias("aliases"))
+    return out.withColumn("aliases", F.array_remove(F.array_remove("aliases", F.col("character_name")), F.lit("")))
+
+
 def characters(entries: DataFrame) -> DataFrame:
     """Per character: mentions, mentions by category, and distinct aliases other than the name; most mentioned first, then by
-    name. Counted by category first, so a name's rows shuffle as a few partial rows."""
-    by = entries.groupBy("character_name", "category").agg(F.count(F.lit(1)).alias("n"), F.array_distinct(F.flatten(F.collect_set("aliases"))).alias("a"))
-    out = by.groupBy("character_name").agg(F.sum("n").alias("mention_count"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "n")))).alias("by_category"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("a")))).alias("aliases"))
-    return out.withColumn("aliases", F.array_remove(F.array_remove("aliases", F.col("character_name")), F.lit(""))).orderBy(F.desc("mention_count"), "character_name")
+    name."""
+    return counted(entries).orderBy(F.desc("mention_count"), "character_name")
 
 
 def merge(entries: DataFrame, pairs: DataFrame) -> DataFrame:

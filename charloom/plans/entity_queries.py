@@ -149,9 +149,7 @@ def jaro_winkler(spark, sf):
 
 @query("resolve_decisions", f"{ALIKE} SELECT a, b, CASE WHEN ca <> cb THEN CASE WHEN ca > cb THEN a ELSE b END WHEN length(a) >= length(b) THEN a ELSE b END AS target, 'pending' AS action FROM p")
 def resolve_decisions(spark, sf):
-    found = all_names(spark, sf)
-    listed = found.select(F.col("name").alias("character_name"), "mention_count")
-    return resolve.decide(resolve.signals(None, names=found), listed).select("a", "b", "target", "action")
+    return resolve.decide(resolve.signals(None, names=all_names(spark, sf))).select("a", "b", "target", "action")
 
 
 def short_aliases(spark, sf) -> DataFrame:

@@ -233,3 +233,14 @@ def test_pairs_of_long_names_and_odd_signs(spark):
             good = names._alike_by_bits(x, y, i, j, 0.85, 2)
             got |= {(every[p + x.at], every[q + y.at]) for p, q in zip(i[good], j[good])}
     assert got == {p for p in pairs if alike(*p)}
+
+
+def test_many_pairs_are_not_shuffled(spark):
+    """Pairs are made once where two names meet: no step after that sorts, groups or shuffles them."""
+    df = spark.createDataFrame([("Anna", -2, ["Ann"], 2), ("Ann", -1, [], 1), ("Bob", -1, [], 1)], "name string, n long, aliases array<string>, mention_count long")
+    df = df.withColumn("ord", F.struct("n", "name")).drop("n")
+    assert "Aggregate" not in names.alike(df)._jdf.queryExecution().optimizedPlan().toString()
+    found = resolve.decide(resolve.signals(None, names=df))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "FullOuter" not in plan and "Inner" not in plan.split("FlatMapGroupsInArrow")[0] and "rightHint=(strategy=broadcast)" in plan
+    assert [(r.a, r.b, r.target, r.action, r.hit_count) for r in found.collect()] == [("Anna", "Ann", "Anna", "merge", 2)]
