@@ -1,11 +1,12 @@
-"""The character index on disk: entries in buckets by character, their trigrams, and their vectors in cells.
+"""The character index on disk: entries in buckets by character, with signatures of their trigrams, and their vectors in cells.
 
 A version is a manifest that names a folder for each bucket and cell. A write makes new folders for the buckets it touches, then the
 next manifest; so bytes written follow the change, a reader has one version throughout, and a write that dies leaves no trace
 in any version. Two writers of one version can't both win. Folders that neither of the last two versions names are deleted.
 
-Text search meets the trigrams of what it looks for, reads the entries of the buckets where all of them occur in one entry, and
-decides by the text itself. Vector search goes to the cells whose centres are nearest, or, as an exact search, to all of them.
+A signature has a bit for each trigram of an entry's text and name, 256 bits in all, and is written with the entry; so it costs a
+write what the entry costs, not a row for each trigram. Text search reads the signatures, then the entries of the buckets where
+one has all bits of what it looks for, and decides by the text itself. Vector search goes to the cells whose centres are nearest, or, as an exact search, to all of them.
 Centres are fitted on at most SAMPLE vectors, by hash; every vector has a cell.
 """
 
@@ -18,8 +19,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StructField, StructType
 
 from charloom.functions.shared import delete, drop, save
 from charloom.functions.similarity import cosine
@@ -27,8 +31,9 @@ from charloom.functions.similarity import cosine
 from .mentions import ENTRY
 
 SAMPLE, CENTRES, STEPS = 10_000, 64, 8
-#: Files of a bucket's trigrams, each sorted, so that a search reads a few row groups of each.
-GRAM_FILES = 4
+#: Columns of a signature, of 64 bits each, and entries that are signed at a time.
+SIGNS = tuple(f"_s{k}" for k in range(4))
+SIGNED = 500
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -36,18 +41,57 @@ class ConcurrentWrite(RuntimeError):
     """Another writer has made this version meanwhile; the write can be tried again."""
 
 
-def small(c: str | Column) -> Column:
-    return F.translate(F.col(c) if isinstance(c, str) else c, UPPER, LOWER)
-
-
 def literals(query: str) -> list[str]:
     """The parts of a LIKE pattern between its wildcards that have trigrams, with ASCII letters in lower case."""
     return [p for p in re.split("[%_]", query.translate(str.maketrans(UPPER, LOWER))) if len(p) >= 3]
 
 
-def trigrams(c: str) -> Column:
-    n = F.length(c)
-    return F.when(n >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.substring(small(c), i, F.lit(3)))))
+SMALL = np.arange(256, dtype=np.uint32)
+SMALL[ord("A") : ord("Z") + 1] += 32
+
+
+def _bits(data: np.ndarray) -> np.ndarray:
+    """The bit of the trigram that starts at each byte but the last two, ASCII letters in lower case."""
+    x = SMALL[data]
+    return (((x[:-2] * np.uint32(65599) + x[1:-1]) * np.uint32(65599) + x[2:]) * np.uint32(2654435761) >> np.uint32(24)).astype(np.int64)
+
+
+def signatures(texts: list[pa.Array]) -> np.ndarray:
+    """A row of signed 64-bit numbers for each row of the columns: the bits of all trigrams, of UTF-8 bytes, in any of them."""
+    flags = np.zeros((len(texts[0]), 64 * len(SIGNS)), bool)
+    for column in texts:
+        column = pc.cast(pc.fill_null(column, ""), pa.large_string())
+        ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+        data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+        if len(data) >= 3:
+            row = np.repeat(np.arange(len(column)), np.diff(ends))
+            whole = row[:-2] == row[2:]
+            flags[row[:-2][whole], _bits(data)[whole]] = True
+    return np.packbits(flags, axis=1, bitorder="little").view("<i8")
+
+
+def signed(rows: DataFrame) -> DataFrame:
+    """Adds the signatures of text and name."""
+    schema = StructType([*rows.schema.fields, *(StructField(c, LongType()) for c in SIGNS)])
+    fields = to_arrow_schema(schema)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, SIGNED):
+                part = batch.slice(at, SIGNED)
+                found = signatures([part["text"], part["character_name"]])
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(np.ascontiguousarray(found[:, k])) for k in range(len(SIGNS)))], schema=fields)
+
+    return rows.mapInArrow(run, schema)
+
+
+def may_hold(parts: list[str]) -> Column:
+    """Whether a signature has all bits of the parts; entries without one may hold anything."""
+    wanted = np.bitwise_or.reduce(signatures([pa.array(parts)]), axis=0)
+    out = F.lit(True)
+    for c, bits in zip(SIGNS, wanted.tolist()):
+        out = out & F.coalesce(F.col(c).bitwiseAND(F.lit(bits).cast("long")) == F.lit(bits).cast("long"), F.lit(True))
+    return out
 
 
 def fit_centres(vectors: DataFrame, column: str = "vector", most: int = CENTRES) -> list[list[float]]:
@@ -109,7 +153,7 @@ class IndexStore:
         """The newest version: for each kind of table, a folder for each bucket or cell that has rows."""
         found = [n for n in self._names("versions") if n.endswith(".json")]
         if not found:
-            return {"version": 0, "buckets": self.buckets, "entries": {}, "grams": {}, "vectors": {}, "centres": []}
+            return {"version": 0, "buckets": self.buckets, "entries": {}, "vectors": {}, "centres": []}
         stream = self._fs().open(self._path("versions", found[-1]))
         try:
             return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
@@ -128,7 +172,8 @@ class IndexStore:
         for old in self._names("versions")[:-2]:
             fs.delete(self._path("versions", old), False)
         for kind in ("entries", "grams", "vectors"):
-            kept = {*manifest[kind].values(), *before[kind].values()}
+            # grams: what an index of an older form has
+            kept = {*manifest.get(kind, {}).values(), *before.get(kind, {}).values()}
             for name in set(self._names(kind)) - kept:
                 # what a write under way has made isn't named yet, but is younger than the version it began with
                 if name.split("-")[0] <= f"{before['version']:010d}":
@@ -169,7 +214,7 @@ class IndexStore:
         for field in self.spark.createDataFrame([], ENTRY).schema:
             if field.name not in found.columns:
                 found = found.withColumn(field.name, F.lit(None).cast(field.dataType))
-        return found.drop("bucket")
+        return found.drop("bucket", *SIGNS)
 
     def entries(self, name: str | None = None) -> DataFrame:
         """All entries of the newest version; of one character, from its bucket alone."""
@@ -188,21 +233,21 @@ class IndexStore:
 
     def _replace(self, now: dict, rows: DataFrame, touched: set[int], gone: DataFrame, new: DataFrame | None) -> None:
         """The next version: `rows` are all entries of the touched buckets; the vectors of `gone` uuids go, those of `new` come."""
-        placed = save(rows.withColumn("bucket", self._bucket("character_name", now["buckets"])), "bucketed")
-        after = dict(now, version=now["version"] + 1)
+        placed = signed(rows).withColumn("bucket", self._bucket("character_name", now["buckets"]))
+        after = {k: v for k, v in now.items() if k != "grams"} | {"version": now["version"] + 1}
         after["entries"] = self._write("entries", placed.hint("rebalance", "bucket"), now, touched)
-        grams = placed.select("bucket", "uuid", F.explode(F.array_union(F.coalesce(trigrams("text"), F.array().cast("array<string>")), F.coalesce(trigrams("character_name"), F.array().cast("array<string>")))).alias("gram"))
-        grams = grams.repartition("bucket", F.pmod(F.xxhash64("gram"), F.lit(GRAM_FILES))).sortWithinPartitions("bucket", "gram")
-        after["grams"] = self._write("grams", grams, now, touched)
         if self.embed:
             after = self._with_vectors(now, after, gone, new)
         self._commit(after, now)
-        drop(placed)
 
     def add(self, new: DataFrame) -> None:
         """Adds entries; one whose uuid is there takes its place. Of new ones with one uuid one stays."""
         now = self.manifest()
-        new = save(new.dropDuplicates(["uuid"]), "new")
+        new = save(new, "new")
+        if not new.groupBy("uuid").count().where("count > 1").isEmpty():
+            once = save(new.dropDuplicates(["uuid"]), "new")
+            drop(new)
+            new = once
         own = {r[0] for r in new.select(self._bucket("character_name", now["buckets"])).distinct().collect()}
         touched = own | self._touched(now, new, ["uuid"])
         if touched:
@@ -262,17 +307,12 @@ class IndexStore:
         from .index import search_text
 
         now = self.manifest()
-        parts = [p[i : i + 3] for p in literals(query) for i in range(len(p) - 2)]
-        grams = self._read("grams", now) if parts else None
-        if grams is None:
-            return search_text(self._whole(self._read("entries", now)), query, name, k)
-        wanted = sorted(set(parts))
-        # uuids of entries that have all trigrams, in their text and name together
-        held = grams.where(F.col("gram").isin(wanted)).groupBy("bucket", "uuid").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(wanted))
-        held = save(held.select("bucket", "uuid"), "held")
-        buckets = [r.bucket for r in held.select("bucket").distinct().collect()]
-        found = self._whole(self._read("entries", now, buckets)) if buckets else self._whole(None)
-        return search_text(found.join(held.select("uuid"), "uuid", "left_semi"), query, name, k)
+        parts, every = literals(query), self._read("entries", now)
+        if not parts or every is None or SIGNS[0] not in every.columns:
+            return search_text(self._whole(every), query, name, k)
+        buckets = [r.bucket for r in every.where(may_hold(parts)).select("bucket").distinct().collect()]
+        found = self._read("entries", now, buckets).where(may_hold(parts)) if buckets else None
+        return search_text(self._whole(found), query, name, k)
 
     def _with_vectors(self, now: dict, after: dict, gone: DataFrame, new: DataFrame | None) -> dict:
         add = None

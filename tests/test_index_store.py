@@ -134,3 +134,19 @@ def test_vectors(spark, tmp_path):
     assert s.recover_vectors() == 600
     s.delete_chunk(s.entries().select("corpus_uuid", "source", "chunk_index").distinct())
     assert s.count() == 0 and s.search_vector(vector_of("t37")).count() == 0
+
+
+def test_signatures_cost_no_rows(spark, store, tmp_path):
+    """All tables of an index together have as many rows as there are entries, and signatures leave no entry out."""
+    import pyarrow.parquet as pq
+
+    assert sum(pq.ParquetFile(p).metadata.num_rows for p in (tmp_path / "i").rglob("*.parquet")) == 400
+    plain = frame(spark, rows_of(400))
+    for query in ("BRIDGE", "über", "荒川", "ston%idge", "new_ riv", "100%", "Dora", "zzz", "N1"):
+        assert as_set(store.search_text(query, k=1000)) == as_set(index.search_text(plain, query, k=1000)), query
+    texts = ["", "ab", "ABC", "xüberx", None, "荒川"]
+    bits = index_store.signatures([index_store.pa.array(["pad", *texts]).slice(1), index_store.pa.array([None] * 6, "string")])
+    for part in ("abc", "über", "荒川"):
+        want = index_store.signatures([index_store.pa.array([part])])[0]
+        held = [(b & want == want).all() for b in bits]
+        assert all(h for h, t in zip(held, texts) if part in (t or "").lower()) and not any(held[:2]) and not held[4]
