@@ -19,9 +19,14 @@ INJECTION_EXACT = (r"(只|仅)\s*输出\s*[:：]?\s*[\{\[]",)
 CJK = r"\x{4e00}-\x{9fa5}"
 
 
+#: What (?U)\s matches.
+SPACE = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACES = r"[\t-\r \x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
 def strip(c: Column) -> Column:
     """Without Unicode white space on both sides."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
+    return F.btrim(c, F.lit(SPACE))
 
 
 def blank(c: Column) -> Column:
@@ -45,24 +50,31 @@ def evidence_valid(evidence: Column, text: Column) -> Column:
     return F.coalesce((evidence != "") & F.contains(text, strip(evidence)), F.lit(False))
 
 
+def _more_than_64(c: Column, kept: str) -> Column:
+    """Whether a text has more than 64 of the kept characters; a long one is read no further than that."""
+    return c.rlike(f"^(?:[^{kept}]*+[{kept}]){{65}}")
+
+
 def slugify(name: Column, fallback: str = "persona") -> Column:
-    n = F.lower(strip(name))
-    n = F.regexp_replace(n, r"(?U)[\s_]+", "-")
+    small = F.lower(strip(name))
+    n = F.regexp_replace(small, f"(?:{SPACES}|_)+", "-")
     n = F.regexp_replace(n, f"[^{CJK}a-z0-9-]+", "-")
     n = F.regexp_replace(F.regexp_replace(n, "-+", "-"), "^-|-$", "")
-    return F.when(n.rlike(f"^[a-z0-9{CJK}][a-z0-9{CJK}-]{{0,63}}$"), n).otherwise(F.lit(fallback))
+    # what is kept only gets longer by dashes, so most long texts need no slug to be made
+    return F.when(_more_than_64(small, f"{CJK}a-z0-9"), F.lit(fallback)).when(n.rlike(f"^[a-z0-9{CJK}][a-z0-9{CJK}-]{{0,63}}$"), n).otherwise(F.lit(fallback))
 
 
 def slugify_persona_id(name: Column) -> Column:
-    n = F.regexp_replace(F.lower(strip(name)), r"(?U)\s+", "_")
+    n = F.regexp_replace(F.lower(strip(name)), f"{SPACES}+", "_")
     return F.regexp_replace(F.regexp_replace(n, f"[^{CJK}a-z0-9_]+", ""), "^_+|_+$", "")
 
 
 def sanitize_skill_name(name: Column, fallback: Column | str = "skill") -> Column:
-    n = F.regexp_replace(F.lower(strip(name)), "[^a-z0-9-]+", "-")
+    small = F.lower(strip(name))
+    n = F.regexp_replace(small, "[^a-z0-9-]+", "-")
     n = F.regexp_replace(F.regexp_replace(n, "-+", "-"), "^-|-$", "")
     fallback = F.lit(fallback) if isinstance(fallback, str) else fallback
-    return F.when(n.rlike("^[a-z0-9][a-z0-9-]{0,63}$"), n).otherwise(fallback)
+    return F.when(_more_than_64(small, "a-z0-9"), fallback).when(n.rlike("^[a-z0-9][a-z0-9-]{0,63}$"), n).otherwise(fallback)
 
 
 def list_split(text: Column) -> Column:

@@ -215,3 +215,27 @@ def test_dna(spark):
 @pytest.mark.parametrize("line, name", [("[心智模型]", "心智模型"), ("【身份】", "身份"), ("[身份] 店主", None), ("Mental Models:", "mental models"), ("## Anti-Patterns", "anti-patterns"), ("Mental Models", None), ("（雷区）", "雷区"), ("表达DNA：", "表达dna"), ("### 口头禅", "口头禅"), ("口头禅：", None)])
 def test_headings(spark, line, name):
     assert column(spark, [line], dna.heading) == [name]
+
+
+def test_slugs_of_long_texts(spark):
+    """The slugs against the plain rule, and no slug is made of a text that keeps more than 64 characters."""
+    import re
+
+    spaces = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and re.match(r"[\t-\r \x85\xa0  -     　]", chr(c))]
+    texts = ["".join(spaces) + "A b" + "".join(spaces), "​x​", "_a__b c_", "a" * 64, "a" * 65, "-" * 80 + "a!" * 64, "a!" * 65, "é" * 500 + "b", "荒川 " * 30, "荒川" * 40, "a-" * 33, " ", "", "!" * 99, "a\n" * 70, "\x1ca\x1f"]
+
+    def plain(t, cjk="一-龥"):
+        s = t.strip("".join(spaces)).lower()
+        n = re.sub("-+", "-", re.sub(f"[^{cjk}a-z0-9-]+", "-", re.sub(f"[{re.escape(''.join(spaces))}_]+", "-", s)))
+        n = re.sub("^-|-$", "", n)
+        k = re.sub("^-|-$", "", re.sub("-+", "-", re.sub("[^a-z0-9-]+", "-", s)))
+        p = re.sub("^_+|_+$", "", re.sub(f"[^{cjk}a-z0-9_]+", "", re.sub(f"[{re.escape(''.join(spaces))}]+", "_", s)))
+        return n if re.fullmatch(f"[a-z0-9{cjk}][a-z0-9{cjk}-]{{0,63}}", n) else "persona", p, k if re.fullmatch("[a-z0-9][a-z0-9-]{0,63}", k) else "skill"
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    c = F.col("t")
+    got = df.select("i", T.slugify(c).alias("a"), T.slugify_persona_id(c).alias("b"), T.sanitize_skill_name(c).alias("c")).orderBy("i").collect()
+    assert [(r.a, r.b, r.c) for r in got] == [plain(t) for t in texts]
+    assert {ord(s) for s in spaces} == {ord(s) for s in T.SPACE}
+    old = df.select(F.regexp_replace(c, r"(?U)^\s+|\s+\z", "").alias("x"), T.strip(c).alias("y")).collect()
+    assert all(r.x == r.y for r in old)
