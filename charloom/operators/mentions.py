@@ -21,6 +21,8 @@ CATEGORIES = ("speech", "appearance", "event")
 NAME_PATTERN = r"[\x{4e00}-\x{9fa5}]{2,4}"
 STOP_NAMES = ("我们", "他们", "她们", "这个", "那个")
 BEFORE, AFTER = 20, 40
+#: Texts of a batch whose names are looked for at a time.
+TEXTS = 100
 MENTION = "name string, aliases array<string>, category string, evidence string, char_start int, char_end int, co_mentioned array<string>, relation_to string"
 
 
@@ -33,13 +35,16 @@ FOUND = "array<struct<name:string,s:int,e:int,evidence:string>>"
 
 def _locate(pattern: str, stop: tuple[str, ...]):
     """A column function: the matches of a text in one pass from its start, besides the stop words."""
+    return F.arrow_udf(_located(pattern, stop), FOUND)
+
+
+def _located(pattern: str, stop: tuple[str, ...]):
     find = re.compile(re.sub(r"\\x\{([0-9a-fA-F]+)\}", lambda m: re.escape(chr(int(m[1], 16))), pattern)).finditer
     skipped = frozenset(stop)
 
-    @F.arrow_udf(FOUND)
-    def located(texts: pa.Array) -> pa.Array:
+    def part(texts: list) -> pa.Array:
         names, starts, ends, evidence, bounds = [], [], [], [], [0]
-        for text in texts.to_pylist():
+        for text in texts:
             for m in find(text or ""):
                 if m[0] not in skipped:
                     a, b = m.span()
@@ -51,6 +56,10 @@ def _locate(pattern: str, stop: tuple[str, ...]):
         found = pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(evidence, pa.string())], names=["name", "s", "e", "evidence"])
         return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), found)
 
+    def located(texts: pa.Array) -> pa.Array:
+        # Python's own strings are held for a few texts of a batch at a time
+        return pa.concat_arrays([part(texts.slice(k, TEXTS).to_pylist()) for k in range(0, max(1, len(texts)), TEXTS)])
+
     return located
 
 

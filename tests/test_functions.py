@@ -239,3 +239,22 @@ def test_slugs_of_long_texts(spark):
     assert {ord(s) for s in spaces} == {ord(s) for s in T.SPACE}
     old = df.select(F.regexp_replace(c, r"(?U)^\s+|\s+\z", "").alias("x"), T.strip(c).alias("y")).collect()
     assert all(r.x == r.y for r in old)
+
+
+def test_names_are_located_in_little_memory():
+    """Python's strings are held for a few texts of a batch, and the matches are those of one pass."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from charloom.operators import mentions
+
+    texts = pa.array(["Anna met Bert again " * 20] * 3000 + [None, ""])
+    located = mentions._located("[A-Z][a-z]{2,}", ("Bert",))
+    tracemalloc.start()
+    found = located(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8_000_000 and len(found) == 3002
+    assert [x["s"] for x in found[7].as_py()] == list(range(0, 400, 20)) and found[2999] == found[0] and found[3000].as_py() == [] == found[3001].as_py()
+    assert mentions._located("x", ())(pa.array([], "string")).to_pylist() == []
