@@ -1,9 +1,11 @@
 """Which of many words occur in texts: one automaton over all words goes through each text once, in Arrow batches. Words too many
-for a task's memory meet the texts by their first two characters instead, and a JVM search decides."""
+for a task's memory are dealt to several automata; with words too long for that, they meet the texts by their first two
+characters, and a JVM search decides."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -11,16 +13,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StringType, StructField, StructType
 
+from charloom.functions.shared import save
+
 #: Characters of all words together up to which an automaton is built in a task.
 MOST = 1_000_000
 
 
 def occurring(rows: DataFrame, texts: list[str], words: DataFrame, most: int = MOST) -> DataFrame:
     """A row for each row and distinct word that one of its texts holds: the row's columns but the texts, and `word`. Null texts
-    and empty words hold and are held by nothing. words: a column `word`."""
+    and empty words hold and are held by nothing. words: a column `word`. Words of more than `most` characters together are
+    dealt by hash to as many automata as they need, one after the other; the texts are never shuffled."""
     words = words.select("word").where("word != ''").distinct()
-    size = words.agg(F.sum(F.length("word"))).first()[0] or 0
-    return by_automaton(rows, texts, words) if size <= most else by_heads(rows, texts, words)
+    size, longest = words.agg(F.sum(F.length("word")), F.max(F.length("word"))).first()
+    if (size or 0) <= most:
+        return by_automaton(rows, texts, words)
+    if not size or longest > most // 10:
+        return by_heads(rows, texts, words)
+    parts = -(-size * 5 // (most * 4))
+    rows, dealt = save(rows, "searched"), save(words.withColumn("_part", F.pmod(F.xxhash64("word"), F.lit(parts)).cast("int")), "words")
+    found = [save(by_automaton(rows, texts, dealt.where(F.col("_part") == k).select("word")), "found") for k in range(parts)]
+    return reduce(DataFrame.unionByName, found)
 
 
 def by_automaton(rows: DataFrame, texts: list[str], words: DataFrame) -> DataFrame:

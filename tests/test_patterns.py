@@ -59,3 +59,14 @@ def test_domains_have_no_loop_join(spark):
     e = spark.createDataFrame([(1, "values", "word", "x")], "ord int, category string, content string, evidence string")
     plan = distill.domains(m, e, "k")._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_words_of_several_automata(spark, monkeypatch):
+    """Words too many for one automaton are dealt to several; texts don't meet words by their heads."""
+    monkeypatch.setattr(patterns, "by_heads", None)
+    words = [f"w{i}" for i in range(60)] + ["b", "荒川"]
+    texts = [(0, "w1w22 荒川"), (1, None), (2, "abw59"), (3, "")]
+    df, listed = spark.createDataFrame(texts, "i int, text string"), spark.createDataFrame([(w,) for w in words], "word string")
+    want = {(i, w) for i, t in texts for w in words if t and w in t}
+    got = [tuple(r) for r in patterns.occurring(df, ["text"], listed, most=60).collect()]
+    assert len(got) == len(want) and set(got) == want
