@@ -1,11 +1,11 @@
 """Which names are alike: within two edits, or by Jaro-Winkler.
 
-Edits: short names meet by what is left of them with up to two characters deleted, longer ones by one of three segments that
-the edits leave whole; both are hash joins within the JVM, and a bounded edit distance decides.
+No key tells apart names as short as these by Jaro-Winkler (with 45,000 names, a third of all pairs share any key that misses none),
+so stretches of the sorted names are compared in blocks: a product of matrices bounds how many characters two names share,
+sorted order bounds how long a prefix, and only what the bounds leave open is worked out, many pairs at a time, edits included.
 
-Jaro-Winkler: no key tells apart names as short as these (with 45,000 names, a third of all pairs share any key that misses none), so
-stretches of the sorted names are compared in blocks: a product of matrices bounds how many characters two names share, sorted
-order bounds how long a prefix, and only what the bound leaves open is worked out, many pairs at a time.
+Edits alone: short names meet by what is left of them with up to two characters deleted, longer ones by one of three segments
+that the edits leave whole; both are hash joins within the JVM, and a bounded edit distance decides.
 """
 
 from __future__ import annotations
