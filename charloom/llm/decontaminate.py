@@ -29,6 +29,8 @@ WINDOW = 8
 RUN = 13
 LITERALS = 4
 SHORT = 4
+#: Window starts in a row that is worked on.
+PIECE = 512
 BROADCAST_ROWS = 500_000
 #: Placeholders, and words that are units after a number.
 NUMBER, NAME, UNIT = 1, 2, 3
@@ -52,12 +54,29 @@ def _plain(t: Column) -> Column:
     return F.rtrim(t, F.lit(MARKS))
 
 
-def templates(rows: DataFrame) -> DataFrame:
-    """Adds tokens, which keep the sentence marks behind them, and codes: per token its placeholder or its hash in small letters.
-    A capital makes a name only within a sentence and where small letters follow, so that sentence starts and texts in
-    capitals keep their words."""
+def tokenized(rows: DataFrame) -> DataFrame:
+    """Adds tokens, which keep the sentence marks behind them, in place of the text."""
     runs = F.split(F.coalesce("text", F.lit("")), r"[^\p{L}\p{N}.!?]+")
-    rows = rows.withColumn("tokens", F.filter(runs, lambda t: (t >= "0") & ~F.startswith(t, F.lit("?")))).drop("text")
+    return rows.withColumn("tokens", F.filter(runs, lambda t: (t >= "0") & ~F.startswith(t, F.lit("?")))).drop("text")
+
+
+def pieces(rows: DataFrame) -> DataFrame:
+    """A row per PIECE window starts of a text, with `first`, the place of its first one: their tokens, the rest of the last window,
+    and the token before them, which the first code depends on. So no row grows with its text, nor do the arrays made of it."""
+    starts = F.sequence(F.lit(0), F.greatest(F.size("tokens") - 1, F.lit(0)), F.lit(PIECE))
+    cut = F.transform(starts, lambda i: F.struct(i.alias("first"), F.slice("tokens", F.greatest(i, F.lit(1)), PIECE + WINDOW).alias("tokens")))
+    others = [c for c in rows.columns if c != "tokens"]
+    return rows.select(*others, F.explode(cut).alias("_piece")).select(*others, "_piece.first", "_piece.tokens")
+
+
+def templates(rows: DataFrame) -> DataFrame:
+    """Adds tokens and codes to rows with a text."""
+    return coded(tokenized(rows))
+
+
+def coded(rows: DataFrame) -> DataFrame:
+    """Adds codes: per token its placeholder or its hash in small letters. A capital makes a name only within a sentence and
+    where small letters follow, so that sentence starts and texts in capitals keep their words."""
 
     def code(t: Column, i: Column) -> Column:
         before = F.get("tokens", i - 1)
@@ -118,19 +137,24 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     bench = benchmark_windows(items, lengths)
     few = bench.count() <= BROADCAST_ROWS
     text = F.col("text").cast("string")
-    own = windows(templates(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("row"))), lengths)
+    cut = pieces(tokenized(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("row"))))
+    own = windows(coded(cut), lengths)
+    # the place in the piece is that in the text less `first`; one on where the token before is held
+    held_before = (F.col("first") > 0).cast("int")
+    inside = (F.col("at") >= held_before) & (F.col("at") < held_before + PIECE)
     words = F.slice("tokens", F.col("at") + 1, F.col("width")).alias("doc_words")
-    columns = ["doc_id", "row", "at", "item_id", "item_at", "n_tokens", "item_codes", "item_words"]
+    columns = ["doc_id", "row", (F.col("first") - held_before + F.col("at")).alias("at"), "item_id", "item_at", "n_tokens", "item_codes", "item_words"]
     # the outer form, since for the inner one Spark infers a filter on h and works all of its folds out again, inside each other
     if few:
-        found = own.select("doc_id", "row", "tokens", F.explode_outer("hs").alias("w")).select("doc_id", "row", "tokens", "w.at", "w.h", "w.width")
-        return found.join(F.broadcast(bench), ["h", "width"]).select(*columns, words)
-    found = own.select("doc_id", "row", F.explode_outer("hs").alias("w")).select("doc_id", "row", "w.at", "w.h", "w.width")
-    found = save(found.join(bench, ["h", "width"]).select(*columns, "width"), "template-matches")
-    # the tokens of the texts that have matches
-    held = templates(docs.select(F.col("doc_id").cast("long").alias("d_id"), text.alias("text"), F.xxhash64(text).alias("d_row"))).select("d_id", "d_row", "tokens")
-    held = held.join(found.select(F.col("row").alias("d_row")).distinct(), "d_row", "left_semi").dropDuplicates(["d_id", "d_row"])
-    return found.join(held, (F.col("row") == F.col("d_row")) & F.col("doc_id").eqNullSafe(F.col("d_id"))).select(*columns, words)
+        found = own.select("doc_id", "row", "first", "tokens", F.explode_outer("hs").alias("w")).select("doc_id", "row", "first", "tokens", "w.at", "w.h", "w.width")
+        return found.join(F.broadcast(bench), ["h", "width"]).where(inside).select(*columns, words)
+    found = own.select("doc_id", "row", "first", F.explode_outer("hs").alias("w")).select("doc_id", "row", "first", "w.at", "w.h", "w.width")
+    found = save(found.where(inside).join(bench, ["h", "width"]), "template-matches")
+    # the tokens of the pieces that have matches
+    held = cut.select(F.col("doc_id").alias("d_id"), F.col("row").alias("d_row"), F.col("first").alias("d_first"), "tokens")
+    held = held.join(found.select(F.col("row").alias("d_row"), F.col("first").alias("d_first")).distinct(), ["d_row", "d_first"], "left_semi").dropDuplicates(["d_id", "d_row", "d_first"])
+    same = (F.col("row") == F.col("d_row")) & (F.col("first") == F.col("d_first")) & F.col("doc_id").eqNullSafe(F.col("d_id"))
+    return found.join(held, same).select(*columns, words)
 
 
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:

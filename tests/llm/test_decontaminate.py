@@ -140,6 +140,23 @@ def test_against_plain_rule(spark, monkeypatch):
         assert got == want and 40 < len(want) < 120
 
 
+def test_long_texts_in_pieces(spark, monkeypatch):
+    """No row holds more tokens than a piece, however long its text; windows across the cuts are found all the same, once."""
+    monkeypatch.setattr(d, "PIECE", 11)
+    rnd = random.Random(5)
+    texts = [" ".join(altered(rnd) for _ in range(k % 7)) for k in range(40)] + [None, "", "one"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sizes = [(r.doc_id, r.first, len(r.tokens)) for r in d.pieces(d.tokenized(docs)).collect()]
+    assert max(n for _, _, n in sizes) == 11 + d.WINDOW and len(sizes) > 400 and {i for i, _, _ in sizes} == set(range(43))
+    want = {(i, k) for i, t in enumerate(texts) for k, item in enumerate(SHORT_ITEMS) if plain_hits(t, item)}
+    bench = spark.createDataFrame(list(enumerate(SHORT_ITEMS)), "item_id long, text string")
+    for rows in (d.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(d, "BROADCAST_ROWS", rows)
+        assert {(r.doc_id, r.item_id) for r in d.contaminated(docs, bench).collect()} == want and want
+        per = d.matches(docs, bench).groupBy("doc_id", "row", "at", "item_id", "item_at").count()
+        assert per.where("count > 1").isEmpty()
+
+
 def test_repeated_ids(spark):
     """Two variants under one id don't make each other's slots inconsistent."""
     rows = [(1, ITEM.replace("3 bags", "7 bags")), (1, ITEM.replace("3 bags", "9 bags")), (2, ITEM.replace("3 bags", "7 bags")), (None, ITEM), (None, "other words")]
