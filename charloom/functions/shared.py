@@ -50,16 +50,10 @@ def save(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
-#: Rows up to which a table goes to every task whole.
+#: Rows up to which a table is broadcast.
 FEW = 300_000
 
 
-def few(df: DataFrame, label: str) -> DataFrame:
-    """Saves df, which is then broadcast to joins if it has no more than FEW rows; so a large other side isn't shuffled."""
-    out = save(df, label)
-    return F.broadcast(out) if out.count() <= FEW else out
-
-
 def delete(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -42,6 +42,27 @@ def jaro_of(a: str, b: str) -> float:
     return (m / len(a) + m / len(b) + (m - t) / m) / 3
 
 
+def edits_of(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, c in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, d in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (c != d))
+    return row[-1]
+
+
+def similar_of(a: str, b: str, lev_max: int = 2, jw_min: float = 0.85) -> bool:
+    """The similarity rule for one pair: within lev_max edits, or jw_min by Jaro-Winkler; an empty side never is."""
+    if not a or not b:
+        return False
+    if abs(len(a) - len(b)) <= lev_max and edits_of(a, b) <= lev_max:
+        return True
+    j, prefix = jaro_of(a, b), 0
+    while prefix < min(4, len(a), len(b)) and a[prefix] == b[prefix]:
+        prefix += 1
+    return j + prefix * 0.1 * (1 - j) >= jw_min
+
+
 def jaro_many(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray) -> np.ndarray:
     """jaro_of() of many pairs: rows of code points padded with zeros, and their lengths. Pairs of the same two lengths are worked
     out together, a character of the left names at a time."""

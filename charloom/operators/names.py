@@ -10,10 +10,14 @@ that the edits leave whole; both are hash joins within the JVM, and a bounded ed
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, StructType
 
 from charloom.functions.similarity import jaro_many
 
@@ -23,6 +27,8 @@ from .tiles import compare_stretches
 SHORT = 12
 #: Names in a stretch, and in a block within it; pairs that are compared at a time.
 STRETCH, BLOCK, PAIRS = 4096, 512, 16384
+#: Names that a stretch grows to where there are many, and pairs found that are held until they are handed on.
+LARGEST, HELD = 65536, 200_000
 #: Names of more characters than a word has bits are compared without words.
 BITS = 64
 #: Classes of characters whose numbers are bounded, and how many of one class count singly.
@@ -248,15 +254,52 @@ def _alike_by_bits(a: _Block, b: _Block, i: np.ndarray, j: np.ndarray, least: fl
     return good
 
 
-def _compared(names: DataFrame, least: float, edits: int) -> DataFrame:
-    kind = names.schema["ord"].dataType.simpleString()
-    schema = f"a string, b string, oa {kind}, ob {kind}"
+def _left_out(one: pa.Table, other: pa.Table, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which of the pairs, i of one and j of other, one of the names keeps apart."""
+    out = np.zeros(len(i), bool)
+    for x, y, p, q in ((one, other, i, j), (other, one, j, i)):
+        sizes = pc.fill_null(pc.list_value_length(x["apart"]), 0).to_numpy()
+        at = pc.index_in(pc.list_flatten(x["apart"]), y["name"].combine_chunks()).combine_chunks()
+        met = pc.is_valid(at).to_numpy(zero_copy_only=False)
+        codes = np.repeat(np.arange(len(sizes)), sizes)[met] * len(y) + at.drop_null().to_numpy()
+        out |= np.isin(p.astype(np.int64) * len(y) + q, codes)
+    return out
+
 
-    def compare(one: pa.Table, two: pa.Table | None) -> pa.Table:
-        one = one.sort_by("number")
-        two = two.sort_by("number") if two else None
+def _compared(names: DataFrame, least: float, edits: int) -> DataFrame:
+    place = names.schema["ord"].dataType
+    by_place = isinstance(place, StructType) and place.names == ["n", "name"]
+    if not by_place and not isinstance(place, IntegralType):
+        raise ValueError("names are ordered by whole numbers, or by (n, name)")
+    ord_ = F.col("ord.n") if by_place else F.col("ord")
+    extra = [c for c in ("apart", "gone") if c in names.columns]
+    kind = place["n"].dataType.simpleString() if by_place else place.simpleString()
+
+    def compare(one: pa.Table, two: pa.Table | None) -> Iterator[pa.Table]:
+        one = one.sort_by("number").combine_chunks()
+        two = two.sort_by("number").combine_chunks() if two else None
+        other = two or one
         left, *right = _blocks(*(t["name"].to_pylist() for t in (one, two) if t))
-        found = []
+        both = pa.concat_tables([t.select(["name", "ord"]) for t in (one, other)]).combine_chunks()
+        rank = [(t["ord"].to_numpy(), t["number"].to_numpy()) for t in (one, other)]
+        gone = [[pc.fill_null(pc.struct_field(t["gone"], c), 2**62).to_numpy() for c in ("oa", "ob")] for t in (one, other)] if "gone" in extra else []
+
+        def table(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.Table:
+            i, j = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.int32)]) for k in (0, 1))
+            if "apart" in extra and len(i):
+                keep = ~_left_out(one, other, i, j)
+                i, j = i[keep], j[keep]
+            (ox, nx), (oy, ny) = ((o[k], n[k]) for (o, n), k in zip(rank, (i, j)))
+            first = (ox < oy) | (ox == oy) & (nx < ny)
+            if gone:
+                oa, ob, keep = np.minimum(ox, oy), np.maximum(ox, oy), np.ones(len(i), bool)
+                for (ga, gb), k in zip(gone, (i, j)):
+                    keep &= (ga[k] > oa) | (ga[k] == oa) & (gb[k] > ob)
+                i, j, first = i[keep], j[keep], first[keep]
+            a, b = np.where(first, i, j + len(one)), np.where(first, j + len(one), i)
+            return pa.table({"a": both["name"].take(a), "b": both["name"].take(b), "oa": both["ord"].take(a), "ob": both["ord"].take(b)})
+
+        found, held = [], 0
         for p, a in enumerate(left):
             for b in right[0] if two else left[p:]:
                 i, j = _open(a, b, least, edits)
@@ -264,14 +307,15 @@ def _compared(names: DataFrame, least: float, edits: int) -> DataFrame:
                     x, y = i[k : k + PAIRS], j[k : k + PAIRS]
                     good = _alike_by_bits(a, b, x, y, least, edits)
                     found.append(((x[good] + a.at).astype(np.int32), (y[good] + b.at).astype(np.int32)))
-        i, j = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.int32)]) for k in (0, 1))
-        other = two or one
-        return pa.table({"a": one["name"].take(i), "b": other["name"].take(j), "oa": one["ord"].take(i), "ob": other["ord"].take(j)})
+                    held += len(found[-1][0])
+                if held >= HELD:
+                    yield table(found)
+                    found, held = [], 0
+        yield table(found)
 
-    found = compare_stretches(names.where("name != ''").select("name", "ord"), ["name"], STRETCH, compare, schema)
-    first = F.col("oa") < F.col("ob")
-    pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
-    return found.select(pick("a", "b").alias("a"), pick("b", "a").alias("b"), F.least("oa", "ob").alias("oa"), F.greatest("oa", "ob").alias("ob"))
+    found = compare_stretches(names.where("name != ''").select("name", ord_.alias("ord"), *extra), ["name"], STRETCH, compare, f"a string, b string, oa {kind}, ob {kind}", most=LARGEST)
+    back = lambda n: F.struct(F.col(f"o{n}").alias("n"), F.col(n).alias("name")) if by_place else F.col(f"o{n}")
+    return found.select("a", "b", back("a").alias("oa"), back("b").alias("ob"))
 
 
 def alike_by_winkler(names: DataFrame, least: float = 0.85) -> DataFrame:
@@ -281,7 +325,9 @@ def alike_by_winkler(names: DataFrame, least: float = 0.85) -> DataFrame:
 
 def alike(names: DataFrame, jw_min: float = 0.85, lev_max: int = 2) -> DataFrame:
     """(a, b, oa, ob), oa < ob: names that are within lev_max edits, two at most, or alike by Jaro-Winkler. names: name, each once,
-    and ord. Both are decided where two names meet, so no pair comes twice and none is shuffled."""
+    and ord, a whole number or (n, name). Both are decided where two names meet, so no pair comes twice and none is shuffled.
+    Pairs that aren't wanted are left out there, too: those of a name with the names in its `apart`, and, where names have a
+    place `gone` (oa, ob), pairs at that place or after it."""
     if not 0 <= lev_max <= 2:
         raise ValueError("edit distances go up to two")
     return _compared(names, jw_min, lev_max)

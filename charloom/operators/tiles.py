@@ -3,19 +3,21 @@ compared as groups of their own, each within one Arrow call. Stretches whose box
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from charloom.functions.shared import save
+from charloom.functions.shared import FEW, save
 
 #: Children of a node of the tree of intervals, as a shift.
 FAN = 4
 #: Tasks that the pairs of stretches are dealt to.
 MOST_TASKS = 5000
+#: Stretches that rows are cut into while a stretch has room: a row is sent once for every stretch that its own may meet.
+STRETCHES = 40
 
 
 def numbered(df: DataFrame, *order: str | Column, name: str = "number") -> tuple[DataFrame, int]:
@@ -51,23 +53,28 @@ def near_stretches(boxes: DataFrame, count: int, sides: list[str], reach: float)
     return pairs
 
 
-def compare_stretches(rows: DataFrame, order: list[str], size: int, compare: Callable[[pa.Table, pa.Table | None], pa.Table], schema: str, sides: list[str] | None = None, reach: float = 0.0) -> DataFrame:
+def compare_stretches(rows: DataFrame, order: list[str], size: int, compare: Callable[[pa.Table, pa.Table | None], pa.Table | Iterable[pa.Table]], schema: str, sides: list[str] | None = None, reach: float = 0.0, most: int = 0) -> DataFrame:
     """compare(rows of a, rows of b) for every pair of stretches of `size` rows that may be near, and compare(rows, None) for each
-    stretch with itself. sides: columns whose difference is no more than reach for rows that can be alike."""
+    stretch with itself; it returns a table, or tables one after the other. Up to `most` rows a stretch grows with the rows, so
+    that there are about STRETCHES of them. sides: columns whose difference is no more than reach for rows that can be alike."""
     ordered, count = numbered(rows, *order)
+    size = max(size, min(most, -(-count // STRETCHES)))
     ordered = ordered.withColumn("stretch", F.expr(f"number div {size}"))
     sides = sides or []
     boxes = ordered.groupBy("stretch").agg(F.count(F.lit(1)), *(f(s).alias(f"{e}_{s}") for s in sides for e, f in (("lo", F.min), ("hi", F.max))))
     boxes = save(boxes.select("stretch", *(f"{e}_{s}" for s in sides for e in ("lo", "hi"))), "boxes")
     pairs = save(near_stretches(boxes, -(-count // size), sides, reach), "stretches")
     # a pair of stretches is much work for few bytes, so Spark isn't left to put many into one task
-    tasks = min(max(1, pairs.count()), MOST_TASKS)
+    n = pairs.count()
+    tasks = min(max(1, 2 * n), MOST_TASKS)
     ends = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("stretch"))
 
-    def work(group: pa.Table) -> pa.Table:
-        first = group["a"][0].as_py()
-        mine = pc.equal(group["stretch"], first)
-        a = group.filter(mine)
-        return compare(a, None) if a.num_rows == group.num_rows else compare(a, group.filter(pc.invert(mine)))
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = pa.Table.from_batches(list(batches))
+        mine = pc.equal(group["stretch"], group["a"][0].as_py())
+        a, b = group.filter(mine), group.filter(pc.invert(mine))
+        found = compare(a, b if b.num_rows else None)
+        for part in [found] if isinstance(found, pa.Table) else found:
+            yield from part.to_batches()
 
-    return ordered.join(ends, "stretch").repartition(tasks, "a", "b").groupBy("a", "b").applyInArrow(work, schema)
+    return ordered.join(F.broadcast(ends) if n <= FEW else ends, "stretch").repartition(tasks, "a", "b").groupBy("a", "b").applyInArrow(work, schema)

@@ -244,3 +244,49 @@ def test_many_pairs_are_not_shuffled(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "FullOuter" not in plan and "Inner" not in plan.split("FlatMapGroupsInArrow")[0] and "rightHint=(strategy=broadcast)" in plan
     assert [(r.a, r.b, r.target, r.action, r.hit_count) for r in found.collect()] == [("Anna", "Ann", "Anna", "merge", 2)]
+
+
+def people(spark, rows):
+    """An entry for each name: (name, aliases)."""
+    rows = [(f"{i:04d}", n, known, "speech", "t", 0, i) for i, (n, known) in enumerate(rows)]
+    return spark.createDataFrame(rows, "uuid string, character_name string, aliases array<string>, category string, text string, chunk_index int, char_start int")
+
+
+def test_merges_compare_no_other_strings(spark, sf, monkeypatch):
+    """Merges are found among the names that aliases lead to; all pairs of strings are worked out for what waits, and not kept."""
+    from charloom.plans import entity_queries
+
+    # Mira is given Mirandu by Miranda, which is no alias of hers; that ties her to Mirandus, an alias of Mirandu
+    rows = [("Mira", ["Miran"]), ("Miran", ["Miranda"]), ("Miranda", ["Mirandu"]), ("Mirandu", ["Mirandus"]), ("Mirandus", []), ("Zed", ["Mira"]), ("Oleg", ["Olga"]), ("Olga", [])]
+    listed = {n: (1, set(k)) for n, k in rows}
+    merged, pending = plain_resolve(listed, {})
+    alike_names = ["Aaa" + x + y for x in "bcdefghijklmno" for y in "bcdefghijklmno"]
+    entries = people(spark, rows)
+    saved = []
+    monkeypatch.setattr(resolve, "save", lambda df, label, keep=resolve.save: saved.append(keep(df, label)) or saved[-1])
+    many = resolve.resolve(people(spark, rows + [(n, []) for n in alike_names]))
+    assert many.waiting.count() > 19000 and max(df.count() for df in saved) < 1000
+    real = resolve.string_pairs
+    monkeypatch.setattr(resolve, "string_pairs", lambda *a: 1 / 0)
+    found = resolve.resolve(entries)
+    assert found.merged == merged and len(merged) >= 4
+    assert entity_queries.resolve_merges(spark, sf).count() > 0
+    monkeypatch.setattr(resolve, "string_pairs", real)
+    assert sorted(found.pending) == sorted(pending)
+
+
+def test_similar_of():
+    for a, b in (("Anna", "Ann"), ("Anna", "Bob"), ("", "a"), ("ab", "cd"), ("Thereand", "Ereand"), ("Overthereing", "Ertherein"), ("Mirandolina", "Mirandus")):
+        assert S.similar_of(a, b) == bool(a and b and alike(a, b)) and S.edits_of(a, b) == edits(a, b)
+
+
+def test_stretches_grow_with_the_rows(spark):
+    """A row is sent once for each stretch, so that there are few of them however many rows there are; what is found may come in parts."""
+    df = spark.range(2000).select(F.col("id").alias("x"))
+
+    def compare(one, two):
+        for part in (one, *([two] if two else [])):
+            yield part.select(["stretch"])
+
+    found = tiles.compare_stretches(df, ["x"], 10, compare, "stretch long", most=1000).groupBy("stretch").count().collect()
+    assert len(found) == tiles.STRETCHES and {r["count"] for r in found} == {2000}
