@@ -29,12 +29,18 @@ def occurring(rows: DataFrame, texts: list[str], words: DataFrame, most: int = M
         return by_automaton(rows, texts, words)
     if not size or longest > most // 10:
         return by_heads(rows, texts, words)
-    parts = -(-size * 5 // (most * 4))
+    parts = parts_of(words, most)
     rows, dealt = save(rows, "searched"), save(words.withColumn("_part", F.pmod(F.xxhash64("word"), F.lit(parts)).cast("int")), "words")
     found = [save(by_automaton(rows, texts, dealt.where(F.col("_part") == k).select("word")), "found") for k in range(parts)]
     return reduce(DataFrame.unionByName, found)
 
 
+def parts_of(words: DataFrame, most: int = MOST) -> int:
+    """Automata that a column `word` of distinct words needs."""
+    size = words.agg(F.sum(F.length("word"))).first()[0] or 0
+    return 1 if size <= most else -(-size * 5 // (most * 4))
+
+
 def by_automaton(rows: DataFrame, texts: list[str], words: DataFrame) -> DataFrame:
     import ahocorasick
 

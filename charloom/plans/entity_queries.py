@@ -239,7 +239,7 @@ def rebuilt_profiles(spark, sf):
     """Every character's texts with other people's names taken out, all at once; the tests hold it against the rule for each."""
     now = save(entries(spark, sf), "entries")
     found = save(profile.profiles(now), "profiles")
-    done = profile.rebuilt(found, profile.replacements(profile.people_in(found, index.characters(now), now), found))
+    done = profile.rebuilt_all(found, index.characters(now), now)
     return done.select("character_name", *(F.sha2(c, 256).alias(c) for c in ("speech_md", "appearance_md", "events_md", "summary_md")))
 
 
